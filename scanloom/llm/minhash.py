@@ -121,7 +121,9 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             own = np.flatnonzero(filled[doc[open_[i]]])
             source[open_[i:j]] = own[priority[np.ix_(empty[open_[i:j]], own)].argmin(axis=1)]
     least[doc, empty] = least[doc, source]
-    return (_mix(least) & np.uint64((1 << BITS) - 1)).astype(np.uint8), full
+    # a value that fills many bins gives each its own bits, or chance matches would come in bulk
+    apart = np.arange(BINS, dtype=np.uint64) * np.uint64(_Q)
+    return (_mix(least + apart) & np.uint64((1 << BITS) - 1)).astype(np.uint8), full
 
 
 def all_codes(texts: list[str], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:

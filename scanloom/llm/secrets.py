@@ -166,7 +166,11 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: counts of the base kinds, the digest of the base spans, and all spans written out."""
     found = F.col("found")
     base = [n for n, r in enumerate(rules) if r.base]
-    counts = {f"n_{rules[n].kind}": F.size(F.filter(found, lambda s, n=n: s["kind"] == n)).cast("long") for n in base}
+
+    def count(n: int) -> Column:  # a default argument of the lambda would be taken for the element's index
+        return F.size(F.filter(found, lambda s: s["kind"] == n)).cast("long")
+
+    counts = {f"n_{rules[n].kind}": count(n) for n in base}
     only = F.filter(found, lambda s: s["kind"].isin(base))
     return scan(docs, rules).select(
         "doc_id",
