@@ -65,9 +65,8 @@ def _orders() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, BINS, (BINS, TRIES)), rng.random((BINS, BINS), np.float32)
 
 
-def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' shingles and each text's offsets among them."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, which white space separates, and each text's offsets among them."""
     data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
     begin = 1 + offsets([len(r) + 1 for r in raw])
     space = SPACE[data]
@@ -78,7 +77,12 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size, _P)[: len(data)], out=sums[1:])
     # a polynomial of the word's bytes, moved to its own start by the inverse power
     word = _mix((sums[end] - sums[start]) * _powers(size, pow(_P, -1, 1 << 64))[start])
-    of = np.searchsorted(start, begin)
+    return word, np.searchsorted(start, begin)
+
+
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' shingles and each text's offsets among them."""
+    word, of = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
     n = np.diff(of)
     pad = np.r_[word, np.zeros(SHINGLE, np.uint64)]
     run = np.zeros(len(word), np.uint64)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, html, langid, minhash, packing, secrets, simhash, warc
+from . import bpe, html, langid, licenses, minhash, mtree, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -45,12 +53,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op3_secrets, op4_html, op5_fingerprints, op6_langid, op8_bpe, op9_warc, op10_simhash)
+    own = (op1_pack, op2_topk, op3_secrets, op4_html, op5_fingerprints, op6_langid, op7_licenses, op8_bpe, op9_warc, op10_simhash)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_secrets": secrets.oracle(), "op9_warc": warc.ORACLE}
+    found = {"op2_topk": mtree.ORACLE, "op3_secrets": secrets.oracle(), "op9_warc": warc.ORACLE}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
