@@ -161,9 +161,13 @@ def padded(prefix: str, width: int, number: Column) -> Column:
 
 def readable_bytes(n: Column | str) -> Column:
     c, units = col(n).cast("double"), ("B", "KB", "MB", "GB", "TB")
-    out = F.format_string("%.1f TB", c / 1024**4)
-    for k in range(len(units) - 2, -1, -1):
-        out = F.when(c < 1024.0 ** (k + 1), F.format_string(f"%.1f {units[k]}", c / 1024.0**k)).otherwise(out)
+
+    def one(k: int) -> Column:  # format_string rounds half up; half to even is meant
+        return F.format_string(f"%.1f {units[k]}", F.bround(c / 1024.0**k, 1))
+
+    out = one(4)
+    for k in range(3, -1, -1):
+        out = F.when(c < 1024.0 ** (k + 1), one(k)).otherwise(out)
     return out
 
 

@@ -111,7 +111,7 @@ def stopping_step(df: DataFrame, group: Sequence[str], step: str, value: str, pa
     w = Window.partitionBy(*group).orderBy(step)
     marked = best_so_far(df, group, [step], value).withColumn("__nth", F.row_number().over(w))
     last = F.max(F.when(F.col("is_best"), F.col("__nth"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.where(F.col("__nth") - last >= patience).groupBy(*group).agg(F.min(step).alias("stop_step"))
+    return marked.withColumn("__gap", F.col("__nth") - last).where(F.col("__gap") >= patience).groupBy(*group).agg(F.min(step).alias("stop_step"))
 
 
 def resampled(df: DataFrame, factor: float, order: Sequence[str]) -> DataFrame:

@@ -23,7 +23,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return ""
         if isinstance(v, (float, np.floating)):
             return f"{v:.6g}"
