@@ -50,12 +50,21 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=1)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Codec:
     """A vocabulary file as arrays, with batched encoding of words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
+        self.byte_of = {c: b for b, c in enumerate(byte_chars())}
         model, vocab = spec["model"], spec["model"]["vocab"]
         end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -92,11 +101,19 @@ class Codec:
         for part in self.split_special.split(word) if self.split_special else [word]:
             if part in self.special:
                 out.append(part)
+            elif not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                out += self.by_library(part)
             elif part:
                 part = unicodedata.normalize("NFC", part)
                 out += self.pattern.findall(part.lower() if part.isascii() else "".join([c.lower() for c in part]))
         return out
 
+    def by_library(self, part: str) -> list[str]:
+        """Words of a piece with code points that Python's character tables don't have, as the library's tables see them."""
+        library = _library(self.path)
+        found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))
+        return [bytes(self.byte_of[c] for c in word).decode() for word, _ in found]
+
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (BIG: none) and its place among the sorted keys."""
         key = left.astype(np.int64) * self.size + right

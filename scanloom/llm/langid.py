@@ -46,10 +46,10 @@ def ngram_buckets(data: np.ndarray, n: int, bits: int = BUCKET_BITS) -> np.ndarr
 
 
 def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes with spaces between, and where each one starts."""
+    """All texts' bytes with spaces between, and where each one starts: three spaces before its first byte, so no n-gram spans two texts."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     starts = offsets([len(r) + len(PAD) for r in raw])
-    return np.frombuffer(PAD[:1] + PAD.join(raw) + PAD + PAD, np.uint8), starts
+    return np.frombuffer(PAD[1:] + PAD.join(raw) + PAD + PAD, np.uint8), starts
 
 
 @dataclass
