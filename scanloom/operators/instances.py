@@ -7,6 +7,7 @@ per case in an Arrow-grouped function; a case is one scan, whose size is bounded
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -162,9 +163,12 @@ def boundary(voxels: DataFrame, group: Sequence[str]) -> DataFrame:
     axes = ["x", "y", "z"]
     moves = F.array(*(F.struct(*(F.lit(d * (k == i)).alias(a) for k, a in enumerate(axes))) for i in range(3) for d in (-1, 1)))
     near = voxels.select(*group, *axes, F.explode(moves).alias("m")).select(*group, *axes, *((F.col(a) + F.col(f"m.{a}")).alias(f"n{a}") for a in axes))
-    other = voxels.select(*group, *(F.col(a).alias(f"n{a}") for a in axes))
-    inside = near.join(other, [*group, "nx", "ny", "nz"], "left_semi").groupBy(*group, *axes).agg(F.count("*").alias("n"))
-    return voxels.join(inside.where("n = 6"), [*group, *axes], "left_anti")
+    other = voxels.select(*(F.col(g).alias(f"o_{g}") for g in group), *(F.col(a).alias(f"o_n{a}") for a in axes))
+    touch = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"o_{c}") for c in (*group, "nx", "ny", "nz")])
+    inside = near.join(other, touch, "left_semi").groupBy(*group, *axes).agg(F.count("*").alias("n")).where("n = 6")
+    deep = inside.select(*(F.col(c).alias(f"deep_{c}") for c in (*group, *axes)))
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"deep_{c}") for c in (*group, *axes)])
+    return voxels.join(deep, same, "left_anti")
 
 
 def surface_distances(a: np.ndarray, b: np.ndarray, spacing: Sequence[float] = (1, 1, 1)) -> np.ndarray:
@@ -190,6 +194,7 @@ def surface_metrics(pred: DataFrame, truth: DataFrame, case: str = "case", spaci
             row = (key[0], max(ab.max(), ba.max()), max(np.percentile(ab, 95), np.percentile(ba, 95)), (ab.mean() + ba.mean()) / 2, close / (len(ab) + len(ba)))
         return pd.DataFrame([row], columns=[case, "hd", "hd95", "asd", "nsd"])
 
+    truth = truth.select(*(F.col(c).alias(c) for c in truth.columns))  # the two sides may be one table
     return pred.groupBy(case).cogroup(truth.groupBy(case)).applyInPandas(run, schema)
 
 

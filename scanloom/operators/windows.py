@@ -33,6 +33,14 @@ def hash_split(df: DataFrame, key: str, seed: int, share: float, held: str = "va
     return scored.join(ranks, key).withColumn("split", F.when(F.col("__held"), held).otherwise(other)).drop("__held")
 
 
+def locked_split(df: DataFrame, legacy: DataFrame, key: str, seed: int, share: float) -> DataFrame:
+    """Ids that an earlier split held out become the test set; the others are split by hash."""
+    both = df.join(legacy, key, "left")
+    test = both.where("legacy = 'val'").select(*df.columns, F.lit("test").alias("split"))
+    pool = both.where("legacy is null or legacy <> 'val'").select(*df.columns)
+    return test.unionByName(hash_split(pool, key, seed, share).select(*df.columns, "split"))
+
+
 def k_fold(df: DataFrame, key: str, seed: int, k: int) -> DataFrame:
     """Folds of equal size by rank of the hash score."""
     scored = df.withColumn("score", hash_score(key, seed))
