@@ -57,13 +57,13 @@ CLOSES = {
 ASIDE_TAGS = frozenset("nav footer aside form dialog menu select button fieldset search head object".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 ASIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
-    " disqus dialog footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination"
-    " popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe"
+    "ad adbox ads adslot adunit adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
+    " discussion disqus dialog disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination"
+    " paywall popup promo promoted promotion rail recommended related reply replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe"
     " subscription toolbar widget widgets".split()
 )
 MAIN_NAMES = frozenset("article content entry main post story".split())
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -95,7 +95,7 @@ def _element(tag: str, attributes: str, parent: Element | None, number: int) ->
                 up = up.parent
             aside = aside or up is None  # an article's own header holds its title
         if found:
-            names = {w for k in ("class", "id") for w in NAME.findall(found.get(k, "").lower())}
+            names = {w.lower() for k in ("class", "id") for w in NAME.findall(found.get(k, ""))}
             role = found.get("role", "").lower()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             main = main or role in ("main", "article") or bool(names & MAIN_NAMES)
@@ -248,8 +248,8 @@ def main_text(page: str | None) -> str:
     own = [b.element for b in found if b.path == best]
     for e in own:
         up, top = e, None
-        while up is not None:
-            if up.main:
+        while up is not None:  # the outermost article, else the outermost that is marked as the main part
+            if up.main and (up.tag == "article" or top is None or top.tag != "article"):
                 top = up
             up = up.parent
         if top is not None:

@@ -96,13 +96,12 @@ TEMPLATES = {
         "Distributed under a custom licence.",
     ],
 }
-SPDX = "SPDX-License-Identifier: "
 
 BUCKET_BITS, GRAMS = 16, 3
 #: Lines of the corpus that stand for the class without a licence, at most (about), and varied notices of a template.
 SAMPLE, VARIANTS = 20000, 60
 EPOCHS, BATCH, RATE = 6, 64, 3.0
-#: Share of a template's word pairs that a line must hold (or the reverse), to confirm a prediction.
+#: Share of a template's word pairs that a line must hold to confirm a prediction.
 CONFIRM = 0.6
 
 
@@ -177,19 +176,30 @@ def _pairs(text: str) -> set[tuple[str, ...]]:
     return set(zip(w, w[1:], strict=False)) if len(w) > 1 else {(x,) for x in w}
 
 
-_TEMPLATE_PAIRS = {f: [_pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
+_SIZES = {(f, k): len(_pairs(t)) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)}
+_OWNERS: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+for _f, _ts in TEMPLATES.items():
+    for _k, _t in enumerate(_ts):
+        for _p in _pairs(_t):
+            _OWNERS.setdefault(_p, []).append((_f, _k))
 
 
-def agreement(line: str, family: str) -> float:
-    """The largest share of a template's word pairs that the line holds."""
-    own = _pairs(line)
-    return max(len(own & t) / len(t) for t in _TEMPLATE_PAIRS[family])
+def agreements(line: str) -> dict[str, float]:
+    """For each family the largest share of a template's word pairs that the line holds; families without any are left out."""
+    held: dict[tuple[str, int], int] = {}
+    for pair in _pairs(line):
+        for owner in _OWNERS.get(pair, ()):
+            held[owner] = held.get(owner, 0) + 1
+    out: dict[str, float] = {}
+    for owner, n in held.items():
+        out[owner[0]] = max(out.get(owner[0], 0.0), n / _SIZES[owner])
+    return out
 
 
 def train(lines: list[str], seed: int = 11) -> Model:
     """Fit on varied notices and on ``lines`` of the corpus that agree with no template."""
     rng = np.random.default_rng(seed)
-    lines = [x for x in lines if max(agreement(x, f) for f in TEMPLATES) < 0.3]
+    lines = [x for x in lines if max(agreements(x).values(), default=0) < 0.3]
     filler = [w for x in lines[:200] for w in x.split()]
     families = sorted(TEMPLATES)
     rows, y = [], []
@@ -265,13 +275,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         for i in np.flatnonzero(1 - p[:, -1] >= m.least):
             k = int(p[i, :-1].argmax())
             family, score, line = m.families[k], float(1 - p[i, -1]), lines[i]
-            agreed = agreement(line, family)
+            found = agreements(line)
+            if found.get(family, 0) < CONFIRM:
+                family = max(sorted(found), key=found.get, default=UNKNOWN)
+            agreed = found.get(family, 0.0)
+            if agreed < 0.2:
+                continue  # nothing in it is like any notice
             if agreed < CONFIRM:
-                other = max(m.families, key=lambda f: agreement(line, f))
-                agreed = agreement(line, other)
-                if agreed < 0.2:
-                    continue  # nothing in it is like any notice
-                family = other if agreed >= CONFIRM else UNKNOWN
+                family = UNKNOWN
             row = [int(i), 1, int(starts[i]), int(starts[i] + len(line)), family, score, agreed]
             if out and out[-1][4] == family and out[-1][0] + out[-1][1] == i:
                 last = out[-1]

@@ -84,6 +84,12 @@ def test_pages_without_an_article_element():
     assert html.main_text(page).startswith("Head\nParagraph 0") and html.main_text(page).count("\n") == 5
 
 
+def test_the_article_in_a_main_part_and_marks_by_name():
+    body = "".join(f"<p>Paragraph {i}, with some words, and marks; enough of them.</p>" for i in range(4))
+    page = f'<main><p>Path, to, here.</p><article><h1>Head</h1>{body}<div id="readerComments"><p>No, no, never, ever.</p></div></article><p>After, all, that.</p></main>'
+    assert html.main_text(page) == "Head\n" + "\n".join(f"Paragraph {i}, with some words, and marks; enough of them." for i in range(4))
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("just text &lt; 3", "just text < 3"), ("<p>a<p>b", "a\nb"), ("<p>a <b>b<p>c", "a b\nc"), ("<article><p>cut off tag <a href=", "cut off tag"), ("<script>only()", ""), ("a < b and c > d", "a < b and c > d"), ("<nav>menu</nav>", "")],
