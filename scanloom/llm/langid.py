@@ -34,6 +34,8 @@ BUCKET_BITS, DIM = 16, 16
 #: characters of a training example: texts are cut so that short ones are learnt too.
 SAMPLE, EXAMPLE = 500, 160
 EPOCHS, BATCH, RATE = 3, 128, 0.5
+#: Times the score of an even guess that a rejected prediction stays under.
+NEAR_CHANCE = 1.2
 PAD = b" " * max(GRAMS)
 
 
@@ -136,8 +138,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         model.heat = float(min(np.geomspace(0.05, 20, 60), key=loss))
         top = model.scores(cut)
         right = top.max(axis=1)[top.argmax(axis=1) == of]
-        # one in a thousand right predictions for a short text may be rejected
-        model.least = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
+        # Few right predictions for a short text may be rejected, and only such as are near to chance.
+        model.least = float(min(NEAR_CHANCE / len(langs), np.quantile(right, 0.0005))) if len(right) else 0.0
     return model
 
 
