@@ -93,6 +93,21 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [c for c in dict.fromkeys(clauses) if not any(o < c for o in clauses)]
 
 
+#: Letters from the most frequent on; what isn't here is rarer still.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+#: Postings that are intersected for a clause: its rarest trigrams. Fewer give more candidates, all of which are verified.
+TERMS = 2
+
+
+def clauses_of(rules: tuple[Rule, ...]) -> list[tuple[int, list[str]]]:
+    """(rule number, trigrams) of each clause that the index is asked for."""
+
+    def rarity(t: str) -> tuple[int, str]:
+        return -sum(FREQUENT.index(c) if c in FREQUENT else len(FREQUENT) for c in t), t
+
+    return [(n, sorted(c, key=rarity)[:TERMS]) for n, r in enumerate(rules) for c in trigram_query(r.pattern)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key that copies under other ids, null ids and repeated rows don't share or lose."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -102,15 +117,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, id, text_key) for the trigrams that the rules ask for."""
-    asked = sorted({t for r in rules for c in trigram_query(r.pattern) for t in c})
-    low = F.lower("text")
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked)))
-    return _keyed(docs).select(F.explode(found).alias("trigram"), "id", "text_key")
+    asked = sorted({t for _, c in clauses_of(rules) for t in c})
+    # lower() has a projection of its own, or each trigram would have it computed again
+    low = _keyed(docs).select("id", "text_key", F.lower("text").alias("low"))
+    found = F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked))
+    return low.select(found.alias("found"), "id", "text_key").select(F.explode("found").alias("trigram"), "id", "text_key").where("trigram is not null")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, text_key, rules): a bit for each rule one of whose clauses has all its postings there."""
-    clauses = [(n, sorted(c)) for n, r in enumerate(rules) for c in trigram_query(r.pattern)]
+    clauses = clauses_of(rules)
 
     def bit(terms: list[str]) -> Column:
         return F.coalesce(*(F.when(F.col("trigram") == t, F.lit(1 << i)) for i, t in enumerate(terms)), F.lit(0))
