@@ -63,6 +63,18 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "__row")
     return local.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__nth")).drop("__part", "__nth", "__start")
 
 
+def running_totals(df: DataFrame, order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
+    """Adds ``total_*`` of columns up to each row of a total order; partitions are summed apart and then offset."""
+    parts = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumns({f"total_{c}": F.sum(c).over(own) for c in columns})
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = parts.groupBy("__part").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    starts = sums.select("__part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns))
+    out = local.join(starts, "__part").withColumns({f"total_{c}": F.col(f"total_{c}") + F.col(f"__{c}") for c in columns})
+    return out.drop("__part", *(f"__{c}" for c in columns))
+
+
 def chunk_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int, order: Sequence[str]) -> DataFrame:
     """Joins the i-th ``size`` rows of one side with the i-th of the other only; keys in other chunks don't meet."""
     sides = [numbered(d, order).withColumn("__chunk", F.floor(F.col("__row") / size)).drop("__row") for d in (left, right)]

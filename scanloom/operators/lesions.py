@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.scalars import HD95_PENALTY, f1, finite
 
+from .metrics import quantile
+
 SCORES = ("dsc", "nsd", "hd95")
 
 
@@ -98,11 +100,11 @@ def fill_missing(table: DataFrame, expected: DataFrame) -> DataFrame:
     return table.unionByName(filled)
 
 
-def with_summary(table: DataFrame, key: str = "subject") -> DataFrame:
-    """Three further rows: mean, sample deviation and median of every number, without null and NaN."""
+def with_summary(table: DataFrame, key: str = "subject", accuracy: int | None = None) -> DataFrame:
+    """Three further rows: mean, sample deviation and median (a sketch with an accuracy) of every number, without null and NaN."""
     numbers = [c for c, t in table.dtypes if c != key and t in ("int", "bigint", "float", "double")]
     value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in numbers}
-    one = table.agg(*(f(value[c]).alias(f"{n}:{c}") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median)) for c in numbers))
+    one = table.agg(*(f(value[c]).alias(f"{n}:{c}") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", lambda c: quantile(c, 0.5, accuracy))) for c in numbers))
     rows = [one.select(F.lit(n).alias(key), *(F.col(f"`{n}:{c}`").alias(c) for c in numbers)) for n in ("mean", "std", "median")]
     body = table.select(key, *(F.col(c).cast("double").alias(c) for c in numbers))
     for r in rows:
@@ -110,12 +112,6 @@ def with_summary(table: DataFrame, key: str = "subject") -> DataFrame:
     return body
 
 
-METRIC_DOCUMENT = """
-struct<metrics:array<struct<subject_name:string,regions:map<string,struct<tp:double,fp:double,fn:double,rq:double,
-reference_instances:array<struct<volume:double,is_matched:boolean,sq_dsc:double,sq_nsd:double,sq_hd95:double>>>>>>,missings:array<string>>
-"""
-
-
 def lesion_rows(documents: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lesions, false positives, missing subjects) of metric documents given as JSON text.
 

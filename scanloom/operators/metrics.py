@@ -9,25 +9,32 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.scalars import guarded
 
+from .joins import running_totals
+
 
 def _number(c: Column | str) -> Column:
     return F.nanvl((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(None))
 
 
+def quantile(c: Column | str, share: float, accuracy: int | None = None) -> Column:
+    """An interpolated quantile; with an accuracy a sketch of bounded size, for groups of very many values."""
+    return F.percentile(c, share) if accuracy is None else F.percentile_approx(c, share, accuracy)
+
+
 # -- summaries -------------------------------------------------------------------
 
 
-def describe(df: DataFrame, group: Sequence[str], value: str, percentiles: Sequence[float] = (0.5, 99.5)) -> DataFrame:
+def describe(df: DataFrame, group: Sequence[str], value: str, percentiles: Sequence[float] = (0.5, 99.5), accuracy: int | None = None) -> DataFrame:
     """Mean, median, extremes, population deviation, percentiles and the number of values."""
     v = _number(value)
     return df.groupBy(*group).agg(
         F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
+        quantile(v, 0.5, accuracy).alias("median"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.stddev_pop(v).alias("std"),
         F.count(v).alias("notnans"),
-        *(F.percentile(v, p / 100).alias(f"p{str(p).replace('.', '_')}") for p in percentiles),
+        *(quantile(v, p / 100, accuracy).alias(f"p{str(p).replace('.', '_')}") for p in percentiles),
     )
 
 
@@ -160,17 +167,22 @@ def trapezoid(df: DataFrame, group: Sequence[str], x: str, y: str, normalised: b
 def froc(detections: DataFrame, images: int, targets: int, rates: Sequence[float] = (0.25, 0.5, 1, 2, 4, 8)) -> DataFrame:
     """(rate, sensitivity) at false positives per image, linearly interpolated; ``detections``: score, is_hit."""
     by = detections.groupBy("score").agg(F.count_if("is_hit").alias("hits"), F.count_if(~F.col("is_hit")).alias("misses"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores, counted before
-    curve = by.select((F.sum("misses").over(w) / images).alias("fps"), (F.sum("hits").over(w) / targets).alias("sens"))
+    so_far = running_totals(by, [F.desc("score")], ["hits", "misses"])
+    curve = so_far.select((F.col("total_misses") / images).alias("fps"), (F.col("total_hits") / targets).alias("sens"))
     curve = curve.groupBy("fps").agg(F.max("sens").alias("sens"))
-    spark = detections.sparkSession
-    asked = spark.createDataFrame([(float(r),) for r in rates], "rate double")  # as many rows as rates
-    low = F.max_by("sens", "fps")
-    below = asked.join(F.broadcast(curve), F.col("fps") <= F.col("rate"), "left").groupBy("rate").agg(low.alias("s0"), F.max("fps").alias("f0"))
-    above = asked.join(F.broadcast(curve), F.col("fps") > F.col("rate"), "left").groupBy("rate").agg(F.min_by("sens", "fps").alias("s1"), F.min("fps").alias("f1"))
-    s0, f0 = F.coalesce("s0", F.lit(0.0)), F.coalesce("f0", F.lit(0.0))
-    line = s0 + (F.col("s1") - s0) * (F.col("rate") - f0) / (F.col("f1") - f0)
-    return below.join(above, "rate").select("rate", F.when(F.col("f1").isNull(), s0).otherwise(line).alias("sensitivity"))
+    # Two aggregates per asked rate, in one pass over the curve.
+    asked = {f"r{i}": float(r) for i, r in enumerate(rates)}
+    aggs = []
+    for k, r in asked.items():
+        low, high = F.when(F.col("fps") <= r, F.col("fps")), F.when(F.col("fps") > r, F.col("fps"))
+        aggs += [F.max(low).alias(f"{k}_f0"), F.max_by("sens", low).alias(f"{k}_s0"), F.min(high).alias(f"{k}_f1"), F.min_by("sens", high).alias(f"{k}_s1")]
+    one = curve.agg(*aggs)
+    rows = []
+    for k, r in asked.items():
+        s0, f0 = F.coalesce(f"{k}_s0", F.lit(0.0)), F.coalesce(f"{k}_f0", F.lit(0.0))
+        line = s0 + (F.col(f"{k}_s1") - s0) * (r - f0) / (F.col(f"{k}_f1") - f0)
+        rows.append(F.struct(F.lit(r).alias("rate"), F.when(F.col(f"{k}_f1").isNull(), s0).otherwise(line).alias("sensitivity")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 # -- image errors ----------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .instances import components
+from .metrics import quantile
 
 AXES = ("x", "y", "z")
 V = "value"
@@ -88,9 +89,9 @@ def scale_range(df: DataFrame, a: tuple[float, float], b: tuple[float, float], c
     return changed(df, F.least(F.greatest(v, F.lit(b[0])), F.lit(b[1])) if clip else v)
 
 
-def percentile_range(df: DataFrame, low: float, high: float, to: tuple[float, float] | None = None, clip: bool = True) -> DataFrame:
+def percentile_range(df: DataFrame, low: float, high: float, to: tuple[float, float] | None = None, clip: bool = True, accuracy: int | None = None) -> DataFrame:
     """Clipped to percentiles of each case, and scaled to ``to`` if given."""
-    d = with_stats(df, {"__a": F.percentile(V, low / 100), "__b": F.percentile(V, high / 100)})
+    d = with_stats(df, {"__a": quantile(V, low / 100, accuracy), "__b": quantile(V, high / 100, accuracy)})
     a, b = F.col("__a"), F.col("__b")
     v = F.least(F.greatest(F.col(V), a), b) if clip else F.col(V)
     if to is not None:
