@@ -71,8 +71,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame:
-    """(doc_id, fp, text_hash) of every row; ``fp`` is big-endian binary of ``bits`` bits."""
+def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, repeats: bool = True) -> DataFrame:
+    """(doc_id, fp, text_hash) of every row; ``fp`` is big-endian binary of ``bits`` bits; without repeats a shingle counts once."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -81,6 +81,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame
             found = []
             for a, b in text_chunks(texts, 2 << 20):
                 lists = [shingle_hashes(t, shingle) for t in texts[a:b]]
+                if not repeats:
+                    lists = [list(set(hs)) for hs in lists]
                 flat = np.array([h for hs in lists for h in hs], np.uint64)
                 words = fold(flat, offsets([len(hs) for hs in lists]), bits // 64).astype(">u8")
                 found += [w.tobytes() for w in words]
@@ -312,14 +314,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 # standard deviation of 5.7. Unrelated texts differ in 128 and deviate by 8.
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 50, width: int = 12) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 48, width: int = 12) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each group of near-duplicates; columns stay.
 
     Wide fingerprints, as 64 bits don't tell a similarity of 0.8: links agree on
     at least one of the ``bits // width`` blocks, which at 0.8 misses one pair in
     twenty and at 0.9 one in a thousand. Of repeated rows one stays.
     """
-    fps = cut(fingerprints(docs, shingle, bits))
+    fps = cut(fingerprints(docs, shingle, bits, repeats=False))
     parts = grouped(fps, bits, radius, width)
     members = fps.join(parts, "fp").withColumn("key", F.struct("doc_id", "text_hash"))
     # A group is its component; those with no id at all are told apart by their fingerprint.
