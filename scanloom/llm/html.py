@@ -17,6 +17,7 @@ a row each; an empty table gives no rows; other columns of the input aren't read
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -63,6 +64,8 @@ ASIDE_NAMES = frozenset(
     " subscription toolbar widget widgets".split()
 )
 MAIN_NAMES = frozenset("article content entry main post story".split())
+#: From one of these on, a name says what stands beside the element, not what it is.
+BESIDE = frozenset("has with without no".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -95,7 +98,8 @@ def _element(tag: str, attributes: str, parent: Element | None, number: int) ->
                 up = up.parent
             aside = aside or up is None  # an article's own header holds its title
         if found:
-            names = {w.lower() for k in ("class", "id") for w in NAME.findall(found.get(k, ""))}
+            tokens = ([w.lower() for w in NAME.findall(t)] for k in ("class", "id") for t in found.get(k, "").split())
+            names = {w for t in tokens for w in itertools.takewhile(lambda w: w not in BESIDE, t)}
             role = found.get("role", "").lower()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             main = main or role in ("main", "article") or bool(names & MAIN_NAMES)
