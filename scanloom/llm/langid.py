@@ -33,6 +33,8 @@ BUCKET_BITS, DIM = 16, 16
 #: Training rows of one language at most (about; a hash of the row decides) and
 #: characters of a training example: texts are cut so that short ones are learnt too.
 SAMPLE, EXAMPLE = 500, 160
+#: Training examples of one row at most; those of a longer text are spread evenly over all of it.
+WINDOWS = 200
 EPOCHS, BATCH, RATE = 3, 128, 0.5
 #: Times the score of an even guess that a rejected prediction stays under.
 NEAR_CHANCE = 1.2
@@ -147,6 +149,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _spread(text: str) -> Column:
+    """The text, or its WINDOWS evenly spread examples if it has more."""
+    n = F.ceil(F.length(text) / EXAMPLE)
+    start = lambda i: (F.floor(i * n / WINDOWS) * EXAMPLE + 1).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.col(text).substr(start(i), F.lit(EXAMPLE)))
+    return F.when(n > WINDOWS, F.array_join(parts, "")).otherwise(F.col(text))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Train on about ``sample`` rows of each language, drawn by a hash of the row."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -156,7 +166,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not counts:
         return None
     rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, (sample << 20) // n + 1))))
-    rows = own.where(F.col("draw") < F.element_at(rate, F.col("lang"))).select("doc_id", "text", "lang").collect()
+    rows = own.where(F.col("draw") < F.element_at(rate, F.col("lang"))).select("doc_id", _spread("text").alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
