@@ -290,10 +290,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(fps: DataFrame, bits: int = 64, radius: int = 3, width: int = 16) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp, ...), which should be a written table."""
+def grouped(fps: DataFrame, bits: int = 64, radius: int = 3, width: int = 16, bare: bool = True) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp, ...), which should be a written table.
+
+    Without ``bare`` the zero fingerprint, of texts that have no word, links to no other.
+    """
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(link(nodes, bits, radius, width)).withColumnRenamed("node", "fp")
+    linked = nodes if bare else nodes.where(F.col("fp") != F.lit(bytes(bits // 8)))
+    roots = components(link(linked, bits, radius, width)).withColumnRenamed("node", "fp")
     root = F.coalesce("root", "fp")
     own = nodes.join(roots, "fp", "left").select("fp", root.alias("root"), "first_id")
     least = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -319,10 +323,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 4
 
     Wide fingerprints, as 64 bits don't tell a similarity of 0.8: links agree on
     at least one of the ``bits // width`` blocks, which at 0.8 misses one pair in
-    twenty and at 0.9 one in a thousand. Of repeated rows one stays.
+    twenty and at 0.9 one in a thousand. Of repeated rows one stays. Texts without a
+    word are alike and unlike any other: two shingles set few bits, so such a text
+    could be near to the zero fingerprint by chance.
     """
     fps = cut(fingerprints(docs, shingle, bits, repeats=False))
-    parts = grouped(fps, bits, radius, width)
+    parts = grouped(fps, bits, radius, width, bare=False)
     members = fps.join(parts, "fp").withColumn("key", F.struct("doc_id", "text_hash"))
     # A group is its component; those with no id at all are told apart by their fingerprint.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]

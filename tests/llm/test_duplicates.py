@@ -90,6 +90,17 @@ def test_one_of_each_group_stays(spark):
     assert simhash.block_recall(0.8) > 0.95 and simhash.block_recall(0.9) > 0.998
 
 
+def test_short_texts_do_not_join_those_without_words(spark):
+    rng = random.Random(8)
+    texts = [words(rng, 6) for _ in range(3000)]
+    flat = np.array([h for t in texts for h in simhash.shingle_hashes(t, 5)], np.uint64)
+    ones = np.bitwise_count(simhash.fold(flat, np.arange(0, len(flat) + 1, 2), 4)).sum(axis=1)
+    near = [t for t, n in zip(texts, ones, strict=True) if n <= 48]
+    assert len(near) >= 3  # two shingles set a quarter of the bits, so chance brings some near to zero
+    docs = frame(spark, [(1, "", None, None, None), (2, None, None, None, None), *((10 + i, t, None, None, None) for i, t in enumerate(near))])
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, *range(10, 10 + len(near))]
+
+
 def shingles(text: str) -> set:
     w = text.split()
     return set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())

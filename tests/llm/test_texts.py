@@ -90,6 +90,13 @@ def test_the_article_in_a_main_part_and_marks_by_name():
     assert html.main_text(page) == "Head\n" + "\n".join(f"Paragraph {i}, with some words, and marks; enough of them." for i in range(4))
 
 
+def test_a_name_may_say_what_stands_beside():
+    body = "".join(f"<p>Paragraph {i}, with some words, and marks; enough of them.</p>" for i in range(4))
+    for name in ("layout has-sidebar", "content-with-sidebar", "hasSidebar", "no-comments"):
+        page = f'<div class="{name}"><div class="text">{body}</div><div class="sidebar"><p>Other, things, here.</p></div></div>'
+        assert html.main_text(page) == "\n".join(f"Paragraph {i}, with some words, and marks; enough of them." for i in range(4))
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("just text &lt; 3", "just text < 3"), ("<p>a<p>b", "a\nb"), ("<p>a <b>b<p>c", "a b\nc"), ("<article><p>cut off tag <a href=", "cut off tag"), ("<script>only()", ""), ("a < b and c > d", "a < b and c > d"), ("<nav>menu</nav>", "")],
@@ -140,6 +147,16 @@ def test_language_of_hard_rows(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_examples_of_a_long_text_are_spread_over_it(spark):
+    ex, most = langid.EXAMPLE, langid.WINDOWS
+    long = "".join(f"{i:0{ex}d}" for i in range(3 * most)) + "end"
+    docs = frame(spark, [(1, long, "en", None, None), (2, "short", "en", None, None), (3, "x" * ex * most, "en", None, None)])
+    got = {r["doc_id"]: r["text"] for r in docs.select("doc_id", langid._spread("text").alias("text")).collect()}
+    parts = [int(got[1][i : i + ex]) for i in range(0, len(got[1]), ex)]
+    assert parts == [i * (3 * most + 1) // most for i in range(most)]
+    assert got[2] == "short" and got[3] == "x" * ex * most
+
+
 def test_a_prediction_does_not_depend_on_its_batch():
     m = langid.train(["the one and the other", "der eine und die andere"] * 40, ["en", "de"] * 40)
     alone = m.scores(["the end"])
