@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def csv_chunks(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -14,7 +15,7 @@ def csv_chunks(spark: SparkSession, folder: str, schema: str, files_per_trigger:
     return spark.readStream.option("header", "true").option("maxFilesPerTrigger", str(files_per_trigger)).schema(schema).csv(folder)
 
 
-def parquet_chunks(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+def parquet_chunks(spark: SparkSession, folder: str, schema: str | StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.option("maxFilesPerTrigger", str(files_per_trigger)).schema(schema).parquet(folder)
 
 
@@ -34,7 +35,8 @@ def running_average(stream: DataFrame, group: Sequence[str], value: str, weight:
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
     """Counts by event-time window and key; rows later than ``late`` are dropped."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))  # event time has a zone
+    return timed.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
 def append_log(folder: str) -> Callable[[DataFrame, int], None]:
