@@ -6,7 +6,7 @@ first three stages return the columns of ``documents``:
 
 1. language ID drops the documents whose language is rejected;
 2. SimHash near-duplicates leave one document of each group (five-word shingles,
-   a Jaccard similarity of about 0.8 or more);
+   an exact Jaccard similarity of 0.8 or more);
 3. secret scans replace every span of a secret by a mask, so no document is lost;
 4. best-fit packing gives the pieces of the documents and their places.
 """

@@ -72,7 +72,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp, text_hash) of every row; ``fp`` is big-endian binary of ``bits`` bits; without repeats a shingle counts once."""
+    """(doc_id, fp, text_hash) of every row; ``fp`` is big-endian binary of ``bits`` bits.
+
+    Without repeats a shingle counts once, and eight bytes of a digest of the distinct
+    shingles follow, so that texts share an ``fp`` only if they share their shingles.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -82,10 +86,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, repeats: boo
             for a, b in text_chunks(texts, 2 << 20):
                 lists = [shingle_hashes(t, shingle) for t in texts[a:b]]
                 if not repeats:
-                    lists = [list(set(hs)) for hs in lists]
+                    lists = [sorted(set(hs)) for hs in lists]
                 flat = np.array([h for hs in lists for h in hs], np.uint64)
                 words = fold(flat, offsets([len(hs) for hs in lists]), bits // 64).astype(">u8")
-                found += [w.tobytes() for w in words]
+                tails = [b"" if repeats else xxhash.xxh64_digest(np.array(hs, "<u8").tobytes(), SEED) for hs in lists]
+                found += [w.tobytes() + tail for w, tail in zip(words, tails, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "fp", "text_hash"]
             )
@@ -174,14 +179,42 @@ def forest(n: int, pairs) -> np.ndarray:
     return label
 
 
-def _edges(radius: int):
-    """Rows (bucket, fp) sorted by bucket to edges (a, b), many buckets at a time."""
+def _edges(radius: int, words: int, nearest: bool = False):
+    """Rows (bucket, fp) sorted by bucket to edges (a, b), many buckets at a time.
 
-    def solve(keys: pa.Array, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    The edges are a spanning forest of a bucket's links; if the rows have a ``part``,
+    they are all links between different parts, or with ``nearest`` each row's closest one.
+    """
+
+    def buckets(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.diff(codes, prepend=-1))
         sizes = np.diff(np.r_[starts, len(codes)])
-        small = sizes <= FAN
+        return starts, sizes, sizes <= FAN
+
+    def across(keys: pa.Array, fps: np.ndarray, parts: np.ndarray):
+        starts, sizes, small = buckets(keys)
+        i, j = small_links(fps, starts[small], sizes[small], radius)
+        apart = parts[i] != parts[j]
+        yield i[apart], j[apart]
+        for s, n in zip(starts[~small], sizes[~small], strict=True):
+            order = s + gray_order(fps[s : s + n])
+            for i, j in gray_links(fps[order], radius):
+                i, j = order[i], order[j]
+                apart = parts[i] != parts[j]
+                yield i[apart], j[apart]
+
+    def closest(fps: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
+        best = np.full(len(fps), np.iinfo(np.int64).max)
+        for i, j in found:
+            off = _diff(fps[i], fps[j]).astype(np.int64) << 32
+            np.minimum.at(best, i, off | j)
+            np.minimum.at(best, j, off | i)
+        own = np.flatnonzero(best != np.iinfo(np.int64).max)
+        return own, best[own] & 0xFFFFFFFF
+
+    def solve(keys: pa.Array, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, sizes, small = buckets(keys)
         a, b = small_links(fps, starts[small], sizes[small], radius)
         label = forest(len(fps), [(a, b)])
         for s, n in zip(starts[~small], sizes[~small], strict=True):
@@ -198,10 +231,17 @@ def _edges(radius: int):
         def flush(table: pa.Table):
             raw = table.column("fp").combine_chunks()
             data = b"".join(raw.to_pylist())
-            fps = np.frombuffer(data, ">u8").astype(np.uint64).reshape(len(raw), -1)
-            away, root = solve(table.column("bucket").combine_chunks(), fps)
-            if len(away):
-                yield pa.RecordBatch.from_arrays([raw.take(pa.array(away)), raw.take(pa.array(root))], ["a", "b"])
+            fps = np.ascontiguousarray(np.frombuffer(data, ">u8").astype(np.uint64).reshape(len(raw), -1)[:, :words])
+            keys = table.column("bucket").combine_chunks()
+            if "part" in table.column_names:
+                parts = table.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                found = across(keys, fps, parts)
+                found = [closest(fps, found)] if nearest else found
+            else:
+                found = [solve(keys, fps)]
+            for i, j in found:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([raw.take(pa.array(i)), raw.take(pa.array(j))], ["a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -228,12 +268,15 @@ def _blocks(bits: int, width: int) -> list[int]:
     return list(range(0, bits - width + 1, width))
 
 
-def link(nodes: DataFrame, bits: int = 64, radius: int = 3, width: int = 16) -> DataFrame:
+def link(nodes: DataFrame, bits: int = 64, radius: int = 3, width: int = 16, nearest: bool = False) -> DataFrame:
     """Spanning edges (a, b) among distinct fingerprints (column ``fp``) within ``radius`` bits.
 
     All links are found if ``bits // width > radius``; else those that agree on a
-    block of ``width`` bits.
+    block of ``width`` bits. If ``nodes`` have a ``part`` and a ``within``, the edges are
+    all links between different parts of the same ``within``, or with ``nearest`` the
+    closest one of each node in each bucket.
     """
+    more = ["part"] if "part" in nodes.columns else []
     exact = bits // width > radius
     digits = F.hex("fp")  # a digit holds four bits
     if width % 4:
@@ -243,7 +286,11 @@ def link(nodes: DataFrame, bits: int = 64, radius: int = 3, width: int = 16) ->
         F.explode(
             F.array(*(F.concat(F.lit(f"{k}:"), digits.substr(s // 4 + 1, width // 4)) for k, s in enumerate(_blocks(bits, width))))
         ).alias("bucket"),
+        *more,
+        *(["within"] if more else []),
     )
+    if more:
+        keyed = keyed.withColumn("bucket", F.concat("bucket", F.lit("/"), F.hex("within"))).drop("within")
     if exact and bits == 64 and width == 16:
         # A large bucket is dealt out by blocks of 12 of its other 48 bits: pairs within the
         # radius agree on one of those as well.
@@ -253,8 +300,8 @@ def link(nodes: DataFrame, bits: int = 64, radius: int = 3, width: int = 16) ->
         rest = F.concat(F.substring(digits, F.lit(1), 4 * block), digits.substr(4 * block + 5, F.lit(12)))
         again = F.array(*(F.concat("bucket", F.lit(f"/{k}:"), rest.substr(3 * k + 1, 3)) for k in range(4)))
         keyed = keyed.withColumn("bucket", F.explode(F.when(F.col("n") > LARGE, again).otherwise(F.array("bucket"))))
-    dealt = keyed.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return dealt.mapInArrow(_edges(radius), "a binary, b binary").distinct()
+    dealt = keyed.select("bucket", "fp", *more).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    return dealt.mapInArrow(_edges(radius, bits // 64, nearest), "a binary, b binary").distinct()
 
 
 # -- components ----------------------------------------------------------------
@@ -290,20 +337,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(fps: DataFrame, bits: int = 64, radius: int = 3, width: int = 16, bare: bool = True) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp, ...), which should be a written table.
-
-    Without ``bare`` the zero fingerprint, of texts that have no word, links to no other.
-    """
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = nodes if bare else nodes.where(F.col("fp") != F.lit(bytes(bits // 8)))
-    roots = components(link(linked, bits, radius, width)).withColumnRenamed("node", "fp")
-    root = F.coalesce("root", "fp")
-    own = nodes.join(roots, "fp", "left").select("fp", root.alias("root"), "first_id")
+def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id) of ``nodes`` (fp, first_id) by the roots of those that have an edge."""
+    own = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return own.join(least, "root").select("fp", "component_id")
 
 
+def grouped(fps: DataFrame, bits: int = 64, radius: int = 3, width: int = 16) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp, ...), which should be a written table."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    return _labelled(nodes, components(link(nodes, bits, radius, width)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     fps = cut(fingerprints(docs, shingle))
@@ -315,20 +361,91 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 # Five-word shingles at a Jaccard similarity of 0.8 differ in a share of
 # acos(2 * 0.8 / 1.8) / pi = 0.151 of the bits: 38.8 of 256 on average, with a
-# standard deviation of 5.7. Unrelated texts differ in 128 and deviate by 8.
+# standard deviation of 5.7. Unrelated texts differ in 128 and deviate by 8. The bits
+# only propose a link; the shingles themselves decide on it.
+
+#: Least Jaccard similarity of the distinct shingles of near-duplicates, as a fraction.
+NEAR = (4, 5)
+#: Rounds of closest links before all that are left are looked at; they save work and change no result.
+NEAREST_ROUNDS = 1
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(fp, shingles) of ``wanted`` (fp, key): the distinct hashes in order, as bytes, of the row with that key."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.array(sorted(set(shingle_hashes(t or "", shingle))), "<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("own_text"), F.xxhash64("text").alias("own_hash"))
+    rows = own.join(wanted, F.col("own_id").eqNullSafe(F.col("key.doc_id")) & (F.col("own_hash") == F.col("key.text_hash")))
+    return rows.select("fp", "own_text").mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
+
+
+def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``edges`` (a, b) whose shingles have a Jaccard similarity of ``NEAR`` or more."""
+    part, whole = NEAR
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(whole * both >= part * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sized = sets.withColumn("n", F.length("shingles"))
+    one = sized.select(F.col("fp").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("m"))
+    pairs = edges.join(one, "a").join(sized.withColumnRenamed("fp", "b"), "b").where(whole * F.least("m", "n") >= part * F.greatest("m", "n"))
+    return pairs.select("a", "b", "x", "shingles").mapInArrow(run, "a binary, b binary")
+
+
+def confirmed_roots(docs: DataFrame, nodes: DataFrame, shingle: int, bits: int, radius: int, width: int) -> DataFrame:
+    """(node, root) over all links of ``nodes`` (fp, key) that ``confirmed`` lets stand.
+
+    First the spanning edges are looked at, then, in each group that falls apart, the
+    closest link of every node to another part. What that leaves apart, though
+    the bits connect it, may have further links: all those between the parts are
+    looked at last.
+    """
+    edges = cut(link(nodes.select("fp"), bits, radius, width))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = cut(shingle_sets(docs, nodes.join(ends, "fp", "left_semi").select("fp", "key"), shingle))
+    bound = cut(components(edges).select(F.col("node").alias("fp"), F.col("root").alias("within")))
+
+    def parted(good: DataFrame) -> DataFrame:
+        parts = components(good).select(F.col("node").alias("fp"), F.col("root").alias("part"))
+        own = cut(bound.join(parts, "fp", "left").select("fp", "within", F.coalesce("part", "fp").alias("part")))
+        split = own.groupBy("within").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("within")
+        return own.join(split, "within")
+
+    good = cut(confirmed(edges, sets))
+
+    def across(good: DataFrame, nearest: bool = False) -> DataFrame:
+        found = link(parted(good), bits, radius, width, nearest)
+        return confirmed(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets)
+
+    for _ in range(NEAREST_ROUNDS):
+        good = cut(good.union(across(good, nearest=True)))
+    return components(good.union(across(good)))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 48, width: int = 12) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each group of near-duplicates; columns stay.
 
-    Wide fingerprints, as 64 bits don't tell a similarity of 0.8: links agree on
-    at least one of the ``bits // width`` blocks, which at 0.8 misses one pair in
-    twenty and at 0.9 one in a thousand. Of repeated rows one stays. Texts without a
-    word are alike and unlike any other: two shingles set few bits, so such a text
-    could be near to the zero fingerprint by chance.
+    Near-duplicates share four fifths of their distinct shingles, which is checked on
+    each link before groups are formed. The links are proposed by wide fingerprints at
+    ``radius`` or fewer differing bits that agree on at least one of the
+    ``bits // width`` blocks; ``recall`` gives the share of pairs that both keep. Of
+    repeated rows one stays. Texts without a word are alike and unlike any other.
     """
     fps = cut(fingerprints(docs, shingle, bits, repeats=False))
-    parts = grouped(fps, bits, radius, width, bare=False)
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("key"))
+    worded = nodes.where(F.substring("fp", 1, bits // 8) != F.lit(bytes(bits // 8)))
+    parts = _labelled(nodes.drop("key"), confirmed_roots(docs, worded, shingle, bits, radius, width))
     members = fps.join(parts, "fp").withColumn("key", F.struct("doc_id", "text_hash"))
     # A group is its component; those with no id at all are told apart by their fingerprint.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
@@ -344,3 +461,11 @@ def block_recall(similarity: float, bits: int = 256, width: int = 12) -> float:
     """Share of pairs of that Jaccard similarity which agree on a block."""
     p = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return float(1 - (1 - p**width) ** (bits // width))
+
+
+def recall(similarity: float, bits: int = 256, radius: int = 48, width: int = 12, pairs: int = 100_000, seed: int = 1) -> float:
+    """Share of simulated pairs of that Jaccard similarity which agree on a block and lie within the radius, for independent bits."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    off = np.random.default_rng(seed).random((pairs, bits), np.float32) < p
+    block = ~off[:, : bits // width * width].reshape(pairs, -1, width).any(axis=2)
+    return float((block.any(axis=1) & (off.sum(axis=1) <= radius)).mean())

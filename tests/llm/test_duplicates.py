@@ -101,6 +101,51 @@ def test_short_texts_do_not_join_those_without_words(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, *range(10, 10 + len(near))]
 
 
+def _least_of_groups(texts: list[str]) -> list[int]:
+    """Places of the first texts of the groups over all pairs that share four fifths of their shingles and that the bits propose."""
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    flat = np.array([h for x in sets for h in x], np.uint64)
+    fps = simhash.fold(flat, np.cumsum([0, *map(len, sets)]), 4)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        off = np.bitwise_count(fps ^ fps[i]).sum(axis=1)
+        for j in np.flatnonzero(off <= 48):
+            digits = ["".join(f"{int(w):016x}" for w in fps[k]) for k in (i, j)]
+            block = any(digits[0][k : k + 3] == digits[1][k : k + 3] for k in range(0, 63, 3))
+            if block and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return sorted(set(label))
+
+
+def test_texts_that_share_a_long_passage_stay(spark):
+    rng = random.Random(4)
+    passage = words(rng, 150)
+    texts = [f"{passage} {words(rng, 32)}" for _ in range(120)]  # a similarity of about 0.7
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(120))
+
+
+def test_groups_are_those_of_confirmed_links(spark):
+    rng = random.Random(6)
+    passage = words(rng, 150)
+    texts = []
+    for _ in range(40):
+        own = f"{passage} {words(rng, rng.randint(20, 40))}"
+        texts.append(own)
+        for _ in range(rng.randint(0, 2)):
+            w = own.split(" ")
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = "other"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    expected = _least_of_groups(texts)
+    assert 40 <= len(expected) < len(texts)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == expected
+    assert 0.91 < simhash.recall(0.8) < 0.93
+
+
 def shingles(text: str) -> set:
     w = text.split()
     return set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
