@@ -46,6 +46,18 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
+# The body of a private key: header lines, lines of base64 (of any length, also indented,
+# quoted or with written-out \\n), long runs of base64 between blanks, and the END line.
+# Possessive loops neither go back nor recurse in Java, so no length is too much.
+_BREAK = r"(?:[ \t]*+(?:\r?\n|\r|\\r\\n|\\n))++[ \t>#*]*+"
+_BODY = (
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Comment):(?:[^\r\n\\]|\\(?![rn]))*+)*+"
+    rf"(?:(?:{_BREAK}|\s*+)[A-Za-z0-9+/]{{40,}}+=*+|{_BREAK}[A-Za-z0-9+/]++=*+(?=[ \t]*+(?:[\r\n\"']|\\[rn]|-----END|$))|\s++[A-Za-z0-9+/]++=*+(?=\s*+-----END))*+"
+    rf"(?:(?:{_BREAK}|\s*+)-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?+"
+)
+#: The rules that ``redact`` masks by: a private key with its body.
+MASKED = tuple(Rule(r.kind, r.pattern + _BODY) if r.kind == "pem" else r for r in RULES)
+
 #: Alternatives beyond which a part of a pattern counts as unknown.
 MOST = 64
 GAP = "\0"
@@ -196,7 +208,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = MASKED, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mask``; n_chars follows where there is one.
 
     Rows are found again by doc_id and text, so only those with a span are joined to.
