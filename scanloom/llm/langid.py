@@ -36,8 +36,8 @@ SAMPLE, EXAMPLE = 500, 160
 #: Training examples of one row at most; those of a longer text are spread evenly over all of it.
 WINDOWS = 200
 EPOCHS, BATCH, RATE = 3, 128, 0.5
-#: Times the score of an even guess that a rejected prediction stays under.
-NEAR_CHANCE = 1.2
+#: Share of right predictions for held-out whole texts that may be rejected; of a few hundred texts it is the lowest score.
+LOST = 0.0005
 PAD = b" " * max(GRAMS)
 
 
@@ -138,10 +138,10 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(of)), of]).mean())
 
         model.heat = float(min(np.geomspace(0.05, 20, 60), key=loss))
-        top = model.scores(cut)
-        right = top.max(axis=1)[top.argmax(axis=1) == of]
-        # Few right predictions for a short text may be rejected, and only such as are near to chance.
-        model.least = float(min(NEAR_CHANCE / len(langs), np.quantile(right, 0.0005))) if len(right) else 0.0
+        whole = [i for i in sorted(held) if LETTER.search(texts[i])]
+        top = model.scores([texts[i] for i in whole]) if whole else np.zeros((0, len(langs)))
+        right = top.max(axis=1)[top.argmax(axis=1) == [y[i] for i in whole]] if whole else []
+        model.least = float(np.quantile(right, LOST)) if len(right) else 0.0
     return model
 
 

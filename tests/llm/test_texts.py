@@ -156,6 +156,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert langid.keep_identified(docs).count() >= 0.98 * docs.count()
 
 
+def test_languages_not_learnt_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = [
+        "Bu cümle modelin hiç görmediği bir dilde yazılmıştır ve çok kolaydır. " * 3,
+        "Tämä on suomenkielinen lause jota malli ei ole koskaan nähnyt. " * 3,
+        "Это обычный русский текст, который никто не учил распознавать. " * 3,
+        "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)),
+    ]
+    model = langid.fit(docs)
+    got = langid.predict(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(others)], DOCS), model).collect()
+    assert len(model.langs) == 4 and all(r["rejected"] for r in got)
+    assert langid.predict(docs, model).where("rejected").count() <= 0.02 * docs.count()
+
+
 def test_language_of_hard_rows(spark):
     data = [(i, ["the one and the other of them", "der eine und die andere von ihnen"][i % 2], ["en", "de"][i % 2], None, None) for i in range(80)]
     docs = frame(spark, [*data, (500, None, "en", None, None), (501, "123 !?", None, None, None), (502, "", None, None, None), (None, "the other of the ones", None, None, None), (503, "the one " * 30000, None, None, None)])
