@@ -1,6 +1,7 @@
 """License scans (operator 7) by a trained paragraph classifier.
 
-A paragraph is a line of the text. Hashed word one- to three-grams go into a
+Lines are classified one by one, and notices that are wrapped over lines of one
+paragraph (up to a line without a word) as a whole. Hashed word one- to three-grams go into a
 multinomial logistic regression, trained by stochastic gradient descent in numpy
 on varied notices of each licence family and on a bounded sample of lines from
 the corpus as the class without a licence. A part that isn't trained on sets the
@@ -16,6 +17,9 @@ alone to learn from); other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,6 +200,89 @@ def agreements(line: str) -> dict[str, float]:
     return out
 
 
+#: Punctuation and blanks beyond ASCII, and words that start a comment line.
+GLUE = re.compile(rb"\xe2\x80[\x80-\xbf]|\xc2[\xa0-\xbf]")
+MARK = re.compile(rb"^ *(?:dnl|rem)(?= |$)")
+
+
+def _numbered_pairs() -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
+    """Sorted hashes of the templates' word pairs and the owners of each."""
+    known = {p: o for p, o in _OWNERS.items() if len(p) == 2}
+    word, _ = word_hashes([" ".join(p).encode() for p in known])
+    key = _pair_keys(word)[::2]
+    order = np.argsort(key)
+    owners = list(known.values())
+    return key[order], [owners[i] for i in order]
+
+
+def _pair_keys(word: np.ndarray) -> np.ndarray:
+    return word[:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:]
+
+
+_WORDS = {(f, k): len(plain(t).split()) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)}
+_PAIR_KEYS, _PAIR_OWNERS = _numbered_pairs()
+
+
+def wrapped(lines: list[bytes], text_of: np.ndarray) -> list[tuple[int, int, str, bytes]]:
+    """Notices that run over lines of one paragraph, as (first line, last line, family, their words).
+
+    A paragraph ends at a line without a word or with its text. In a window of at most
+    twice a template's words, ``CONFIRM`` of its word pairs are met; windows of one
+    template that overlap are one notice, and of two notices that overlap the one
+    that agrees more with its template stays.
+    """
+    lines = [MARK.sub(b"", x if x.isascii() else GLUE.sub(b" ", x)) for x in lines]
+    word, of = word_hashes(lines)
+    if len(word) < 2:
+        return []
+    n = np.diff(of)
+    part = np.cumsum((n == 0) | (np.diff(text_of, prepend=-1) != 0))
+    line = np.repeat(np.arange(len(lines)), n)
+    key = _pair_keys(word)
+    at = np.minimum(np.searchsorted(_PAIR_KEYS, key), len(_PAIR_KEYS) - 1)
+    hits = np.flatnonzero((_PAIR_KEYS[at] == key) & (part[line[:-1]] == part[line[1:]]))
+    owned: dict[tuple[int, tuple[str, int]], list[tuple[int, int]]] = {}
+    for h, paragraph, pair in zip(hits.tolist(), part[line[hits]].tolist(), at[hits].tolist(), strict=True):
+        for owner in _PAIR_OWNERS[pair]:
+            owned.setdefault((paragraph, owner), []).append((h, pair))
+    found = []
+    for (_, owner), places in owned.items():
+        need, most = CONFIRM * _SIZES[owner], 2 * _WORDS[owner]
+        if len(places) < need:
+            continue
+        held: Counter = Counter()
+        first, spans = 0, []
+        for pos, pair in places:
+            held[pair] += 1
+            # what is too far away is left out, and what doubles if the rest is enough
+            while pos + 2 - places[first][0] > most or (len(held) >= need and held[places[first][1]] > 1):
+                gone = places[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            if len(held) < need:
+                continue
+            if spans and places[first][0] <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], pos + 1, max(spans[-1][2], len(held)))
+            else:
+                spans.append((places[first][0], pos + 1, len(held)))
+        found += [(k / _SIZES[owner], k, -a, b, owner[0]) for a, b, k in spans]
+    out: list[tuple[int, int, str, bytes]] = []
+    near: dict[int, list[tuple[int, int]]] = {}
+    for _, _, a, b, family in sorted(found, reverse=True):
+        a, paragraph = -a, int(part[line[b]])
+        taken = near.setdefault(paragraph, [])
+        place = bisect.bisect(taken, (a, b))
+        if (place and taken[place - 1][1] >= a) or (place < len(taken) and taken[place][0] <= b):
+            continue
+        taken.insert(place, (a, b))
+        i, j = int(line[a]), int(line[b])
+        if i < j:
+            out.append((i, j, family, b" ".join(b" ".join(lines[i : j + 1]).split()[a - of[i] : b - of[i] + 1])))
+    return sorted(out)
+
+
 def train(lines: list[str], seed: int = 11) -> Model:
     """Fit on varied notices and on ``lines`` of the corpus that agree with no template."""
     rng = np.random.default_rng(seed)
@@ -270,8 +357,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def findings(lines: list[str], p: np.ndarray, m: Model):
-        out, starts = [], offsets([len(x) + 1 for x in lines])
+    def findings(lines: list[str], p: np.ndarray, m: Model, notices: list[tuple[int, int, str, float, float]]):
+        rows, out, starts = [], [], offsets([len(x) + 1 for x in lines])
+        over = {}
+        for a, b, family, score, agreed in notices:
+            rows.append([a, b - a + 1, int(starts[a]), int(starts[b] + len(lines[b])), family, score, agreed])
+            over |= {i: {UNKNOWN, family} | over.get(i, set()) for i in range(a, b + 1)}
         for i in np.flatnonzero(1 - p[:, -1] >= m.least):
             k = int(p[i, :-1].argmax())
             family, score, line = m.families[k], float(1 - p[i, -1]), lines[i]
@@ -283,10 +374,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 continue  # nothing in it is like any notice
             if agreed < CONFIRM:
                 family = UNKNOWN
-            row = [int(i), 1, int(starts[i]), int(starts[i] + len(line)), family, score, agreed]
-            if out and out[-1][4] == family and out[-1][0] + out[-1][1] == i:
-                last = out[-1]
-                last[1], last[3], last[5], last[6] = last[1] + 1, row[3], max(last[5], score), max(last[6], agreed)
+            if family not in over.get(int(i), ()):
+                rows.append([int(i), 1, int(starts[i]), int(starts[i] + len(line)), family, score, agreed])
+        for row in sorted(rows):
+            last = out[-1] if out else None
+            if last and last[4] == row[4] and last[0] + last[1] >= row[0]:
+                last[1], last[3], last[5], last[6] = max(last[1], row[0] + row[1] - last[0]), max(last[3], row[3]), max(last[5], row[5]), max(last[6], row[6])
             else:
                 out.append(row)
         return out
@@ -301,8 +394,18 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 flat = [x.encode("utf-8", "surrogatepass").translate(ASCII) for xs in lists for x in xs]
                 p, off = m.scores(flat), offsets([len(xs) for xs in lists])
                 hit = np.add.reduceat((1 - p[:, -1] >= m.least).astype(np.int64), off[:-1]) > 0
+                text_of = np.repeat(np.arange(len(lists)), np.diff(off))
+                spread = wrapped(flat, text_of)
+                claim = 1 - m.scores([x[3] for x in spread])[:, -1] if spread else []
+                notices: dict[int, list] = {}
+                for (i, j, family, own), score in zip(spread, claim, strict=True):
+                    agreed = agreements(own.decode("utf-8", "replace")).get(family, 0.0)
+                    if score >= m.least and agreed >= CONFIRM:
+                        d = int(text_of[i])
+                        notices.setdefault(d, []).append((int(i - off[d]), int(j - off[d]), family, float(score), agreed))
+                        hit[d] = True
                 for d in np.flatnonzero(hit):
-                    rows += [(ids[a + d], *r) for r in findings(lists[d], p[off[d] : off[d + 1]], m)]
+                    rows += [(ids[a + d], *r) for r in findings(lists[d], p[off[d] : off[d + 1]], m, notices.get(int(d), []))]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split(" ")[0] for f in FOUND.split(", ")])

@@ -223,6 +223,32 @@ def test_findings(spark, sf_dir):
     assert licenses.licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_wrapped_notices_keep_their_family(spark):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    rng = random.Random(3)
+    data = [(i, "\n".join(words(rng, 9) for _ in range(20)), "en", None, 1) for i in range(200)]
+    filler = [words(rng, 9) for _ in range(3)]
+    texts = {}
+    for k, (family, notice) in enumerate((("mit", mit), ("gpl", gpl), ("bsd", bsd))):
+        for m, mark in enumerate(("", "# ", " * ", "// ", "dnl ")):
+            texts[1000 + 10 * k + m] = (family, [*filler, "", *(mark + x for x in notice), "", *filler])
+    apart = [gpl[0], "", gpl[1], "", gpl[2]]
+    texts[2000] = (None, apart)
+    got = licenses.licenses(spark.createDataFrame([*data, *((i, "\n".join(t), "en", None, 1) for i, (_, t) in texts.items())], DOCS)).collect()
+    for i, (family, lines) in texts.items():
+        found = [r for r in got if r["doc_id"] == i]
+        if family is None:
+            assert all(r["family"] == licenses.UNKNOWN for r in found)
+            continue
+        own = [r for r in found if r["family"] == family]
+        assert len(own) == 1 and own[0]["line"] == 4 and own[0]["lines"] >= 2, (i, found)
+        text = "\n".join(lines)
+        assert text[own[0]["start"] : own[0]["end"]] == "\n".join(lines[4 : 4 + own[0]["lines"]])
+        assert {r["family"] for r in found} <= {family, licenses.UNKNOWN}
+
+
 def test_an_unclear_licence_is_unknown():
     model = licenses.train([words(random.Random(i), 10) for i in range(2000)])
     line = "Use is subject to the license agreement."
