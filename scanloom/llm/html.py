@@ -63,6 +63,8 @@ ASIDE_NAMES = frozenset(
     " paywall popup promo promoted promotion rail recommended related reply replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe"
     " subscription toolbar widget widgets".split()
 )
+#: Tags that mark like a name does: whole pages may stand in one.
+SOFT_TAGS = frozenset("form fieldset".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
 #: From one of these on, a name says what stands beside the element, not what it is.
 BESIDE = frozenset("has with without no".split())
@@ -77,6 +79,9 @@ class Element:
     aside: bool
     main: bool
     number: int
+    #: Whether it or one that holds it is hidden, and whether a form's tag or a name alone marks it itself.
+    hidden: bool = False
+    soft: bool = False
 
 
 @dataclass
@@ -87,15 +92,18 @@ class Block:
     path: tuple[str, ...] = field(default=())
 
 
-def _element(tag: str, attributes: str, parent: Element | None, number: int) -> Element:
+def _element(tag: str, attributes: str, parent: Element | None, number: int, void: frozenset[int] = frozenset()) -> Element:
     aside, main, label = parent is not None and parent.aside, tag in ("article", "main"), tag
+    above, out_of_sight, soft = aside, parent is not None and parent.hidden, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     if tag not in ("html", "body"):
-        aside = aside or tag in ASIDE_TAGS
+        hard, soft = tag in ASIDE_TAGS - SOFT_TAGS, tag in SOFT_TAGS
+        aside = aside or hard or soft
         if tag == "header":
             up = parent
             while up is not None and not up.main:
                 up = up.parent
+            hard = hard or up is None
             aside = aside or up is None  # an article's own header holds its title
         if found:
             tokens = ([w.lower() for w in NAME.findall(t)] for k in ("class", "id") for t in found.get(k, "").split())
@@ -105,13 +113,20 @@ def _element(tag: str, attributes: str, parent: Element | None, number: int) ->
             main = main or role in ("main", "article") or bool(names & MAIN_NAMES)
             named = bool(names & ASIDE_NAMES) and tag not in ("article", "main") and not (tag == "header" and not aside)
             aside = aside or hidden or role in ASIDE_ROLES or named
+            out_of_sight, hard, soft = out_of_sight or hidden, hard or hidden or role in ASIDE_ROLES, soft or named
             if found.get("class"):
                 label = f"{tag}.{found['class'].split()[0].lower()}" if found["class"].split() else tag
-    return Element(tag, label, parent, aside, main and not aside, number)
+        soft = soft and not hard
+        if number in void and not out_of_sight:
+            aside = above
+    return Element(tag, label, parent, aside, main and not aside, number, out_of_sight, soft)
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in its order, with references decoded and white space made single."""
+def blocks(page: str, void: frozenset[int] = frozenset()) -> list[Block]:
+    """The page's blocks of text in its order, with references decoded and white space made single.
+
+    The marks of the elements whose numbers are in ``void`` don't count.
+    """
     out: list[Block] = []
     root = Element("", "", None, False, False, 0)
     stack, parts, linked, links, count = [root], [], 0, 0, 0
@@ -192,7 +207,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         count += 1
-        e = _element(tag, m[3] or m[6] or "", stack[-1], count)
+        e = _element(tag, m[3] or m[6] or "", stack[-1], count, void)
         if tag not in BLOCK and e.aside != stack[-1].aside:
             flush()  # a hidden or marked inline element doesn't run into its block
             e.tag = "div"
@@ -236,8 +251,47 @@ def content_paths(found: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: s for p, s in scores.items() if s >= bar}
 
 
+def void_marks(every: list[Block]) -> frozenset[int]:
+    """Numbers of the elements whose marks don't count.
+
+    Those are all that hold a ``main`` element; and forms and names that hold the page's
+    strongest path, if no path outside of marks passes the threshold beside it.
+    """
+    void: set[int] = set()
+    seen: set[int] = set()
+    for b in every:
+        e, main = b.element, False
+        while e is not None and e.aside and (e.number not in seen or main):
+            if main:
+                if e.number in void:
+                    break
+                void.add(e.number)
+            seen.add(e.number)
+            main = main or (e.tag == "main" and not e.hidden)
+            e = e.parent
+    seen_by = [b for b in every if not b.element.hidden]
+    if void or all(not b.element.aside for b in seen_by):
+        return frozenset(void)
+    for b in seen_by:
+        b.path = _path(b.element)
+    scores = content_paths(seen_by)
+    if any(b.path in scores and not b.element.aside for b in seen_by):
+        return frozenset()
+    best = max(scores, key=lambda p: (scores[p], p))
+    for e in (b.element for b in seen_by if b.path == best):
+        up: Element | None = e
+        while up is not None and up.number not in void:
+            if up.soft:
+                void.add(up.number)
+            up = up.parent
+    return frozenset(void)
+
+
 def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page or "") if not b.element.aside]
+    every = blocks(page or "")
+    if void := void_marks(every):
+        every = blocks(page or "", void)
+    found = [b for b in every if not b.element.aside]
     if not found:
         return ""
     for b in found:

@@ -121,6 +121,23 @@ def test_a_name_may_say_what_stands_beside():
         assert html.main_text(page) == "\n".join(f"Paragraph {i}, with some words, and marks; enough of them." for i in range(4))
 
 
+def test_marks_around_the_whole_page_do_not_count():
+    body = "".join(f"<p>Paragraph {i}, with some words, and marks; enough of them.</p>" for i in range(6))
+    text = "\n".join(f"Paragraph {i}, with some words, and marks; enough of them." for i in range(6))
+    menu = "<nav><a href=a>Home</a><a href=b>News</a></nav><div class='sidebar'><p>Other, things.</p></div>"
+    for page in (
+        f"<form id=aspnetForm>{menu}<div id=text>{body}</div></form>",
+        f"<div class='layout sidebar-right'>{menu}<div class=text>{body}</div></div>",
+        f"<div class='widget'>{menu}<main>{body}</main></div><p>Some, words.</p>",
+        f"<form><fieldset>{menu}<article>{body}</article></fieldset></form>",
+    ):
+        assert html.main_text(f"<html><body>{page}</body></html>") == text
+    for page in (f"<div hidden><main>{body}</main></div>", f"<nav>{body}</nav>"):
+        assert html.main_text(page) == ""
+    short = "<div class=text><p>A short article, of a few words; and no more.</p></div>"
+    assert html.main_text(f"{short}<div class=comments>{body}</div>") == "A short article, of a few words; and no more."
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("just text &lt; 3", "just text < 3"), ("<p>a<p>b", "a\nb"), ("<p>a <b>b<p>c", "a b\nc"), ("<article><p>cut off tag <a href=", "cut off tag"), ("<script>only()", ""), ("a < b and c > d", "a < b and c > d"), ("<nav>menu</nav>", "")],
