@@ -1,17 +1,24 @@
 """HTML main text (operator 4) by tag-path ratios.
 
-A page is cut into blocks of text, each with its root-to-leaf tag path. Per path,
-text length (without links) and punctuation are aggregated to ratios per block;
-the ratios are smoothed over the page's order, fused to one score and held
-against a threshold, which selects the content paths. The element that holds the
-strongest path then gives its other blocks too, such as headings and short
-paragraphs. Elements that say by tag, role or class that they are menus, notices,
-adverts, forms, comments and the like take no part.
+A page is cut into blocks of text, each with its root-to-leaf tag path (a number:
+paths are nodes of a trie, so depth costs nothing). Per path, text length (without
+links) and punctuation are aggregated to ratios per block; the ratios are smoothed
+over the page's order and fused to one score, which a mark by name lowers. A path
+whose score is at least a share of that of the heaviest path is content: its
+blocks are the text. Blocks of weaker paths (headings, short paragraphs, list
+items, cells) come along only if they stand in the same container as blocks of
+content paths; containers are elements of general use with a class or an id.
+An ``article`` or ``main`` around the heaviest path bounds the text. Menus, page
+footers, asides, dialogs, form controls, hidden parts and what isn't text by its
+tag or role take no part, and containers with the lines that readers' comments
+start or end with (who says, how long ago, reply) don't either.
 
 Defined results: null or empty html, and pages without text, give the empty
 string; text that isn't markup counts as one block; unclosed, crossed and cut-off
-tags are read as browsers do in the plain cases; repeated rows and null ids keep
-a row each; an empty table gives no rows; other columns of the input aren't read.
+tags are read as browsers do in the plain cases; of paths that weigh the same the
+one that comes first counts as the heaviest; very long and very deep pages take
+time and memory in proportion; repeated rows and null ids keep a row each; an
+empty table gives no rows; other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -19,8 +26,8 @@ from __future__ import annotations
 import html
 import itertools
 import re
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -63,25 +70,36 @@ ASIDE_NAMES = frozenset(
     " paywall popup promo promoted promotion rail recommended related reply replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe"
     " subscription toolbar widget widgets".split()
 )
+#: Words that stand beside one of the names above without changing what it says.
+FRAME_NAMES = frozenset(
+    "area articles bar block body bottom box btn button col column container content cta form group head heading holder icon icons inner item items js left link links list main"
+    " meta outer page panel post posts primary reader readers right row secondary section site slot stories text thread top unit user users wp wrap wrapper".split()
+)
 #: Tags that mark like a name does: whole pages may stand in one.
 SOFT_TAGS = frozenset("form fieldset".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
 #: From one of these on, a name says what stands beside the element, not what it is.
 BESIDE = frozenset("has with without no".split())
+#: Elements of general use: with a class or an id they are containers of their own.
+CONTAINERS = frozenset("div ul ol center address article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Short lines by which readers' comments can be told.
+BYLINE = re.compile(r"\b(?:reply|says|wrote|commented)\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b", re.IGNORECASE)
+BYLINE_MOST = 60
 
 
-@dataclass
 class Element:
-    tag: str
-    label: str
-    parent: Element | None
-    aside: bool
-    main: bool
-    number: int
-    #: Whether it or one that holds it is hidden, and whether a form's tag or a name alone marks it itself.
-    hidden: bool = False
-    soft: bool = False
+    """An open tag. ``path`` numbers its root-to-leaf path, ``box`` is its container, ``number`` counts in page order."""
+
+    __slots__ = ("box", "hard", "hidden", "marks", "named", "number", "parent", "path", "place", "tag", "top", "main")
+
+    def __init__(self, tag: str, parent: Element | None, number: int):
+        self.tag, self.parent, self.number = tag, parent, number
+        self.hard = self.hidden = self.named = self.main = False
+        self.marks = ""  # what marks this element itself: nothing, "soft" or "hard"
+        self.top: Element | None = parent.top if parent else None
+        self.path, self.box, self.place = 0, parent.box if parent else self, parent.place if parent else self
 
 
 @dataclass
@@ -89,47 +107,74 @@ class Block:
     element: Element
     text: str
     linked: int
-    path: tuple[str, ...] = field(default=())
+
+    @property
+    def path(self) -> int:
+        return self.element.path
+
+    @property
+    def free(self) -> int:
+        return max(0, len(self.text) - self.linked)
 
 
-def _element(tag: str, attributes: str, parent: Element | None, number: int, void: frozenset[int] = frozenset()) -> Element:
-    aside, main, label = parent is not None and parent.aside, tag in ("article", "main"), tag
-    above, out_of_sight, soft = aside, parent is not None and parent.hidden, False
+def _words(names: str):
+    """The words of each name of a class or id, up to what stands beside the element."""
+    for token in names.split():
+        yield list(itertools.takewhile(lambda w: w not in BESIDE, (w.lower() for w in NAME.findall(token))))
+
+
+def _marked(words: list[str]) -> bool:
+    """Whether a name is one of ASIDE_NAMES, with none but framing words and short prefixes beside it."""
+    return any(w in ASIDE_NAMES for w in words) and all(w in ASIDE_NAMES or w in FRAME_NAMES or len(w) == 1 for w in words)
+
+
+def _element(tag: str, attributes: str, parent: Element, number: int, void: frozenset[int], paths: dict) -> Element:
+    e = Element(tag, parent, number)
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+    label, hard, soft, hidden, main = tag, False, False, False, tag in ("article", "main")
     if tag not in ("html", "body"):
-        hard, soft = tag in ASIDE_TAGS - SOFT_TAGS, tag in SOFT_TAGS
-        aside = aside or hard or soft
-        if tag == "header":
-            up = parent
-            while up is not None and not up.main:
-                up = up.parent
-            hard = hard or up is None
-            aside = aside or up is None  # an article's own header holds its title
+        hard, soft = tag in ASIDE_TAGS and tag not in SOFT_TAGS, tag in SOFT_TAGS
+        own_header = tag == "header" and parent.top is not None  # an article's own header holds its title
+        hard = hard or (tag == "header" and not own_header)
         if found:
-            tokens = ([w.lower() for w in NAME.findall(t)] for k in ("class", "id") for t in found.get(k, "").split())
-            names = {w for t in tokens for w in itertools.takewhile(lambda w: w not in BESIDE, t)}
+            names = [w for k in ("class", "id") for w in _words(found.get(k, ""))]
             role = found.get("role", "").lower()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-            main = main or role in ("main", "article") or bool(names & MAIN_NAMES)
-            named = bool(names & ASIDE_NAMES) and tag not in ("article", "main") and not (tag == "header" and not aside)
-            aside = aside or hidden or role in ASIDE_ROLES or named
-            out_of_sight, hard, soft = out_of_sight or hidden, hard or hidden or role in ASIDE_ROLES, soft or named
-            if found.get("class"):
-                label = f"{tag}.{found['class'].split()[0].lower()}" if found["class"].split() else tag
-        soft = soft and not hard
-        if number in void and not out_of_sight:
-            aside = above
-    return Element(tag, label, parent, aside, main and not aside, number, out_of_sight, soft)
-
-
-def blocks(page: str, void: frozenset[int] = frozenset()) -> list[Block]:
-    """The page's blocks of text in its order, with references decoded and white space made single.
+            main = main or role in ("main", "article") or any(w in MAIN_NAMES for words in names for w in words)
+            hard = hard or hidden or role in ASIDE_ROLES
+            soft = soft or (tag not in ("article", "main") and not own_header and any(map(_marked, names)))
+            if found.get("class", "").strip():
+                label = f"{tag}.{found['class'].split()[0].lower()}"
+            elif found.get("id", "").strip():
+                label = f"{tag}#{re.sub('[0-9]+', '', found['id'].lower())}"
+    counts = number not in void or hidden
+    e.marks = "hard" if hard else "soft" if soft else ""
+    e.hidden = parent.hidden or hidden
+    e.hard = parent.hard or (hard and counts)
+    e.named = parent.named or (soft and counts)
+    e.main = main and not e.hard and not e.named
+    if e.main and (e.top is None or (tag == "article" and e.top.tag != "article")):
+        e.top = e  # the outermost article, else the outermost that is marked as the main part
+    if tag in BLOCK:
+        e.place = e
+        e.path = paths.setdefault((parent.path, label), len(paths) + 1)
+        if (tag in CONTAINERS and label != tag) or (tag == "article" and e.top is not e) or e.top is e:
+            e.box = e
+    else:
+        e.path = parent.path
+    return e
+
+
+def blocks(page: str, void: frozenset[int] = frozenset()) -> tuple[list[Block], list[Element]]:
+    """The page's blocks of text in its order, with references decoded and white space made single, and its elements.
 
     The marks of the elements whose numbers are in ``void`` don't count.
     """
     out: list[Block] = []
-    root = Element("", "", None, False, False, 0)
-    stack, parts, linked, links, count = [root], [], 0, 0, 0
+    root = Element("", None, 0)
+    stack, every, parts, linked, links = [root], [root], [], 0, 0
+    open_tags: Counter = Counter()
+    paths: dict[tuple[int, str], int] = {}
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -137,24 +182,28 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> list[Block]:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
             if links:
-                linked += len("".join(raw.split()))
+                linked += len(" ".join(raw.split()))
 
     def flush() -> None:
         nonlocal linked
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                at = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-                out.append(Block(at, joined, linked))
+                out.append(Block(stack[-1].place, joined, linked))
             parts.clear()
         linked = 0
 
-    def pop_to(i: int) -> None:
+    def drop(i: int) -> None:
         nonlocal links
-        flush()
-        links -= sum(1 for e in stack[i:] if e.tag == "a")
+        for e in stack[i:]:
+            links -= e.tag == "a"
+            open_tags[e.tag] -= 1
         del stack[i:]
 
+    def pop_to(i: int) -> None:
+        flush()
+        drop(i)
+
     pos, size = 0, len(page)
     while pos < size:
         m = TOKEN.search(page, pos)
@@ -167,14 +216,15 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
+            if not open_tags[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 e = stack[i]
                 if e.tag == tag:
                     if tag in BLOCK:
                         pop_to(i)
                     else:
-                        links -= tag == "a"
-                        del stack[i]
+                        drop(i)
                     break
                 if e.tag in BLOCK and tag not in BLOCK:
                     break  # an inline end tag doesn't close a block
@@ -189,14 +239,15 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block closes the paragraph that it stands in
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-            if tag in CLOSES:
-                shut, until = CLOSES[tag]
+            if open_tags["p"]:
+                for i in range(len(stack) - 1, 0, -1):  # a block closes the paragraph that it stands in
+                    if stack[i].tag == "p":
+                        pop_to(i)
+                        break
+                    if stack[i].tag in BLOCK:
+                        break
+            shut, until = CLOSES.get(tag, ((), ()))
+            if any(open_tags[t] for t in shut):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in until:
                         break
@@ -206,131 +257,195 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> list[Block]:
                             break
         if tag in VOID:
             continue
-        count += 1
-        e = _element(tag, m[3] or m[6] or "", stack[-1], count, void)
-        if tag not in BLOCK and e.aside != stack[-1].aside:
+        e = _element(tag, m[3] or m[6] or "", stack[-1], len(every), void, paths)
+        if tag not in BLOCK and (e.hard, e.named) != (stack[-1].hard, stack[-1].named):
             flush()  # a hidden or marked inline element doesn't run into its block
-            e.tag = "div"
+            e.tag, e.place = "div", e
+            e.path = paths.setdefault((e.parent.path, f"{tag}!"), len(paths) + 1)
+        every.append(e)
         stack.append(e)
+        open_tags[e.tag] += 1
         links += e.tag == "a"
     flush()
-    return out
-
-
-def _path(e: Element) -> tuple[str, ...]:
-    found = []
-    while e.parent is not None:
-        if e.tag in BLOCK:
-            found.append(e.label)
-        e = e.parent
-    return tuple(reversed(found))
+    return out, every
 
 
 KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
-#: Share of the page's strongest fused score that a content path has at least.
-THRESHOLD = 0.25
-
-
-def content_paths(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused scores of the paths that pass the threshold; blocks are those that may be content."""
-    total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0])
+#: Share of the heaviest path's fused score that a content path has at least.
+THRESHOLD = 0.2
+#: What is left of the score of a path with a mark by name.
+NAMED = 1e-3
+#: Share of the heaviest path's weight that content paths in other places of the page have at least.
+APART = 0.2
+#: Share of a path's text that isn't linked, below which it is a menu.
+FREE = 0.1
+
+
+def path_scores(found: list[Block], named: bool = True) -> dict[int, float]:
+    """The fused score of each path of the blocks."""
+    total: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0])
     for b in found:
         t = total[b.path]
         t[0] += 1
-        t[1] += max(0, len(b.text) - b.linked)
+        t[1] += b.free
         t[2] += len(PUNCTUATION.findall(b.text)) if b.linked * 2 < len(b.text) else 0
     ratio = np.array([[total[b.path][1] / total[b.path][0], total[b.path][2] / total[b.path][0]] for b in found])
     weight = np.convolve(np.ones(len(found)), KERNEL)[2:-2]
     smooth = np.stack([np.convolve(ratio[:, k], KERNEL)[2:-2] / weight for k in (0, 1)], axis=1)
-    fused: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    fused: dict[int, list[float]] = defaultdict(list)
     for b, own, near in zip(found, ratio, smooth, strict=True):
         # punctuation counts as the text that it usually comes with
-        fused[b.path].append(np.sqrt((own[0] + 1) * (near[0] + 1)) * (1 + np.sqrt(own[1] * near[1])))
-    scores = {p: float(np.mean(v)) for p, v in fused.items()}
-    bar = THRESHOLD * max(scores.values())
-    return {p: s for p, s in scores.items() if s >= bar}
+        score = np.sqrt((own[0] + 1) * (near[0] + 1)) * (1 + np.sqrt(own[1] * near[1]))
+        fused[b.path].append(score * (NAMED if named and b.element.named else 1))
+    return {p: float(np.mean(v)) for p, v in fused.items()}
+
+
+def content_paths(found: list[Block], named: bool = True) -> tuple[set[int], dict[int, float]]:
+    """The paths that pass the threshold, and each path's weight (score times text), the heaviest first."""
+    scores = path_scores(found, named)
+    weight: dict[int, float] = defaultdict(float)
+    for b in found:
+        weight[b.path] += scores[b.path] * max(1, b.free)
+    order = dict(sorted(weight.items(), key=lambda x: -x[1]))
+    bar = THRESHOLD * scores[next(iter(order))]
+    return {p for p, s in scores.items() if s >= bar}, order
 
 
 def void_marks(every: list[Block]) -> frozenset[int]:
     """Numbers of the elements whose marks don't count.
 
     Those are all that hold a ``main`` element; and forms and names that hold the page's
-    strongest path, if no path outside of marks passes the threshold beside it.
+    heaviest path, if no path outside of marks passes the threshold beside it.
     """
     void: set[int] = set()
     seen: set[int] = set()
-    for b in every:
-        e, main = b.element, False
-        while e is not None and e.aside and (e.number not in seen or main):
-            if main:
-                if e.number in void:
-                    break
+
+    def upwards(e: Element | None, soft: bool) -> None:
+        while e is not None and e.number not in void:
+            if e.marks == "soft" or (e.marks == "hard" and not soft):
                 void.add(e.number)
+            elif e.number in seen:
+                break
             seen.add(e.number)
-            main = main or (e.tag == "main" and not e.hidden)
             e = e.parent
-    seen_by = [b for b in every if not b.element.hidden]
-    if void or all(not b.element.aside for b in seen_by):
+
+    looked: set[int] = set()
+    for b in every:
+        e = b.element
+        while e is not None and e.number not in looked:
+            looked.add(e.number)
+            if e.tag == "main" and not e.hidden and (e.hard or e.named):
+                upwards(e.parent, soft=False)
+            e = e.parent
+    shown = [b for b in every if not b.element.hidden]
+    if void or all(not (b.element.hard or b.element.named) for b in shown):
         return frozenset(void)
-    for b in seen_by:
-        b.path = _path(b.element)
-    scores = content_paths(seen_by)
-    if any(b.path in scores and not b.element.aside for b in seen_by):
+    passing, weight = content_paths(shown, named=False)
+    if any(b.path in passing and not (b.element.hard or b.element.named) for b in shown):
         return frozenset()
-    best = max(scores, key=lambda p: (scores[p], p))
-    for e in (b.element for b in seen_by if b.path == best):
-        up: Element | None = e
-        while up is not None and up.number not in void:
-            if up.soft:
-                void.add(up.number)
-            up = up.parent
+    best = next(iter(weight))
+    for b in shown:
+        if b.path == best:
+            upwards(b.element, soft=True)
     return frozenset(void)
 
 
+def _common(elements: list[Element]) -> Element:
+    """The lowest element that holds all of them: that of the first and the last one in page order."""
+    low, high = min(elements, key=lambda e: e.number), max(elements, key=lambda e: e.number)
+    while low is not high:
+        if low.number > high.number:
+            low, high = high, low
+        high = high.parent
+    return low
+
+
+def _comments(found: list[Block], own: set[int]) -> set[int]:
+    """Paths of containers at least half of which hold a line as readers' comments have; ``own`` are never."""
+    holders: dict[int, set[int]] = defaultdict(set)
+    signed: dict[int, set[int]] = defaultdict(set)
+    for b in found:
+        line = len(b.text) <= BYLINE_MOST and BYLINE.search(b.text) is not None
+        box, depth = b.element.box, 0
+        while depth < 3 and box is not None and box.path not in own:  # a comment's parts may be containers too
+            holders[box.path].add(box.number)
+            if line:
+                signed[box.path].add(box.number)
+            box, depth = box.parent.box if box.parent is not None else None, depth + 1
+    return {p for p, n in signed.items() if 2 * len(n) >= len(holders[p])}
+
+
 def main_text(page: str | None) -> str:
-    every = blocks(page or "")
+    every, elements = blocks(page or "")
     if void := void_marks(every):
-        every = blocks(page or "", void)
-    found = [b for b in every if not b.element.aside]
+        every, elements = blocks(page or "", void)
+    found = [b for b in every if not b.element.hard]
     if not found:
         return ""
+    passing, weight = content_paths(found)
+    best = next(iter(weight))
+    if any(b.path == best and b.element.named for b in found):
+        return ""  # nothing but what is marked
+    last = [e.number for e in elements]
+    for e in reversed(elements[1:]):
+        last[e.parent.number] = max(last[e.parent.number], last[e.number])
+
+    heaviest = [b for b in found if b.path == best]
+    regions = {b.element.top.number for b in heaviest if b.element.top is not None}
+    if not regions:  # no element says that it is the article
+        members = defaultdict(list)
+        for b in found:
+            members[b.path].append(b.element)
+        for own in (members[p] for p, w in weight.items() if p in passing and w >= APART * weight[best]):
+            region = _common(own)
+            if len(own) == 1 and region.parent is not None and region.tag not in CONTAINERS:
+                region = region.parent
+            regions.add(region.number)
+    inside, end = set(), -1
+    for n in sorted(regions):
+        inside.update(range(max(n, end + 1), last[n] + 1))
+        end = max(end, last[n])
+
+    total: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
     for b in found:
-        b.path = _path(b.element)
-    scores = content_paths(found)
-    mass: dict[tuple[str, ...], float] = defaultdict(float)
-    for b in found:
-        if b.path in scores:
-            mass[b.path] += scores[b.path] * max(1, len(b.text) - b.linked)
-    best = max(mass, key=lambda p: (mass[p], p))
-    holders = set()
-    own = [b.element for b in found if b.path == best]
-    for e in own:
-        up, top = e, None
-        while up is not None:  # the outermost article, else the outermost that is marked as the main part
-            if up.main and (up.tag == "article" or top is None or top.tag != "article"):
-                top = up
-            up = up.parent
-        if top is not None:
-            holders.add(top.number)
-    if not holders:  # no element says that it is the article: the lowest one that holds the strongest path
-        chains = []
-        for e in own:
-            chain, up = [], e
-            while up is not None:
-                chain.append(up.number)
-                up = up.parent
-            chains.append(chain[::-1])
-        common = [a[0] for a in zip(*chains, strict=False) if len(set(a)) == 1]
-        holders.add(common[-1] if len(own) > 1 or len(common) < 2 else common[-2])
-
-    def held(e: Element | None) -> bool:
-        while e is not None:
-            if e.number in holders:
-                return True
-            e = e.parent
-        return False
-
-    return "\n".join(b.text for b in found if held(b.element))
+        t = total[b.path]
+        t[0], t[1], t[2] = t[0] + 1, t[1] + b.free, t[2] + len(b.text)
+    menus = {p for p, (n, free, size) in total.items() if n > 1 and free < FREE * size}
+    strong = [b for b in found if b.path in passing and b.element.number in inside and not b.element.named]
+    boxes, up = set(), [b.element.box for b in heaviest]
+    exempt: set[int] = set()
+    for box in up:
+        while box is not None and box.path not in exempt:
+            exempt.add(box.path)
+            box = box.parent.box if box.parent is not None else None
+    comments = _comments([b for b in found if b.element.number in inside], exempt)
+    memo: dict[int, bool] = {}
+
+    def commented(box: Element | None) -> bool:
+        chain = []
+        while box is not None and box.number not in memo:
+            chain.append(box)
+            if box.path in comments:
+                break
+            box = box.parent.box if box.parent is not None else None
+        value = memo.get(box.number, True) if box is not None else False
+        for b in chain:
+            memo[b.number] = value
+        return value
+
+    boxes = {b.element.box.path for b in strong if not commented(b.element.box)}
+    kept = []
+    for k, b in enumerate(found):
+        e = b.element
+        if e.number not in inside or e.named or commented(e.box):
+            continue
+        if b.path in passing:
+            kept.append(b)
+        elif e.tag in HEADINGS and k + 1 < len(found) and (found[k + 1].path in passing or found[k + 1].element.box.path in boxes):
+            kept.append(b)  # a heading goes with what it heads
+        elif e.box.path in boxes and (e.tag in HEADINGS or b.path not in menus):
+            kept.append(b)
+    return "\n".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

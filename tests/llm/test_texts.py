@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from scanloom.llm import html, langid, licenses, secrets, warc
 
 from .helpers import DOCS, frame, rows, words
+from .pages import agreement, variants
 
 PAGES = "page_id long, url string, html string"
 
@@ -152,6 +154,45 @@ def test_any_page_is_read(page):
     assert isinstance(html.main_text(page), str)
 
 
+def measured(pages) -> dict[str, tuple[float, float]]:
+    """Precision and recall of each variant of the pages, by characters of whole blocks."""
+    sums: dict[str, list[int]] = {}
+    for page_id, page in pages:
+        for name, (text, want) in variants(page or "", page_id).items():
+            for i, n in enumerate(agreement(html.main_text(text), want)):
+                sums.setdefault(name, [0, 0, 0])[i] += n
+    return {name: (right / max(1, given), right / max(1, due)) for name, (right, given, due) in sums.items()}
+
+
+def test_precision_and_recall_on_labelled_pages(spark, monkeypatch):
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    got = measured(pages)
+    assert len(got) == 7
+    for name, (precision, recall) in got.items():
+        assert precision > 0.99 and recall > 0.99, (name, precision, recall)
+    monkeypatch.setattr(html, "path_scores", lambda found, named=True: {b.path: 1.0 for b in found})
+    assert measured(pages)["without marks"][0] < got["without marks"][0] - 0.005  # the scores decide
+
+
+def test_names_mark_only_what_they_name():
+    body = "".join(f"<p>Paragraph {i}, with some words, and marks; enough of them.</p>" for i in range(4))
+    more = "<p>A short one.</p>"
+    for name in ('id="search-methods"', 'class="related-work"', 'class="sharecropping"', 'id="menu-of-the-day"'):
+        assert html.main_text(f"<article>{body}<section {name}><h2>Head</h2>{more}</section></article>").endswith("Head\nA short one."), name
+    for name in ('class="related-posts"', 'id="post-comments"', 'class="c-share"', 'class="ad-slot-3"', 'class="cookie-banner"'):
+        assert not html.main_text(f"<article>{body}<div {name}><h2>Head</h2>{more}</div></article>").endswith("short one."), name
+
+
+def test_deep_pages_take_time_in_proportion():
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        assert html.main_text("<div>text, more text" * n).count("\n") == n - 1
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40000) < 12 * took(10000) + 0.5
+
+
 def test_extract_rows(spark):
     data = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "<div>" * 3000 + "deep" + "x" * 100000)]
     got = html.extract(spark.createDataFrame(data, PAGES).selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
