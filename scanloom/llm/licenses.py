@@ -1,25 +1,27 @@
 """License scans (operator 7) by a trained paragraph classifier.
 
-Lines are classified one by one, and notices that are wrapped over lines of one
-paragraph (up to a line without a word) as a whole. Hashed word one- to three-grams go into a
-multinomial logistic regression, trained by stochastic gradient descent in numpy
-on varied notices of each licence family and on a bounded sample of lines from
-the corpus as the class without a licence. A part that isn't trained on sets the
-temperature and the scores that a prediction must reach. Each prediction is then
-compared with the templates of its family: one that no template confirms, and one
-that speaks of a licence without a clear family, is ``unknown``. Neighbouring
-lines of one family become one finding.
-
-Defined results: null and empty texts have no findings; repeated rows and null ids
-keep their own findings; an empty table gives no rows (the model then has notices
-alone to learn from); other columns of the input are not read.
+A paragraph (lines up to one without a word, with comment marks taken away) is cut
+into overlapping windows of some numbers of words, and each window is classified:
+hashed word one- to three-grams go into a multinomial logistic regression, trained
+by stochastic gradient descent in numpy on varied notices of each licence family,
+alone and amid words of the corpus, and on a bounded sample of windows from whole
+texts of the corpus as the class without a licence. The temperature comes from a
+model that some notices and the held-out windows were kept from; the score that a
+claim must reach is one that few held-out windows do. A claim is its
+family's if a template of that family confirms it, else ``unknown``; of claims that
+overlap the one that agrees more with its template stays.
+
+Defined results: null and empty texts have no findings; very long texts and
+paragraphs are scored in blocks, whole; of claims that agree and score alike the
+earlier one stays; repeated rows and null ids keep their own
+findings; an empty table gives no rows (the model then has notices alone to learn
+from); other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,38 +104,44 @@ TEMPLATES = {
 }
 
 BUCKET_BITS, GRAMS = 16, 3
-#: Lines of the corpus that stand for the class without a licence, at most (about), and varied notices of a template.
-SAMPLE, VARIANTS = 20000, 60
-EPOCHS, BATCH, RATE = 6, 64, 3.0
-#: Share of a template's word pairs that a line must hold to confirm a prediction.
-CONFIRM = 0.6
+#: Windows of the corpus that stand for the class without a licence, at most, characters of one, and varied notices of a template.
+SAMPLE, EXAMPLE, VARIANTS = 20000, 160, 60
+#: Words of the windows; they start at every quarter of their size.
+SIZES = (5, 10, 20, 40)
+EPOCHS, BATCH, RATE = 6, 256, 6.0
+#: Share of a template's word pairs that confirms a claim, and that an unknown licence has at least (or it names one).
+CONFIRM, UNSURE = 0.6, 0.4
+#: Share of held-out windows without a licence that may be claimed.
+FALSE_CLAIMS = 0.001
+#: Words of a block that is scored at once.
+BLOCK = 1 << 15
 
 
-def plain(text: str) -> str:
-    """Lower case, with what isn't a letter or digit as one space."""
-    return "".join([c if c.isalnum() else " " for c in text.lower()])
+ASCII = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Punctuation and blanks beyond ASCII, and words that start a comment line.
+GLUE = re.compile(rb"\xe2\x80[\x80-\xbf]|\xc2[\xa0-\xbf]")
+MARK = re.compile(rb"^ *(?:dnl|rem)(?= |$)")
+WORD = re.compile(rb"[^ \t-\r]+")
+NAMES_ONE = re.compile(rb"licen[cs]|copyright|rights reserved|public domain")
 
 
-ASCII = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+def plain(text: str) -> bytes:
+    """A line's words in lower case, each byte in its place; what isn't a letter or digit is a blank."""
+    raw = text.encode("utf-8", "surrogatepass").translate(ASCII)
+    if not raw.isascii():
+        raw = GLUE.sub(lambda m: b" " * len(m[0]), raw)
+    return MARK.sub(lambda m: b" " * len(m[0]), raw)
 
 
-def grams(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all lines' word n-grams, and each line's offsets among them."""
-    word, of = word_hashes(lines)
-    n = np.diff(of)
-    left = np.repeat(of[1:], n) - np.arange(len(word))
+def gram_buckets(word: np.ndarray) -> list[np.ndarray]:
+    """For one to GRAMS words, the bucket of the run that starts at each word; those that pass the end are of no use."""
     pad = np.r_[word, np.zeros(GRAMS, np.uint64)]
-    line = np.repeat(np.arange(len(lines)), n)
-    parts, owner, run = [], [], np.zeros(len(word), np.uint64)
+    out, run = [], np.zeros(len(word), np.uint64)
     for k in range(GRAMS):
         run = run * np.uint64(0xD6E8FEB86659FD93) + pad[k : k + len(word)]
-        ok = left > k
-        h = (run[ok] ^ np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD)
-        parts.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        owner.append(line[ok])
-    owner_all = np.concatenate(owner)
-    order = np.argsort(owner_all, kind="stable")
-    return np.concatenate(parts)[order], offsets(np.bincount(owner_all, minlength=len(lines)))
+        h = (run ^ np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+    return out
 
 
 @dataclass
@@ -144,271 +152,360 @@ class Model:
     heat: float = 1.0
     least: float = 0.5
 
-    def logits(self, lines: list[bytes]) -> np.ndarray:
-        """A line's features are weighted by one over the root of their number."""
-        flat, off = grams(lines)
-        n = np.diff(off)
-        out = np.zeros((len(lines), self.weights.shape[1]))
-        own = np.flatnonzero(n)
-        if len(own):
-            out[own] = np.add.reduceat(self.weights[flat], off[own], axis=0, dtype=np.float64) / np.sqrt(n[own])[:, None]
-        out += self.bias
-        out[n == 0, -1] += 100
-        return out
-
-    def scores(self, lines: list[bytes]) -> np.ndarray:
-        z = self.logits(lines) / self.heat
-        z = np.exp(z - z.max(axis=1, keepdims=True))
+    def logits(self, word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Those of the windows ``word[start:end]``; a window's features weigh one over the root of their number."""
+        z, n = np.zeros((len(start), self.weights.shape[1])), np.zeros(len(start), np.int64)
+        for k, bucket in enumerate(gram_buckets(word)):
+            sums = np.zeros((len(word) + 1, z.shape[1]))
+            np.cumsum(self.weights[bucket], axis=0, out=sums[1:])
+            stop = np.maximum(end - k, start)
+            z += sums[stop] - sums[start]
+            n += stop - start
+        z = z / np.sqrt(np.maximum(n, 1))[:, None] + self.bias
+        z[n == 0, -1] += 100
+        return z
+
+    def softmax(self, z: np.ndarray) -> np.ndarray:
+        z = np.exp((z - z.max(axis=1, keepdims=True)) / self.heat)
         return z / z.sum(axis=1, keepdims=True)
 
-
-def varied(rng: np.random.Generator, template: str, filler: list[str]) -> str:
-    """A template with words left out, in other case, and with corpus words around it."""
-    words = template.split()
-    kept = [w for w in words if len(words) < 4 or rng.random() > 0.06]
-    if rng.random() < 0.3:
-        kept = [["Copyright", "(c)", str(rng.integers(1990, 2026))], ["Note:"], ["©", str(rng.integers(1990, 2026))]][rng.integers(3)] + kept
-    if filler and rng.random() < 0.35:
-        extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(1, 6))]
-        kept = extra + kept if rng.random() < 0.5 else kept + extra
-    out = " ".join(kept)
-    return out.upper() if rng.random() < 0.1 else out.lower() if rng.random() < 0.2 else out
+    def scores(self, lines: list[str]) -> np.ndarray:
+        """Those of whole lines, a window each."""
+        word, of = word_hashes([plain(x) for x in lines])
+        return self.softmax(self.logits(word, of[:-1], of[1:]))
 
 
-def _pairs(text: str) -> set[tuple[str, ...]]:
-    w = plain(text).split()
-    return set(zip(w, w[1:], strict=False)) if len(w) > 1 else {(x,) for x in w}
+# -- templates -------------------------------------------------------------------
 
 
-_SIZES = {(f, k): len(_pairs(t)) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)}
-_OWNERS: dict[tuple[str, ...], list[tuple[str, int]]] = {}
-for _f, _ts in TEMPLATES.items():
-    for _k, _t in enumerate(_ts):
-        for _p in _pairs(_t):
-            _OWNERS.setdefault(_p, []).append((_f, _k))
+def _pair_keys(word: np.ndarray) -> np.ndarray:
+    return word[:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:]
 
 
-def agreements(line: str) -> dict[str, float]:
-    """For each family the largest share of a template's word pairs that the line holds; families without any are left out."""
-    held: dict[tuple[str, int], int] = {}
-    for pair in _pairs(line):
-        for owner in _OWNERS.get(pair, ()):
-            held[owner] = held.get(owner, 0) + 1
-    out: dict[str, float] = {}
-    for owner, n in held.items():
-        out[owner[0]] = max(out.get(owner[0], 0.0), n / _SIZES[owner])
-    return out
+def _template_pairs() -> tuple[np.ndarray, list[list[tuple[str, int]]], dict[tuple[str, int], int]]:
+    """Sorted keys of the templates' word pairs, the owners of each, and how many a template has."""
+    owners: dict[int, list[tuple[str, int]]] = {}
+    sizes = {}
+    for family, notices in TEMPLATES.items():
+        for k, notice in enumerate(notices):
+            word, _ = word_hashes([plain(notice)])
+            keys = set(_pair_keys(word).tolist())
+            sizes[(family, k)] = len(keys)
+            for key in keys:
+                owners.setdefault(key, []).append((family, k))
+    keys = np.array(sorted(owners), np.uint64)
+    return keys, [owners[k] for k in keys.tolist()], sizes
 
 
-#: Punctuation and blanks beyond ASCII, and words that start a comment line.
-GLUE = re.compile(rb"\xe2\x80[\x80-\xbf]|\xc2[\xa0-\xbf]")
-MARK = re.compile(rb"^ *(?:dnl|rem)(?= |$)")
+PAIR_KEYS, PAIR_OWNERS, PAIRS_OF = _template_pairs()
 
 
-def _numbered_pairs() -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
-    """Sorted hashes of the templates' word pairs and the owners of each."""
-    known = {p: o for p, o in _OWNERS.items() if len(p) == 2}
-    word, _ = word_hashes([" ".join(p).encode() for p in known])
-    key = _pair_keys(word)[::2]
-    order = np.argsort(key)
-    owners = list(known.values())
-    return key[order], [owners[i] for i in order]
+def pair_hits(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of word pairs that a template has, and which pairs they are."""
+    if len(word) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = _pair_keys(word)
+    at = np.minimum(np.searchsorted(PAIR_KEYS, key), len(PAIR_KEYS) - 1)
+    hits = np.flatnonzero(PAIR_KEYS[at] == key)
+    return hits, at[hits]
 
 
-def _pair_keys(word: np.ndarray) -> np.ndarray:
-    return word[:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:]
+def agreement(places: list[int], pairs: list[int], family: str | None = None) -> tuple[float, int, int]:
+    """The best template's share of word pairs among the hits, and the first and last word of those.
 
+    Only templates of ``family``, or of all.
+    """
+    held: dict[tuple[str, int], dict[int, int]] = {}
+    for place, pair in zip(places, pairs, strict=True):
+        for owner in PAIR_OWNERS[pair]:
+            if family is None or owner[0] == family:
+                held.setdefault(owner, {}).setdefault(pair, place)
+    best = max(sorted(held), key=lambda o: len(held[o]) / PAIRS_OF[o], default=None)
+    if best is None:
+        return 0.0, 0, 0
+    own = held[best].values()
+    return len(own) / PAIRS_OF[best], min(own), max(own) + 1
 
-_WORDS = {(f, k): len(plain(t).split()) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)}
-_PAIR_KEYS, _PAIR_OWNERS = _numbered_pairs()
 
+# -- training --------------------------------------------------------------------
 
-def wrapped(lines: list[bytes], text_of: np.ndarray) -> list[tuple[int, int, str, bytes]]:
-    """Notices that run over lines of one paragraph, as (first line, last line, family, their words).
 
-    A paragraph ends at a line without a word or with its text. In a window of at most
-    twice a template's words, ``CONFIRM`` of its word pairs are met; windows of one
-    template that overlap are one notice, and of two notices that overlap the one
-    that agrees more with its template stays.
-    """
-    lines = [MARK.sub(b"", x if x.isascii() else GLUE.sub(b" ", x)) for x in lines]
-    word, of = word_hashes(lines)
-    if len(word) < 2:
-        return []
-    n = np.diff(of)
-    part = np.cumsum((n == 0) | (np.diff(text_of, prepend=-1) != 0))
-    line = np.repeat(np.arange(len(lines)), n)
-    key = _pair_keys(word)
-    at = np.minimum(np.searchsorted(_PAIR_KEYS, key), len(_PAIR_KEYS) - 1)
-    hits = np.flatnonzero((_PAIR_KEYS[at] == key) & (part[line[:-1]] == part[line[1:]]))
-    owned: dict[tuple[int, tuple[str, int]], list[tuple[int, int]]] = {}
-    for h, paragraph, pair in zip(hits.tolist(), part[line[hits]].tolist(), at[hits].tolist(), strict=True):
-        for owner in _PAIR_OWNERS[pair]:
-            owned.setdefault((paragraph, owner), []).append((h, pair))
-    found = []
-    for (_, owner), places in owned.items():
-        need, most = CONFIRM * _SIZES[owner], 2 * _WORDS[owner]
-        if len(places) < need:
-            continue
-        held: Counter = Counter()
-        first, spans = 0, []
-        for pos, pair in places:
-            held[pair] += 1
-            # what is too far away is left out, and what doubles if the rest is enough
-            while pos + 2 - places[first][0] > most or (len(held) >= need and held[places[first][1]] > 1):
-                gone = places[first][1]
-                held[gone] -= 1
-                if not held[gone]:
-                    del held[gone]
-                first += 1
-            if len(held) < need:
-                continue
-            if spans and places[first][0] <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], pos + 1, max(spans[-1][2], len(held)))
-            else:
-                spans.append((places[first][0], pos + 1, len(held)))
-        found += [(k / _SIZES[owner], k, -a, b, owner[0]) for a, b, k in spans]
-    out: list[tuple[int, int, str, bytes]] = []
-    near: dict[int, list[tuple[int, int]]] = {}
-    for _, _, a, b, family in sorted(found, reverse=True):
-        a, paragraph = -a, int(part[line[b]])
-        taken = near.setdefault(paragraph, [])
-        place = bisect.bisect(taken, (a, b))
-        if (place and taken[place - 1][1] >= a) or (place < len(taken) and taken[place][0] <= b):
-            continue
-        taken.insert(place, (a, b))
-        i, j = int(line[a]), int(line[b])
-        if i < j:
-            out.append((i, j, family, b" ".join(b" ".join(lines[i : j + 1]).split()[a - of[i] : b - of[i] + 1])))
-    return sorted(out)
+def varied(rng: np.random.Generator, template: str, filler: list[str]) -> str:
+    """A window around a notice: words left out, in other case, alone, amid words of the corpus, or most of a longer notice."""
+    words = template.split()
+    kept = [w for w in words if len(words) < 4 or rng.random() > 0.06]
+    if rng.random() < 0.2:
+        kept = [["Copyright", "(c)", str(rng.integers(1990, 2026))], ["Note:"], ["©", str(rng.integers(1990, 2026))]][rng.integers(3)] + kept
+    sizes = [s for s in SIZES if 0.75 * len(kept) <= s <= 3 * len(kept)]
+    if filler and sizes and rng.random() < 0.7:
+        size = sizes[rng.integers(len(sizes))]
+        if size < len(kept):
+            at = rng.integers(0, len(kept) - size + 1)
+            kept = kept[at : at + size]
+        else:
+            extra = [filler[i] for i in rng.integers(0, len(filler), size - len(kept))]
+            at = rng.integers(0, len(extra) + 1)
+            kept = extra[:at] + kept + extra[at:]
+    out = " ".join(kept)
+    return out.upper() if rng.random() < 0.1 else out.lower() if rng.random() < 0.2 else out
 
 
-def train(lines: list[str], seed: int = 11) -> Model:
-    """Fit on varied notices and on ``lines`` of the corpus that agree with no template."""
-    rng = np.random.default_rng(seed)
-    lines = [x for x in lines if max(agreements(x).values(), default=0) < 0.3]
-    filler = [w for x in lines[:200] for w in x.split()]
-    families = sorted(TEMPLATES)
-    rows, y = [], []
-    for k, f in enumerate(families):
-        for t in TEMPLATES[f]:
-            rows += [t] + [varied(rng, t, filler) for _ in range(VARIANTS)]
-            y += [k] * (VARIANTS + 1)
-    rows += lines
-    y += [len(families)] * len(lines)
-    data = [r.encode("utf-8", "surrogatepass").translate(ASCII) for r in rows]
-    y = np.array(y)
-    held = rng.random(len(y)) < 0.2
-    mine = np.flatnonzero(~held)
-    w, b = np.zeros((1 << BUCKET_BITS, len(families) + 1), np.float32), np.zeros(len(families) + 1)
-    flat, off = grams(data)
-    weight = np.where(y == len(families), min(1.0, 4 * (y < len(families)).sum() / max(1, len(lines))), 1.0)
+def _fit(families: int, word: np.ndarray, start: np.ndarray, end: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a logistic regression over the windows."""
+    w, b = np.zeros((1 << BUCKET_BITS, families + 1), np.float32), np.zeros(families + 1)
+    buckets = gram_buckets(word)
+    none = (y == families).sum()
+    weight = np.where(y == families, min(1.0, 4 * (len(y) - none) / max(1, none)), 1.0)
     for epoch in range(EPOCHS):
-        turn = rng.permutation(mine)
+        turn = rng.permutation(len(y))
         for i in range(0, len(turn), BATCH):
             pick = turn[i : i + BATCH]
-            n = np.maximum(1, off[pick + 1] - off[pick])
-            at = np.concatenate([flat[off[k] : off[k + 1]] for k in pick])
-            row = np.repeat(np.arange(len(pick)), off[pick + 1] - off[pick])
-            share = (1 / np.sqrt(n)).astype(np.float32)
-            z = np.zeros((len(pick), w.shape[1]))
-            np.add.at(z, row, w[at] * share[row, None])
+            at, row = [], []
+            for k, bucket in enumerate(buckets):
+                n = np.maximum(end[pick] - k - start[pick], 0)
+                own = np.repeat(np.arange(len(pick)), n)
+                at.append(bucket[np.arange(n.sum()) + np.repeat(start[pick] - np.cumsum(n) + n, n)])
+                row.append(own)
+            at, row = np.concatenate(at), np.concatenate(row)
+            order = np.argsort(row, kind="stable")
+            at, row = at[order], row[order]
+            n = np.bincount(row, minlength=len(pick))
+            share = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
+            z = np.zeros((len(pick), families + 1))
+            full = np.flatnonzero(n)
+            if len(full):
+                z[full] = np.add.reduceat(w[at], offsets(n)[:-1][full], axis=0) * share[full, None]
             z += b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(pick)), y[pick]] -= 1
-            p *= weight[pick][:, None] * (RATE / (1 + epoch) / len(pick))
-            np.add.at(w, at, (-p[row] * share[row, None]).astype(np.float32))
+            p *= weight[pick][:, None] * (RATE / (1 + epoch) / len(pick)) * 4
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                w[at[order][first]] -= np.add.reduceat((p * share[:, None]).astype(np.float32)[row[order]], first, axis=0)
             b -= p.sum(axis=0) * 0.1
-    model = Model(families, w, b)
-    test = np.flatnonzero(held)
-    z = model.logits([data[i] for i in test])
+    return w, b
+
+
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    word, of = word_hashes([plain(t) for t in texts])
+    return word, of[:-1], of[1:]
+
+
+def train(lines: list[str], seed: int = 11) -> Model:
+    """Fit on varied notices and on ``lines`` of the corpus that no template agrees with."""
+    rng = np.random.default_rng(seed)
+    word, start, end = _windows(lines)
+    hits, pairs = pair_hits(word)
+    low, high = np.searchsorted(hits, start), np.searchsorted(hits, end - 1)
+    clean = [
+        k for k in range(len(lines)) if low[k] >= high[k] or agreement(hits[low[k] : high[k]].tolist(), pairs[low[k] : high[k]].tolist())[0] < 0.3
+    ]
+    lines = [lines[k] for k in clean]
+    filler = [w for x in lines[:2000] for w in x.split()]
+    lines = [x if rng.random() < 0.3 else " ".join(x.split()[: SIZES[rng.integers(len(SIZES))]]) for x in lines]
+    families = sorted(TEMPLATES)
+    rows, y, notice = [], [], []
+    for k, f in enumerate(families):
+        for i, t in enumerate(TEMPLATES[f]):
+            own = [t] + [varied(rng, t, filler) for _ in range(VARIANTS)]
+            rows, y, notice = rows + own, y + [k] * len(own), notice + [i] * len(own)
+    rows += lines
+    y, notice = np.array(y + [len(families)] * len(lines)), np.array(notice + [-1] * len(lines))
+    word, start, end = _windows(rows)
+    none = y == len(families)
+    # Held out: a fifth of the windows without a licence, for both models; one notice of
+    # each family that has several, for the one that sets the temperature.
+    test = none & (rng.random(len(y)) < 0.2)
+    several = np.isin(y, [k for k, f in enumerate(families) if len(TEMPLATES[f]) > 2])
+    apart = several & (notice == 1)
+    mine = ~test & ~apart
+    model = Model(families, *_fit(len(families), word, start[mine], end[mine], y[mine], rng))
+    seen = test | apart
+    z, own = model.logits(word, start[seen], end[seen]), y[seen]
 
     def loss(heat: float) -> float:
         s = z / heat
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(test)), y[test]]).mean())
-
-    model.heat = float(min(np.geomspace(0.05, 10, 50), key=loss))
-    top = model.scores([data[i] for i in test])
-    none = y[test] == len(families)
-    # The score against the class without a licence that at most one line in a thousand of that class reaches.
-    claimed = 1 - top[none, -1] if none.any() else np.zeros(1)
-    model.least = float(np.clip(np.quantile(claimed, 0.999), 0.5, 0.95))
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(own)), own]).mean())
+
+    heat = float(min(np.geomspace(0.2, 10, 40), key=loss))
+    model = Model(families, *_fit(len(families), word, start[~test], end[~test], y[~test], rng), heat)
+    claimed = 1 - model.softmax(model.logits(word, start[test], end[test]))[:, -1] if test.any() else np.zeros(1)
+    model.least = float(np.clip(np.quantile(claimed, 1 - FALSE_CLAIMS), 0.5, 0.95))
     return model
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train with about ``sample`` lines: those of documents drawn by a hash, a bounded number of them."""
-    own = docs.where(F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+    """Train with at most ``sample`` windows, drawn by a hash over whole texts of rows that a hash draws."""
+    text = F.col("text").cast("string")
+    own = docs.where(text.isNotNull() & (F.length(text) > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n = max(1, own.count())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("lines")), F.lit(1 << 20)) < min(1 << 20, ((sample // 10) << 20) // n + 1)
-    lines = own.where(draw).select(F.explode(F.slice(F.split("text", "\n"), 1, 40)).alias("line")).where("length(line) > 0")
-    rows = sorted(r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(sample).collect())
-    return train(rows)
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("rows")), F.lit(1 << 20)) < min(1 << 20, ((sample // 4) << 20) // n + 1)
+    parts = own.where(drawn).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{EXAMPLE}}}"), F.lit(0))).alias("place", "line"))
+    rows = parts.orderBy(F.xxhash64("doc_id", "place", "line"), "line").limit(sample).select("line").collect()
+    return train(sorted(r["line"] for r in rows))
+
+
+# -- scans -----------------------------------------------------------------------
+
+
+def windows(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows over each part's words ``of[i]:of[i + 1]``."""
+    starts, ends, before = [], [], 0
+    for size in SIZES:
+        n, step = np.diff(of), max(1, size // 4)
+        count = np.where(n > before, np.maximum(1, -(-(n - size) // step) + 1), 0)
+        part = np.repeat(np.arange(len(n)), count)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        a = of[:-1][part] + nth * step
+        starts.append(a)
+        ends.append(np.minimum(a + size, of[1:][part]))
+        before = size
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+def claims(model: Model, word: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, family number, score) of the windows that the model claims; words are scored in blocks."""
+    a, b = windows(of)
+    out = []
+    for w0 in range(0, len(word), BLOCK):
+        i, j = np.searchsorted(a, (w0, w0 + BLOCK))
+        if i == j:
+            continue
+        z = model.logits(word[w0 : w0 + BLOCK + SIZES[-1] + GRAMS], a[i:j] - w0, b[i:j] - w0) / model.heat
+        top = z[:, :-1].max(axis=1)
+        # the share of the class without a licence, from the other classes' logits
+        score = 1 - 1 / (1 + np.exp(np.minimum(z[:, :-1] - z[:, -1:], 60)).sum(axis=1))
+        own = np.flatnonzero((score >= model.least) & (top > -np.inf))
+        out.append((a[i:j][own], b[i:j][own], z[own, :-1].argmax(axis=1), score[own]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+FOUND = "doc_id long, line int, lines int, start long, end long, family string, score double, agreement double, notice_start long, notice_end long"
+
+
+def _decided(model: Model, claimed, hits: np.ndarray, pairs: np.ndarray, part: tuple[int, int], named) -> list[tuple[int, int, str, float, float]]:
+    """(first word, end word, family, score, agreement) of the notices of one paragraph's claims."""
+    a, b, family, score = claimed
+    low, high = part
+    taken: list[tuple[int, int]] = []
+    out = []
+
+    def free(x: int, y: int) -> bool:
+        at = bisect.bisect(taken, (x, y))
+        return not ((at and taken[at - 1][1] > x) or (at < len(taken) and taken[at][0] < y))
+
+    def near(x: int, y: int) -> tuple[list[int], list[int]]:
+        i, j = np.searchsorted(hits, (x, y - 1))
+        return hits[i:j].tolist(), pairs[i:j].tolist()
+
+    # A claim that its family's template agrees more with comes first: parts of a notice may read like another one.
+    confirmed, left = [], []
+    for x, y, k, s in zip(a.tolist(), b.tolist(), family.tolist(), score.tolist(), strict=True):
+        f, room = model.families[k], max(y - x, SIZES[0])
+        agreed, first, last = agreement(*near(max(low, x - room), min(high, y + room)), f)
+        if f != UNKNOWN and agreed >= CONFIRM:
+            confirmed.append((-agreed, -s, first, last + 1, f))
+        left.append((x, y, s))
+    for agreed, s, first, last, f in sorted(confirmed):
+        if free(first, last):
+            bisect.insort(taken, (first, last))
+            out.append((first, last, f, -s, -agreed))
+    runs: list[list] = []
+    for x, y, s in sorted(r for r in left if free(r[0], r[1])):
+        if runs and x < runs[-1][1]:
+            runs[-1][1], runs[-1][2] = max(runs[-1][1], y), max(runs[-1][2], s)
+        else:
+            runs.append([x, y, s])
+    for x, y, s in runs:
+        agreed, first, last = agreement(*near(x, y))
+        if agreed >= UNSURE:
+            out.append((first, last + 1, UNKNOWN, s, agreed))
+        elif named(x, y):
+            out.append((x, y, UNKNOWN, s, agreed))
+    return sorted(out)
 
 
-FOUND = "doc_id long, line int, lines int, start long, end long, family string, score double, agreement double"
+def findings(model: Model, texts: list[str]) -> list[list[tuple]]:
+    """For each text its notices: first line, lines, line span, family, score, agreement and own span, in code points."""
+    lists = [t.split("\n") for t in texts]
+    flat = [plain(x) for xs in lists for x in xs]
+    word, of_line = word_hashes(flat)
+    out: list[list[tuple]] = [[] for _ in texts]
+    if not len(word):
+        return out
+    n = np.diff(of_line)
+    off = offsets([len(xs) for xs in lists])
+    text_of = np.repeat(np.arange(len(lists)), np.diff(off))
+    edge = (n == 0) | (np.diff(text_of, prepend=-1) != 0)
+    of = np.r_[np.unique(of_line[:-1][edge]), len(word)]
+    of = np.unique(np.r_[0, of])
+    claimed = claims(model, word, of)
+    if not len(claimed[0]):
+        return out
+    hits, pairs = pair_hits(word)
+    inner = np.searchsorted(of, hits, "right") == np.searchsorted(of, hits + 1, "right")
+    hits, pairs = hits[inner], pairs[inner]
+    part = np.searchsorted(of, claimed[0], "right") - 1
+    line_of = np.repeat(np.arange(len(flat)), n)
+    spans: dict[int, tuple[list[tuple[int, int]], np.ndarray]] = {}
+
+    def line_words(i: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The bytes of each of the line's words, and the code points before each of its bytes."""
+        if i not in spans:
+            begun = np.frombuffer(lists[text_of[i]][i - off[text_of[i]]].encode("utf-8", "surrogatepass"), np.uint8) & 0xC0 != 0x80
+            spans[i] = ([m.span() for m in WORD.finditer(flat[i])], offsets(begun))
+        return spans[i]
+
+    def named(x: int, y: int) -> bool:
+        held = []
+        for i in range(line_of[x], line_of[y - 1] + 1):
+            own = line_words(i)[0][max(0, x - of_line[i]) : max(0, y - of_line[i])]
+            held += [flat[i][p:q] for p, q in own]
+        return NAMES_ONE.search(b" ".join(held)) is not None
+
+    bounds = np.flatnonzero(np.diff(part, prepend=-1))
+    for low, high in zip(bounds, [*bounds[1:], len(part)], strict=True):
+        k = part[low]
+        for x, y, family, score, agreed in _decided(model, tuple(c[low:high] for c in claimed), hits, pairs, (int(of[k]), int(of[k + 1])), named):
+            i, j = int(line_of[x]), int(line_of[y - 1])
+            (at, before), (end_at, end_before) = line_words(i), line_words(j)
+            first, last = int(before[at[x - of_line[i]][0]]), int(end_before[end_at[y - 1 - of_line[j]][1]])
+            d = int(text_of[i])
+            out[d].append((int(i - off[d]), int(j - off[d]), family, score, agreed, first, last))
+    for d, rows in enumerate(out):
+        if rows:
+            starts = offsets([len(x) + 1 for x in lists[d]])
+            out[d] = [
+                (i, j - i + 1, int(starts[i]), int(starts[j] + len(lists[d][j])), family, score, agreed, int(starts[i] + first), int(starts[j] + last))
+                for i, j, family, score, agreed, first, last in sorted(rows)
+            ]
+    return out
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each finding: its first line and their number, code points from start to end, and the scores."""
+    """A row for each finding: its lines and their code points, family and scores, and the notice's own code points."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def findings(lines: list[str], p: np.ndarray, m: Model, notices: list[tuple[int, int, str, float, float]]):
-        rows, out, starts = [], [], offsets([len(x) + 1 for x in lines])
-        over = {}
-        for a, b, family, score, agreed in notices:
-            rows.append([a, b - a + 1, int(starts[a]), int(starts[b] + len(lines[b])), family, score, agreed])
-            over |= {i: {UNKNOWN, family} | over.get(i, set()) for i in range(a, b + 1)}
-        for i in np.flatnonzero(1 - p[:, -1] >= m.least):
-            k = int(p[i, :-1].argmax())
-            family, score, line = m.families[k], float(1 - p[i, -1]), lines[i]
-            found = agreements(line)
-            if found.get(family, 0) < CONFIRM:
-                family = max(sorted(found), key=found.get, default=UNKNOWN)
-            agreed = found.get(family, 0.0)
-            if agreed < 0.2:
-                continue  # nothing in it is like any notice
-            if agreed < CONFIRM:
-                family = UNKNOWN
-            if family not in over.get(int(i), ()):
-                rows.append([int(i), 1, int(starts[i]), int(starts[i] + len(line)), family, score, agreed])
-        for row in sorted(rows):
-            last = out[-1] if out else None
-            if last and last[4] == row[4] and last[0] + last[1] >= row[0]:
-                last[1], last[3], last[5], last[6] = max(last[1], row[0] + row[1] - last[0]), max(last[3], row[3]), max(last[5], row[5]), max(last[6], row[6])
-            else:
-                out.append(row)
-        return out
-
     def run(batches):
         m = shared.value
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        names = [f.split(" ")[0] for f in FOUND.split(", ")]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for a, b in text_chunks(texts, 1 << 20):
-                lists = [t.split("\n") for t in texts[a:b]]
-                flat = [x.encode("utf-8", "surrogatepass").translate(ASCII) for xs in lists for x in xs]
-                p, off = m.scores(flat), offsets([len(xs) for xs in lists])
-                hit = np.add.reduceat((1 - p[:, -1] >= m.least).astype(np.int64), off[:-1]) > 0
-                text_of = np.repeat(np.arange(len(lists)), np.diff(off))
-                spread = wrapped(flat, text_of)
-                claim = 1 - m.scores([x[3] for x in spread])[:, -1] if spread else []
-                notices: dict[int, list] = {}
-                for (i, j, family, own), score in zip(spread, claim, strict=True):
-                    agreed = agreements(own.decode("utf-8", "replace")).get(family, 0.0)
-                    if score >= m.least and agreed >= CONFIRM:
-                        d = int(text_of[i])
-                        notices.setdefault(d, []).append((int(i - off[d]), int(j - off[d]), family, float(score), agreed))
-                        hit[d] = True
-                for d in np.flatnonzero(hit):
-                    rows += [(ids[a + d], *r) for r in findings(lists[d], p[off[d] : off[d + 1]], m, notices.get(int(d), []))]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
+                rows += [(ids[a + d], *r) for d, found in enumerate(findings(m, texts[a:b])) for r in found]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split(" ")[0] for f in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
 

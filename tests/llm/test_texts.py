@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -310,11 +311,41 @@ def test_wrapped_notices_keep_their_family(spark):
 def test_an_unclear_licence_is_unknown():
     model = licenses.train([words(random.Random(i), 10) for i in range(2000)])
     line = "Use is subject to the license agreement."
-    p = model.scores([line.encode().translate(licenses.ASCII), words(random.Random(9999), 12).encode()])
+    p = model.scores([line, words(random.Random(9999), 12)])
     assert 1 - p[0, -1] > model.least and model.families[int(p[0, :-1].argmax())] == licenses.UNKNOWN
     assert 1 - p[1, -1] < model.least
 
 
+def test_notices_inside_long_paragraphs_are_found_and_clean_texts_left_alone():
+    docs = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if r]
+    lines = [t[i : i + licenses.EXAMPLE] for t in docs for i in range(0, len(t), licenses.EXAMPLE)]
+    model = licenses.train(lines[::2])
+    rng = random.Random(1)
+    corpus = [w for t in docs[::3] for w in t.split()]
+    for n in (0, 20, 60, 120, 300, 1000):
+        for family, notices in licenses.TEMPLATES.items():
+            if family == licenses.UNKNOWN:
+                continue
+            right = 0
+            for notice in notices:
+                fill, k = [rng.choice(corpus) for _ in range(n)], rng.randint(0, n)
+                text = " ".join([*fill[:k], notice, *fill[k:]])
+                found = [r for r in licenses.findings(model, [text])[0] if r[4] == family]
+                right += bool(found) and any(text[r[7] : r[8]].strip(".") in notice or notice.strip(".") in text[r[7] : r[8]] for r in found)
+            assert right >= 0.9 * len(notices), (family, n, right)
+    # false alarms: texts of the same words in another order name no licence
+    clean = [" ".join(rng.choice(corpus) for _ in range(200)) for _ in range(500)]
+    assert sum(map(bool, licenses.findings(model, clean))) <= 5
+
+
+def test_a_claim_that_no_template_confirms_is_unknown():
+    model = licenses.train([words(random.Random(i), 10) for i in range(2000)])
+    found = licenses.findings(model, ["Licensed under the Mozilla licence of that kind.", "", "é" * 40 + " Released under the MIT License. é"])
+    assert [r[4] for r in found[0]] == [licenses.UNKNOWN] and found[1] == []
+    (r,) = found[2]
+    assert r[4] == "mit" and (r[7], r[8]) == (41, 41 + len("Released under the MIT License"))
+
+
 # -- archives --------------------------------------------------------------------
 
 
