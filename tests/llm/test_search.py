@@ -1,4 +1,9 @@
+import math
+from fractions import Fraction
+
 import numpy as np
+import pandas as pd
+import pytest
 
 from scanloom.llm import mtree
 
@@ -44,6 +49,39 @@ def test_many_trees(spark, monkeypatch):
     assert found(spark, data, every=20) == brute(data, every=20)
 
 
+def test_more_roots_than_are_broadcast(spark, monkeypatch):
+    for name, value in (("TREE", 40), ("PIVOTS", 4), ("ROOTS", 3), ("LEAF", 8), ("FAN", 4), ("CHUNK", 9)):
+        monkeypatch.setattr(mtree, name, value)
+    data = rows(700, 6)
+    assert found(spark, data, every=20) == brute(data, every=20)
+
+
+@pytest.mark.parametrize("power", [14, 18, 21, 22, 24, 40, 400])
+def test_scores_of_large_components_are_exact(spark, power):
+    rng = np.random.default_rng(power)
+    data = [(i, [float(x) for x in rng.uniform(-1, 1, 16) * 2.0**power], 0) for i in range(300)]
+    data += [(1000 + i, [x * (1 + (j == i % 16) * 2.0**-40) for j, x in enumerate(data[i % 10][1])], 0) for i in range(60)]
+    df = spark.createDataFrame([r[:2] for r in data], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.nearest(df, every=50).collect()}
+    whole = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v, *_ in data}
+    low, high = mtree.LONG
+    for q in (i for i in whole if i % 50 == 0):
+        hits = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), j) for j, v in whole.items() if j != q)[:5]
+        assert {r for r in got if r[0] == q} == {(q, n + 1, j, min(max(-s, low), high)) for n, (s, j) in enumerate(hits)}
+
+
+def test_stored_distances_spare_computations():
+    """The share of a tree's vectors that a search computes no distance to: of clustered vectors most."""
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 16))))
+    space = mtree.Space(16, False, 0, float((v * v).sum(axis=1).max()))
+    vecs = pd.DataFrame({"vec": [x.astype("<i4").tobytes() for x in v], "ids": [[i] for i in range(len(v))]})
+    tree = mtree.Tree(mtree._grower(space)((0,), vecs).drop(columns="tree"), space)
+    for i in range(0, 4000, 50):
+        tree.search(v[i], i, 5, math.inf)
+    assert tree.size == 4000 and tree.computed < 0.5 * 80 * tree.size
+
+
 def test_few_rows(spark):
     assert found(spark, rows(3, 2)) == brute(rows(3, 2))
     assert found(spark, rows(1, 2)) == set()
@@ -52,7 +90,7 @@ def test_few_rows(spark):
 
 def test_pages_bound_what_they_hold():
     rng = np.random.default_rng(3)
-    v = mtree._lift(np.floor(256 * rng.normal(size=(3000, 6))), 1e7)
+    v = mtree.Space(6, False, 0, 1e7).lift(np.floor(256 * rng.normal(size=(3000, 6))))
     pages = mtree.build(v)
 
     def held(n):
