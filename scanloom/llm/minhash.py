@@ -80,9 +80,9 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word, np.searchsorted(start, begin)
 
 
-def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' shingles and each text's offsets among them."""
-    word, of = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+    word, of = word_hashes(raw)
     n = np.diff(of)
     pad = np.r_[word, np.zeros(SHINGLE, np.uint64)]
     run = np.zeros(len(word), np.uint64)
@@ -101,7 +101,7 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(texts, BINS) bin codes of BITS bits, and which texts have a shingle."""
-    h, off = shingle_hashes(texts)
+    h, off = shingle_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
     n = np.diff(off)
     least = np.full(len(texts) * BINS, NONE)
     place = np.repeat(np.arange(len(texts)), n) * BINS + (h >> BIN_SHIFT).astype(np.int64)

@@ -1,38 +1,44 @@
 """SimHash near-duplicates (operator 10) over a Gray-order hierarchical index.
 
 Each text gives one fingerprint; equal fingerprints become one node. The index
-has masks of whole fingerprint blocks as its upper nodes: fingerprints within
-the radius agree on at least one block (exactly so if there are more blocks than
-differing bits), so each node goes to the bucket of each of its blocks, and Spark
-shuffles by bucket. Inside a bucket the fingerprints are sorted by Gray rank, runs
-of them share masked bit patterns in upper nodes, and a search adds up the
-differences from node to node and leaves whole groups when they pass the radius.
-A bucket gives a spanning forest of its links, not all its pairs; components over
-those edges come from alternating large-star and small-star rounds.
+has masks of some of a fingerprint's bits as its upper nodes: a node goes to the
+bucket of each mask's pattern, and Spark shuffles by bucket. Of 64 bits, those
+within 3 differing ones agree on one of four masks of 16 bits, so no link is lost;
+large buckets are dealt out again by 12 of the other bits, which loses none either.
+Inside a bucket the fingerprints are sorted by Gray rank, runs of them share masked
+bit patterns in upper nodes, and a search adds up the differences from node to node
+and leaves whole groups when they pass the radius. A bucket gives a spanning forest
+of its links, not all its pairs; components over those edges come from alternating
+large-star and small-star rounds, whose hubs (a bounded number) are broadcast.
 
 Defined results: null and empty texts, and texts without a word, have the zero
-fingerprint and link like any other; repeated rows and null ids keep a row each
-(a component's id is its smallest non-null id); an empty table gives no rows;
-other columns of the input are not read.
+fingerprint and link like any other; very long texts are hashed in bounded memory
+beside their words; repeated rows and null ids keep a row each (a component's id is
+its smallest non-null id); an empty table gives no rows; other columns of the input
+are not read.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, offsets, small_batches, text_chunks
 
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bucket size beyond which a bucket is dealt out again by blocks of its other bits.
-LARGE = 2048
+#: Bucket size beyond which a bucket is dealt out again by blocks of its other bits, or in pairs of slices of half that size.
+LARGE, SLICE = 2048, 16384
 FAN = 16
+#: Hashes whose bits are summed at once.
+FOLDED = 1 << 18
+#: Rows that a task holds before it looks at the buckets that are whole.
+HELD = 50_000
+#: A node with more edges is a hub, or one with more than this share of all edges, so that there are at most two over the share.
+HUB, HUB_SHARE = 256, 1e-4
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -46,22 +52,29 @@ def shingle_hashes(text: str, size: int) -> list[int]:
     return [h(join(s), SEED) for s in zip(*(words[i:] for i in range(size)), strict=False)]
 
 
-def fold(hashes: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
+def fold(hashes: np.ndarray, off: np.ndarray, words: int, ties: np.ndarray | None = None) -> np.ndarray:
     """Majority bits of each slice of ``hashes``: (texts, words) of uint64.
 
-    Word 0 takes the hashes as they are, the others remixed ones.
+    Word 0 takes the hashes as they are, the others remixed ones. A bit that half of the
+    hashes set is that of the slice's hash in ``ties`` (remixed likewise), else 0.
     """
     out = np.zeros((len(off) - 1, words), np.uint64)
     own = np.flatnonzero(np.diff(off))
     if not len(own):
         return out
-    n = np.diff(off)[own]
+    n, edges = np.diff(off)[own], off[np.r_[own, len(off) - 1]]
     for k in range(words):
-        h = hashes if not k else _mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        bits = np.unpackbits(h[:, None].view(np.uint8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, off[own], axis=0, dtype=np.int32)
-        major = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little")
-        out[own, k] = major.view(np.uint64)[:, 0]
+        turn = (lambda h: h) if not k else (lambda h, k=k: _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+        sums = np.zeros((len(own), 64), np.int64)
+        for p in range(0, len(hashes), FOLDED):
+            first, last = np.searchsorted(edges, p, "right") - 1, np.searchsorted(edges, min(p + FOLDED, len(hashes)))
+            bits = np.unpackbits(turn(hashes[p : p + FOLDED])[:, None].view(np.uint8), axis=1, bitorder="little")
+            sums[first:last] += np.add.reduceat(bits, np.maximum(edges[first:last] - p, 0), axis=0, dtype=np.int32)
+        major = 2 * sums > n[:, None]
+        if ties is not None:
+            other = np.unpackbits(turn(ties[own])[:, None].view(np.uint8), axis=1, bitorder="little")
+            major |= (2 * sums == n[:, None]) & other.astype(bool)
+        out[own, k] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
@@ -71,12 +84,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp, text_hash) of every row; ``fp`` is big-endian binary of ``bits`` bits.
-
-    Without repeats a shingle counts once, and eight bytes of a digest of the distinct
-    shingles follow, so that texts share an ``fp`` only if they share their shingles.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row; ``fp`` is big-endian binary of 64 bits."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -84,19 +93,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, repeats: boo
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = []
             for a, b in text_chunks(texts, 2 << 20):
-                lists = [shingle_hashes(t, shingle) for t in texts[a:b]]
-                if not repeats:
-                    lists = [sorted(set(hs)) for hs in lists]
-                flat = np.array([h for hs in lists for h in hs], np.uint64)
-                words = fold(flat, offsets([len(hs) for hs in lists]), bits // 64).astype(">u8")
-                tails = [b"" if repeats else xxhash.xxh64_digest(np.array(hs, "<u8").tobytes(), SEED) for hs in lists]
-                found += [w.tobytes() + tail for w, tail in zip(words, tails, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "fp", "text_hash"]
-            )
+                lists = [np.array(shingle_hashes(t, shingle), np.uint64) for t in texts[a:b]]
+                words = fold(np.concatenate(lists), offsets([len(hs) for hs in lists]), 1).astype(">u8")
+                found += [w.tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    return own.mapInArrow(run, "doc_id long, fp binary, text_hash long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
 
 
 # -- the index inside a bucket ---------------------------------------------------
@@ -179,293 +181,234 @@ def forest(n: int, pairs) -> np.ndarray:
     return label
 
 
+def whole_buckets(batches, column: str = "bucket"):
+    """Tables of whole buckets, HELD rows or one bucket at a time, of batches in the order of their buckets."""
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, None
+    for batch in batches:
+        keys = batch.column(column).to_numpy()
+        if not len(keys):
+            continue
+        begins = int(np.searchsorted(keys, keys[-1]))  # of the bucket that may go on in the next batch
+        goes_on = begins == 0 and last == keys[0]
+        last = keys[-1]
+        if rows + len(keys) < HELD or goes_on:
+            held.append(batch)
+            rows += len(keys)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, begins)]).combine_chunks()
+        held, rows = [batch.slice(begins)], len(keys) - begins
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def bucket_runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the table's buckets."""
+    starts = np.flatnonzero(np.diff(table.column("bucket").to_numpy(), prepend=-1) != 0)
+    if not len(starts) or starts[0]:
+        starts = np.r_[0, starts]
+    return starts, np.diff(np.r_[starts, len(table)])
+
+
+def leading_words(column: pa.ChunkedArray, words: int) -> np.ndarray:
+    """(rows, words) of the first bytes of binaries of one length."""
+    data = b"".join(column.to_pylist())
+    return np.ascontiguousarray(np.frombuffer(data, ">u8").astype(np.uint64).reshape(len(column), -1)[:, :words])
+
+
+def near_pairs(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int):
+    """Slices of the pairs of rows within the radius, of all buckets."""
+    small = sizes <= FAN
+    yield small_links(fps, starts[small], sizes[small], radius)
+    for s, n in zip(starts[~small], sizes[~small], strict=True):
+        order = s + gray_order(fps[s : s + n])
+        for i, j in gray_links(fps[order], radius):
+            yield order[i], order[j]
+
+
 def _edges(radius: int, words: int, nearest: bool = False):
-    """Rows (bucket, fp) sorted by bucket to edges (a, b), many buckets at a time.
+    """Rows (bucket, node) in the order of their buckets to edges (a, b), many buckets at a time.
 
-    The edges are a spanning forest of a bucket's links; if the rows have a ``part``,
-    they are all links between different parts, or with ``nearest`` each row's closest one.
+    The edges are a spanning forest of a bucket's links; with ``nearest`` each
+    row's closest link to one of another ``part``.
     """
 
-    def buckets(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.diff(codes, prepend=-1))
-        sizes = np.diff(np.r_[starts, len(codes)])
-        return starts, sizes, sizes <= FAN
-
-    def across(keys: pa.Array, fps: np.ndarray, parts: np.ndarray):
-        starts, sizes, small = buckets(keys)
-        i, j = small_links(fps, starts[small], sizes[small], radius)
-        apart = parts[i] != parts[j]
-        yield i[apart], j[apart]
-        for s, n in zip(starts[~small], sizes[~small], strict=True):
-            order = s + gray_order(fps[s : s + n])
-            for i, j in gray_links(fps[order], radius):
-                i, j = order[i], order[j]
-                apart = parts[i] != parts[j]
-                yield i[apart], j[apart]
-
-    def closest(fps: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
+    def closest(fps: np.ndarray, parts: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
         best = np.full(len(fps), np.iinfo(np.int64).max)
         for i, j in found:
+            apart = parts[i] != parts[j]
+            i, j = i[apart], j[apart]
             off = _diff(fps[i], fps[j]).astype(np.int64) << 32
             np.minimum.at(best, i, off | j)
             np.minimum.at(best, j, off | i)
         own = np.flatnonzero(best != np.iinfo(np.int64).max)
         return own, best[own] & 0xFFFFFFFF
 
-    def solve(keys: pa.Array, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, sizes, small = buckets(keys)
-        a, b = small_links(fps, starts[small], sizes[small], radius)
-        label = forest(len(fps), [(a, b)])
-        for s, n in zip(starts[~small], sizes[~small], strict=True):
-            order = gray_order(fps[s : s + n])
-            roots = forest(n, gray_links(fps[s : s + n][order], radius))
-            label[s + order] = s + order[roots]
-        away = np.flatnonzero(label != np.arange(len(label)))
-        return away, label[away]
-
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def flush(table: pa.Table):
-            raw = table.column("fp").combine_chunks()
-            data = b"".join(raw.to_pylist())
-            fps = np.ascontiguousarray(np.frombuffer(data, ">u8").astype(np.uint64).reshape(len(raw), -1)[:, :words])
-            keys = table.column("bucket").combine_chunks()
-            if "part" in table.column_names:
+        for table in whole_buckets(batches):
+            raw = table.column("node")
+            fps = leading_words(raw, words)
+            found = near_pairs(fps, *bucket_runs(table), radius)
+            if nearest:
                 parts = table.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                found = across(keys, fps, parts)
-                found = [closest(fps, found)] if nearest else found
+                i, j = closest(fps, parts, found)
             else:
-                found = [solve(keys, fps)]
-            for i, j in found:
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([raw.take(pa.array(i)), raw.take(pa.array(j))], ["a", "b"])
-
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows < 50_000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            keys = t.column("bucket").to_pylist()
-            stop = len(keys)
-            while stop and keys[stop - 1] == keys[-1]:
-                stop -= 1
-            if stop:  # the last bucket may go on in the next batch
-                yield from flush(t.slice(0, stop))
-                held = t.slice(stop).to_batches()
-                rows = len(keys) - stop
-        if rows:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
+                label = forest(len(fps), found)
+                i = np.flatnonzero(label != np.arange(len(label)))
+                j = label[i]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (raw.take(pa.array(i)), raw.take(pa.array(j)))], ["a", "b"])
 
     return run
 
 
-def _blocks(bits: int, width: int) -> list[int]:
-    """Mask starts of whole blocks of ``width`` bits."""
-    return list(range(0, bits - width + 1, width))
+def _word(k: int) -> Column:
+    return F.conv(F.hex(F.substring("node", 8 * k + 1, 8)), 16, -10).cast("long")
+
+
+def _bits(word: Column, start: int, n: int) -> Column:
+    """``n`` bits of a word from ``start`` on, the highest being bit 0."""
+    return F.shiftrightunsigned(word, 64 - start - n).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
+
+def byte_pairs(bits: int) -> list[tuple[int, int]]:
+    """Masks of wide fingerprints: each byte with the next one, and with the one half way round."""
+    n = bits // 8
+    return [(i, (i + 1) % n) for i in range(n)] + [(i, i + n // 2) for i in range(n // 2)]
+
+
+def bucketed(nodes: DataFrame, bits: int) -> DataFrame:
+    """``nodes`` once for each mask, with the ``bucket`` (long) of its pattern; ``within`` keeps groups apart and is left out."""
+    words = [_word(k) for k in range(bits // 64)]
+    held = nodes.withColumns({f"w{k}": w for k, w in enumerate(words)})
+    byte = lambda i: _bits(F.col(f"w{i // 8}"), 8 * (i % 8), 8)
+    if bits == 64:
+        patterns = [_bits(F.col("w0"), 16 * k, 16) for k in range(4)]
+    else:
+        patterns = [F.shiftleft(byte(i), 8).bitwiseOR(byte(j)) for i, j in byte_pairs(bits)]
+    keys = F.array(*(F.lit(k << 16).cast("long") + p for k, p in enumerate(patterns)))
+    own = held.select(*nodes.columns, F.explode(keys).alias("bucket"))
+    if "within" in nodes.columns:
+        own = own.withColumn("bucket", F.xxhash64("bucket", "within")).drop("within")
+    return own
 
 
-def link(nodes: DataFrame, bits: int = 64, radius: int = 3, width: int = 16, nearest: bool = False) -> DataFrame:
-    """Spanning edges (a, b) among distinct fingerprints (column ``fp``) within ``radius`` bits.
+def sliced(keyed: DataFrame, most: int) -> DataFrame:
+    """``keyed`` with buckets of more than ``most`` rows dealt out so that each pair of rows still meets.
 
-    All links are found if ``bits // width > radius``; else those that agree on a
-    block of ``width`` bits. If ``nodes`` have a ``part`` and a ``within``, the edges are
-    all links between different parts of the same ``within``, or with ``nearest`` the
-    closest one of each node in each bucket.
+    Rows of a large bucket are in slices of half as many by a hash; each pair of slices is a bucket.
     """
-    more = ["part"] if "part" in nodes.columns else []
-    exact = bits // width > radius
-    digits = F.hex("fp")  # a digit holds four bits
-    if width % 4:
-        raise ValueError("width must be a multiple of 4")
-    keyed = nodes.select(
-        "fp",
-        F.explode(
-            F.array(*(F.concat(F.lit(f"{k}:"), digits.substr(s // 4 + 1, width // 4)) for k, s in enumerate(_blocks(bits, width))))
-        ).alias("bucket"),
-        *more,
-        *(["within"] if more else []),
-    )
-    if more:
-        keyed = keyed.withColumn("bucket", F.concat("bucket", F.lit("/"), F.hex("within"))).drop("within")
-    if exact and bits == 64 and width == 16:
-        # A large bucket is dealt out by blocks of 12 of its other 48 bits: pairs within the
-        # radius agree on one of those as well.
-        sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        keyed = keyed.join(sizes, "bucket")
-        block = F.split("bucket", ":")[0].cast("int")
-        rest = F.concat(F.substring(digits, F.lit(1), 4 * block), digits.substr(4 * block + 5, F.lit(12)))
-        again = F.array(*(F.concat("bucket", F.lit(f"/{k}:"), rest.substr(3 * k + 1, 3)) for k in range(4)))
-        keyed = keyed.withColumn("bucket", F.explode(F.when(F.col("n") > LARGE, again).otherwise(F.array("bucket"))))
-    dealt = keyed.select("bucket", "fp", *more).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    large = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    met = keyed.join(large, "bucket", "left")
+    count = F.ceil(F.col("n") / (most // 2)).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit("slice")), F.col("c"))
+    pair = lambda t: F.xxhash64(F.col("bucket"), F.least("s", t), F.greatest("s", t))
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda t: t != F.col("s")), pair)
+    met = met.withColumn("c", count).withColumn("s", own)
+    return met.withColumn("bucket", F.explode(F.when(F.col("c").isNull(), F.array("bucket")).otherwise(others))).drop("n", "c", "s")
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """64-bit nodes' buckets with the large ones dealt out by blocks of 12 of their other 48 bits.
+
+    Pairs within 3 bits agree on one of those as well.
+    """
+    large = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+    met = keyed.join(large, "bucket", "left").withColumn("w0", _word(0))
+    mask = F.shiftright("bucket", 16)
+    high = lambda k: _bits(F.col("w0"), 0, 16 * k) if k else F.lit(0).cast("long")
+    low = lambda k: _bits(F.col("w0"), 16 * k + 16, 48 - 16 * k) if k < 3 else F.lit(0).cast("long")
+    rest = F.coalesce(*(F.when(mask == k, F.shiftleft(high(k), 48 - 16 * k).bitwiseOR(low(k))) for k in range(4)))
+    met = met.withColumn("rest", F.shiftleft(rest, 16))
+    again = F.array(*(F.xxhash64("bucket", F.lit(k), _bits(F.col("rest"), 12 * k, 12)) for k in range(4)))
+    return met.select("node", F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(again)).alias("bucket"))
+
+
+def link(nodes: DataFrame, bits: int = 64, radius: int = 3, nearest: bool = False) -> DataFrame:
+    """Spanning edges (a, b) among distinct nodes (binary column ``node``, its first bits a fingerprint) within ``radius`` bits.
+
+    All links are found of 64 bits with a radius of at most 3; else those that agree on
+    one of ``byte_pairs``. With ``nearest``, nodes have a ``part`` and a ``within``, and
+    the edges are each node's closest ones, per bucket, to another part of the same ``within``.
+    """
+    if bits == 64 and radius > 3:
+        raise ValueError("64 bits are for a radius of 3 at most")
+    keyed = bucketed(nodes, bits)
+    dealt = _dealt(keyed) if bits == 64 else sliced(keyed, SLICE)
+    dealt = dealt.select("bucket", "node", *(["part"] if nearest else [])).repartition("bucket").sortWithinPartitions("bucket", "node")
     return dealt.mapInArrow(_edges(radius, bits // 64, nearest), "a binary, b binary").distinct()
 
 
 # -- components ----------------------------------------------------------------
 
 
+def _with_least(rows: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of their ``u``: those of hubs meet it by broadcast, as they are few and have many rows."""
+    hubs = low.where(F.col("n") > hub).select("u", "m")
+    met = rows.join(F.broadcast(hubs), "u", "left")
+    rest = met.where("m is null").drop("m").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
+    return met.where("m is not null").unionByName(rest)
+
+
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    low = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    low = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), low, hub).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = _least(down)
-    moved = down.join(low, "u").where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, low, hub).where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("u", "m")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node that it reaches."""
     edges = cut(edges.where("a <> b"))
-    seen = None
-    while True:
-        edges = cut(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.crc32(F.concat("a", "b")))).first()
-        if now == seen:
-            break
+    seen, now = None, (edges.count(),)
+    while now != seen:
         seen = now
+        hub = max(HUB, int(HUB_SHARE * 2 * seen[0]))
+        edges = cut(_small_star(_large_star(edges, hub), hub))
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.crc32(F.concat("a", "b")))).first())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, component_id) of ``nodes`` (fp, first_id) by the roots of those that have an edge."""
-    own = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    least = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(least, "root").select("fp", "component_id")
+# -- the operator ---------------------------------------------------------------
 
+def _tag(doc_id: Column) -> Column:
+    """16 bytes that sort like the ids, null after all."""
+    turned = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.unhex(F.when(doc_id.isNull(), F.lit("01" + "0" * 30)).otherwise(F.concat(F.lit("0" * 16), turned)))
 
-def grouped(fps: DataFrame, bits: int = 64, radius: int = 3, width: int = 16) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp, ...), which should be a written table."""
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    return _labelled(nodes, components(link(nodes, bits, radius, width)))
 
+def _tagged(tag: Column) -> Column:
+    own = F.conv(F.hex(F.substring(tag, 9, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.substring(tag, 1, 1) == F.lit(b"\x00"), own)
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    fps = cut(fingerprints(docs, shingle))
-    parts = grouped(fps, 64, radius)
-    return fps.join(parts, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
-
-# -- one document of each group ---------------------------------------------------
-
-# Five-word shingles at a Jaccard similarity of 0.8 differ in a share of
-# acos(2 * 0.8 / 1.8) / pi = 0.151 of the bits: 38.8 of 256 on average, with a
-# standard deviation of 5.7. Unrelated texts differ in 128 and deviate by 8. The bits
-# only propose a link; the shingles themselves decide on it.
-
-#: Least Jaccard similarity of the distinct shingles of near-duplicates, as a fraction.
-NEAR = (4, 5)
-#: Rounds of closest links before all that are left are looked at; they save work and change no result.
-NEAREST_ROUNDS = 1
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(fp, shingles) of ``wanted`` (fp, key): the distinct hashes in order, as bytes, of the row with that key."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.array(sorted(set(shingle_hashes(t or "", shingle))), "<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("own_text"), F.xxhash64("text").alias("own_hash"))
-    rows = own.join(wanted, F.col("own_id").eqNullSafe(F.col("key.doc_id")) & (F.col("own_hash") == F.col("key.text_hash")))
-    return rows.select("fp", "own_text").mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
+def grouped(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of ``fps`` (doc_id, fp), which should be a written table.
 
-
-def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``edges`` (a, b) whose shingles have a Jaccard similarity of ``NEAR`` or more."""
-    part, whole = NEAR
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(whole * both >= part * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sized = sets.withColumn("n", F.length("shingles"))
-    one = sized.select(F.col("fp").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("m"))
-    pairs = edges.join(one, "a").join(sized.withColumnRenamed("fp", "b"), "b").where(whole * F.least("m", "n") >= part * F.greatest("m", "n"))
-    return pairs.select("a", "b", "x", "shingles").mapInArrow(run, "a binary, b binary")
-
-
-def confirmed_roots(docs: DataFrame, nodes: DataFrame, shingle: int, bits: int, radius: int, width: int) -> DataFrame:
-    """(node, root) over all links of ``nodes`` (fp, key) that ``confirmed`` lets stand.
-
-    First the spanning edges are looked at, then, in each group that falls apart, the
-    closest link of every node to another part. What that leaves apart, though
-    the bits connect it, may have further links: all those between the parts are
-    looked at last.
+    A node is a fingerprint and the smallest id that has it; components compare the
+    ids first, so that a component's least node holds its id.
     """
-    edges = cut(link(nodes.select("fp"), bits, radius, width))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = cut(shingle_sets(docs, nodes.join(ends, "fp", "left_semi").select("fp", "key"), shingle))
-    bound = cut(components(edges).select(F.col("node").alias("fp"), F.col("root").alias("within")))
-
-    def parted(good: DataFrame) -> DataFrame:
-        parts = components(good).select(F.col("node").alias("fp"), F.col("root").alias("part"))
-        own = cut(bound.join(parts, "fp", "left").select("fp", "within", F.coalesce("part", "fp").alias("part")))
-        split = own.groupBy("within").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("within")
-        return own.join(split, "within")
-
-    good = cut(confirmed(edges, sets))
-
-    def across(good: DataFrame, nearest: bool = False) -> DataFrame:
-        found = link(parted(good), bits, radius, width, nearest)
-        return confirmed(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets)
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    edges = link(nodes.select(F.concat("fp", _tag(F.col("first_id"))).alias("node")), 64, radius)
+    turn = lambda c: F.concat(F.substring(c, 9, 16), F.substring(c, 1, 8))
+    roots = components(edges.select(turn("a").alias("a"), turn("b").alias("b")))
+    roots = roots.select(F.substring("node", 17, 8).alias("fp"), _tagged(F.col("root")).alias("least"), F.lit(True).alias("linked"))
+    met = nodes.join(roots, "fp", "left")
+    return met.select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first_id")).alias("component_id"))
 
-    for _ in range(NEAREST_ROUNDS):
-        good = cut(good.union(across(good, nearest=True)))
-    return components(good.union(across(good)))
 
-
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 48, width: int = 12) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each group of near-duplicates; columns stay.
-
-    Near-duplicates share four fifths of their distinct shingles, which is checked on
-    each link before groups are formed. The links are proposed by wide fingerprints at
-    ``radius`` or fewer differing bits that agree on at least one of the
-    ``bits // width`` blocks; ``recall`` gives the share of pairs that both keep. Of
-    repeated rows one stays. Texts without a word are alike and unlike any other.
-    """
-    fps = cut(fingerprints(docs, shingle, bits, repeats=False))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("key"))
-    worded = nodes.where(F.substring("fp", 1, bits // 8) != F.lit(bytes(bits // 8)))
-    parts = _labelled(nodes.drop("key"), confirmed_roots(docs, worded, shingle, bits, radius, width))
-    members = fps.join(parts, "fp").withColumn("key", F.struct("doc_id", "text_hash"))
-    # A group is its component; those with no id at all are told apart by their fingerprint.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    kept = members.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min("key").alias("key"))
-    kept = kept.select(F.col("key.doc_id").alias("__id"), F.col("key.text_hash").alias("__hash"))
-    own = docs.withColumn("__hash_own", F.xxhash64("text"))
-    found = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__hash_own"] == kept["__hash"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "__hash_own"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-@functools.cache
-def block_recall(similarity: float, bits: int = 256, width: int = 12) -> float:
-    """Share of pairs of that Jaccard similarity which agree on a block."""
-    p = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return float(1 - (1 - p**width) ** (bits // width))
-
-
-def recall(similarity: float, bits: int = 256, radius: int = 48, width: int = 12, pairs: int = 100_000, seed: int = 1) -> float:
-    """Share of simulated pairs of that Jaccard similarity which agree on a block and lie within the radius, for independent bits."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    off = np.random.default_rng(seed).random((pairs, bits), np.float32) < p
-    block = ~off[:, : bits // width * width].reshape(pairs, -1, width).any(axis=2)
-    return float((block.any(axis=1) & (off.sum(axis=1) <= radius)).mean())
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    fps = cut(fingerprints(docs, shingle))
+    parts = cut(grouped(fps, radius))  # written, so that Spark can split a fingerprint that many rows have
+    return fps.join(parts, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
