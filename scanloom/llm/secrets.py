@@ -6,15 +6,19 @@ holds a posting (trigram, document) for the trigrams of these queries; postings
 are intersected per document and clause, and only candidates are matched against
 the rule. A rule without mandatory trigrams is matched against every text.
 
-Defined results: a null text counts as empty and has no spans; repeated rows and
-null ids keep a row each; an empty table gives no rows; the columns of the input
-are read by name (doc_id, text) and others are ignored, so their names can't clash.
+Defined results: a null text counts as empty and has no spans; very long texts with
+very many spans take little more than time in proportion (the sums over spans are
+taken block by block); spans that start together are in the order of their kinds;
+repeated rows and null ids keep a row each; an empty table gives no rows; the columns
+of the input are read by name (doc_id, text) and others are ignored or, by ``redact``,
+carried along in a struct, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as parser
@@ -40,13 +44,13 @@ RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\t\n\r ]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("forge", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
-# The body of a private key: header lines, lines of base64 (of any length, also indented,
+# The body of a private key as ``redact`` takes it, which need not have an END: header lines, lines of base64 (of any length, also indented,
 # quoted or with written-out \\n), long runs of base64 between blanks, and the END line.
 # Possessive loops neither go back nor recurse in Java, so no length is too much.
 _BREAK = r"(?:[ \t]*+(?:\r?\n|\r|\\r\\n|\\n))++[ \t>#*]*+"
@@ -56,7 +60,7 @@ _BODY = (
     rf"(?:(?:{_BREAK}|\s*+)-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?+"
 )
 #: The rules that ``redact`` masks by: a private key with its body.
-MASKED = tuple(Rule(r.kind, r.pattern + _BODY) if r.kind == "pem" else r for r in RULES)
+MASKED = tuple(Rule(r.kind, r.pattern.partition("(?:")[0] + _BODY) if r.kind == "pem" else r for r in RULES)
 
 #: Alternatives beyond which a part of a pattern counts as unknown.
 MOST = 64
@@ -120,10 +124,17 @@ def clauses_of(rules: tuple[Rule, ...]) -> list[tuple[int, list[str]]]:
     return [(n, sorted(c, key=rarity)[:TERMS]) for n, r in enumerate(rules) for c in trigram_query(r.pattern)]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key that copies under other ids, null ids and repeated rows don't share or lose."""
+def _keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Rows with a key that copies under other ids, null ids and repeated rows don't share or lose.
+
+    With ``carry`` all columns but the text come along in the struct ``row``, and ``null_text`` tells nulls from empty texts.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    more = []
+    if carry:
+        others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+        more = [F.struct(*others).alias("row"), F.col("text").isNull().alias("null_text")]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
     return own.withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "text_key": F.xxhash64("text")})
 
 
@@ -150,31 +161,58 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.select("id", "text_key", mask.alias("rules")).where("rules <> 0")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(of: Column) -> Column:
+    """An array (cheap to name) cut into about as many blocks as a block has elements, so that work within and over blocks stays small."""
+    cut = lambda size: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(of) / size).cast("int"), F.lit(1)) - 1), lambda k: F.slice(of, k * size + 1, size)
+    )
+    return let(F.ceil(F.sqrt(F.size(of))).cast("int"), cut)
+
+
+def _sums(of: Column) -> Column:
+    """Running sums of an array of ints that isn't empty."""
+    zero = F.array(F.lit(0))
+
+    def run(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def whole(inner: Column) -> Column:
+        before = run(F.transform(inner, lambda xs: F.element_at(xs, -1)))
+        return F.flatten(F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda xs, b: F.transform(xs, lambda x: x + b)))
+
+    return let(F.transform(_blocks(of), lambda xs: F.slice(run(xs), 2, F.size(xs))), whole)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
 def _spans(text: Column, number: int, rule: Rule) -> Column:
     """Array of (start, kind, end) of the rule's matches that count, in code points."""
     pattern = F.lit(rule.pattern)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    step = F.zip_with(hits, kept, lambda h, g: F.struct(F.length(h).alias("n"), (F.length(g) >= rule.least).alias("ok")))
-    step = F.zip_with(step, F.slice(between, 1, F.size(hits)), lambda s, b: F.struct(s["n"].alias("n"), s["ok"].alias("ok"), F.length(b).alias("gap")))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
-    def add(acc: Column, s: Column) -> Column:
-        begin, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["n"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["ok"], F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def of(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), 1, F.size(hits)), F.length)
+        both = F.zip_with(gaps, F.transform(hits, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+        ended = let(both, lambda b: let(F.transform(b, lambda x: x["g"] + x["n"]), lambda t: F.zip_with(b, _sums(t), lambda x, e: F.struct((e - x["n"]).alias("start"), e.alias("end")))))
+        if rule.least > 1:  # matches that are too short are dropped here, as they use up their characters
+            kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+            ended = F.filter(F.zip_with(ended, kept, lambda s, k: F.when(F.length(k) >= rule.least, s)), F.isnotnull)
+        return F.transform(ended, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end")))
 
-    return F.when(F.rlike(text, pattern), F.aggregate(step, start, add, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    return F.when(F.rlike(text, pattern), let(F.regexp_extract_all(text, pattern, F.lit(0)), of)).otherwise(F.array().cast(SPANS))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, text, text_key, id, found): every row with its spans, sorted by start and kind."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
+    """(doc_id, text, found): every row with its spans, sorted by start and kind; with ``carry`` also ``row`` and ``null_text``."""
     if sum(1 for r in rules for _ in trigram_query(r.pattern)) > 60 or len(rules) > 60:
         raise ValueError("too many rules for one pass")
-    own = _keyed(docs).join(candidates(postings(docs, rules), rules), ["id", "text_key"], "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    own = _keyed(docs, carry).join(candidates(postings(docs, rules), rules), ["id", "text_key"], "left")
+    none = F.array().cast(SPANS)
     parts = []
     for n, r in enumerate(rules):
         spans = _spans(F.col("text"), n, r)
@@ -182,7 +220,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             chosen = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << n).cast("long")) != 0
             spans = F.when(chosen, spans).otherwise(none)
         parts.append(spans)
-    return own.select("doc_id", "text", "text_key", "id", F.array_sort(F.concat(*parts)).alias("found"))
+    return own.select("doc_id", "text", *(["row", "null_text"] if carry else []), F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def _written(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -208,30 +246,58 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = MASKED, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mask``; n_chars follows where there is one.
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with the union of the sorted spans replaced, a mask for each run of spans that overlap.
 
-    Rows are found again by doc_id and text, so only those with a span are joined to.
+    Spans are taken in blocks: each block cuts its own piece of the text, and its spans cut that.
     """
-    spans = scan(docs, rules).where(F.size("found") > 0).select(
-        F.col("id").alias("__id"), F.col("text_key").alias("__key"), F.col("found").alias("__found")
-    )
-    spans = spans.dropDuplicates(["__id", "__key"])
-    own = docs.withColumns({"__own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__own_key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    own = own.join(spans, (F.col("__own_id") == F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left")
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("__found", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    own = own.withColumn("text", F.when(F.col("__found").isNull(), text).otherwise(clean))
-    if "n_chars" in docs.columns:
-        own = own.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return own.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    def merged(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        span = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        over = (F.size(acc) > 0) & (s["start"] < last["end"])
+        return F.when(over, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(span)))
+
+    def _cut(own: Column) -> Column:
+        ends = F.concat(F.array(own["at"]), F.transform(own["spans"], lambda s: s["end"]))
+        pairs = F.zip_with(own["spans"], ends, lambda s, e: F.struct(s.alias("s"), e.alias("last")))
+        gap = lambda p: F.substring(own["piece"], p["last"] - own["at"] + 1, p["s"]["start"] - p["last"])
+        part = lambda p: F.when(p["s"].isNull() | (p["s"]["start"] < p["last"]), "").otherwise(F.concat(gap(p), F.lit(mask)))
+        return F.array_join(F.transform(pairs, part), "")
+
+    def clean(block: Column) -> Column:
+        # spans that the blocks before have masked whole are gone; one that goes on is masked up to its end
+        spans = F.filter(block["spans"], lambda s: s["end"] > block["at"])
+        piece = lambda s: F.substring(text, block["at"] + 1, F.coalesce(F.try_element_at(s, F.lit(-1))["end"], block["at"]) - block["at"])
+        return let(let(spans, lambda s: F.struct(piece(s).alias("piece"), s.alias("spans"), block["at"].alias("at"))), _cut)
+
+    def whole(runs: Column) -> Column:
+        # where a block's text starts: at the end of all spans before it
+        begins = F.aggregate(runs, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.element_at(b, -1)["end"]))))
+
+        def joined(at: Column) -> Column:
+            numbered = F.zip_with(runs, F.slice(at, 1, F.size(runs)), lambda b, a: F.struct(b.alias("spans"), a.alias("at")))
+            return F.concat(F.array_join(F.transform(numbered, clean), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
+
+        return let(begins, joined)
+
+    kind = "array<struct<start:int,end:int>>"
+    return let(F.transform(_blocks(found), lambda b: F.aggregate(b, F.array().cast(kind), merged)), whole)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = MASKED, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of a secret replaced by ``mask``; n_chars follows where there is one. Rows are shuffled once."""
+    scanned = scan(docs, rules, carry=True)
+    clean = F.when(F.size("found") > 0, _masked(F.col("text"), F.col("found"), mask)).otherwise(F.col("text"))
+    out = scanned.select("row", F.when(~F.col("null_text"), clean).alias("text"), (F.size("found") > 0).alias("hit"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("row").getField(c) if c.lower() != "text" else F.col("text")
+        if c.lower() == "n_chars":
+            value = F.when(F.col("hit"), F.length("text").cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return out.select(*columns)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
