@@ -2,15 +2,18 @@
 
 Byte n-grams of a text, lower-cased and with spaces around, are hashed to
 embeddings, averaged, and classified by a linear softmax; both are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows. A part
-of the sample that isn't trained on sets the softmax temperature and the score
-below which a prediction counts as rejected.
+stochastic gradient descent in numpy on a bounded sample of labelled rows, of which
+a bounded number of pieces is drawn from anywhere in their texts. Pieces of rows that
+aren't trained on set the softmax temperature; the score below which a prediction
+counts as rejected is one that all but a stated share of those rows' whole texts
+reach, which are scored where they are.
 
 Training rows are those with a label whose crc32 of the id's digits is not 2
 modulo 4; only text is an input of a prediction. Defined results: a null text or
 one without a letter is ``und`` with score 0 and rejected, as is every text if
-there is no labelled row; repeated rows and null ids keep a row each (a null id
-is held out from training, and ``held_out`` is false for it); an empty table
+there is no labelled row; very long texts count whole; of languages that score the
+same the first in order is predicted; repeated rows and null ids keep a row each (a
+null id is held out from training, and ``held_out`` is false for it); an empty table
 gives no rows; other columns of the input are not read.
 """
 
@@ -21,20 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, small_batches, text_chunks
+from .common import cut, offsets, small_batches, text_chunks
 
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 GRAMS = (2, 3, 4)
 BUCKET_BITS, DIM = 16, 16
-#: Training rows of one language at most (about; a hash of the row decides) and
-#: characters of a training example: texts are cut so that short ones are learnt too.
-SAMPLE, EXAMPLE = 500, 160
-#: Training examples of one row at most; those of a longer text are spread evenly over all of it.
-WINDOWS = 200
+#: Rows of one language that the sample has (about, and twice as many at most; a hash of
+#: the row decides), characters of a piece, and pieces of one language at most.
+SAMPLE, EXAMPLE, EXAMPLES = 500, 160, 4000
+#: One of so many rows of the sample isn't trained on, of languages with at least FEWEST rows.
+APART, FEWEST = 5, 50
 EPOCHS, BATCH, RATE = 3, 128, 0.5
 #: Share of right predictions for held-out whole texts that may be rejected; of a few hundred texts it is the lowest score.
 LOST = 0.0005
@@ -80,68 +83,57 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def _examples(texts: list[str], labels: list[int]) -> tuple[list[str], np.ndarray]:
-    cut, of = [], []
-    for t, y in zip(texts, labels, strict=True):
-        for i in range(0, max(len(t), 1), EXAMPLE):
-            if LETTER.search(part := t[i : i + EXAMPLE]):
-                cut.append(part)
-                of.append(y)
-    return cut, np.array(of, np.int64)
-
-
-def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Fit embeddings and softmax on four fifths of the rows, temperature and rejection on the others."""
+def train(texts: list[str], labels: list[str], apart: tuple[list[str], list[str]] = ((), ()), seed: int = 7) -> Model:
+    """Fit embeddings and softmax on the texts, the temperature on those ``apart``."""
     langs = sorted(set(labels))
-    y = [langs.index(x) for x in labels]
+    of = np.array([langs.index(x) for x in labels], np.int64)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    held = set(order[: len(texts) // 5].tolist()) if len(texts) >= 50 else set()
-    mine = [i for i in range(len(texts)) if i not in held]
-    cut, of = _examples([texts[i] for i in mine], [y[i] for i in mine])
     emb = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     share = np.bincount(of, minlength=len(langs)) / max(len(of), 1)
-    weight = 1 / np.maximum(share * len(langs), 1e-6)  # each language counts the same
-    steps, done = EPOCHS * -(-len(cut) // BATCH), 0
+    weight = np.minimum(1 / np.maximum(share * len(langs), 1e-6), 20).astype(np.float32)  # each language counts the same
+    data, starts = flat(list(texts))
+    grams = [ngram_buckets(data, n) for n in GRAMS]
+    steps, done = EPOCHS * -(-len(of) // BATCH), 0
     for _ in range(EPOCHS):
-        turn = rng.permutation(len(cut))
-        for i in range(0, len(cut), BATCH):
+        turn = rng.permutation(len(of))
+        for i in range(0, len(turn), BATCH):
             pick = turn[i : i + BATCH]
-            data, starts = flat([cut[k] for k in pick])
-            grams = [ngram_buckets(data, n)[: starts[-1]] for n in GRAMS]
-            size = (len(GRAMS) * np.diff(starts)).astype(np.float32)
-            x = sum(np.add.reduceat(emb[g], starts[:-1], axis=0) for g in grams) / size[:, None]
+            n = starts[pick + 1] - starts[pick]
+            doc = np.repeat(np.arange(len(pick)), n)
+            at = np.arange(n.sum()) + np.repeat(starts[pick] - np.cumsum(n) + n, n)
+            bucket = np.concatenate([g[at] for g in grams])
+            # what a text holds several times is looked up once
+            pair, times = np.unique((bucket.astype(np.int64) << 16) | np.tile(doc, len(GRAMS)), return_counts=True)
+            bucket, doc = pair >> 16, pair & 0xFFFF
+            times = times[:, None].astype(np.float32)
+            size = (len(GRAMS) * n).astype(np.float32)[:, None]
+            order = np.argsort(doc, kind="stable")
+            begins = np.searchsorted(doc[order], np.arange(len(pick)))
+            x = np.add.reduceat(emb[bucket[order]] * times[order], begins, axis=0) / size
             z = x @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(pick)), of[pick]] -= 1
-            p *= np.minimum(weight[of[pick]], 20)[:, None].astype(np.float32)
+            p *= weight[of[pick]][:, None]
             rate = RATE * (1 - done / steps)
-            back = (p @ w.T) / size[:, None]
+            back = (p @ w.T) / size * (-rate * 40)
             w -= rate * (x.T @ p) / len(pick) * 4
             b -= rate * p.mean(axis=0)
-            doc = np.repeat(np.arange(len(pick)), np.diff(starts))
-            for g in grams:
-                pair, times = np.unique(g.astype(np.int64) << 16 | doc, return_counts=True)
-                step = back[pair & 0xFFFF] * (-rate * 40 * times[:, None].astype(np.float32))
-                np.add.at(emb, pair >> 16, step.astype(np.float32))
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            emb[bucket[first]] += np.add.reduceat(back[doc] * times, first, axis=0)
             done += 1
     model = Model(langs, np.ascontiguousarray(emb @ w), b)
-    if held:
-        cut, of = _examples([texts[i] for i in sorted(held)], [y[i] for i in sorted(held)])
-        z = model.logits(cut)
+    own = [(t, langs.index(x)) for t, x in zip(*apart, strict=True) if x in langs]
+    if own:
+        z, y = model.logits([t for t, _ in own]), np.array([k for _, k in own])
 
         def loss(heat: float) -> float:
             s = z / heat
             s = s - s.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(of)), of]).mean())
+            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
         model.heat = float(min(np.geomspace(0.05, 20, 60), key=loss))
-        whole = [i for i in sorted(held) if LETTER.search(texts[i])]
-        top = model.scores([texts[i] for i in whole]) if whole else np.zeros((0, len(langs)))
-        right = top.max(axis=1)[top.argmax(axis=1) == [y[i] for i in whole]] if whole else []
-        model.least = float(np.quantile(right, LOST)) if len(right) else 0.0
     return model
 
 
@@ -149,30 +141,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _spread(text: str) -> Column:
-    """The text, or its WINDOWS evenly spread examples if it has more."""
-    n = F.ceil(F.length(text) / EXAMPLE)
-    start = lambda i: (F.floor(i * n / WINDOWS) * EXAMPLE + 1).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.col(text).substr(start(i), F.lit(EXAMPLE)))
-    return F.when(n > WINDOWS, F.array_join(parts, "")).otherwise(F.col(text))
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
+    """(doc_id, text, lang, apart) of the rows to learn from; None if there are none. Labels are few: there is a count for each."""
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    own = docs.where(lang.isNotNull() & text.rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20))
+    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"), draw.alias("draw"))
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
+    if not counts:
+        return None
+    n = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], r["n"]))), F.col("lang"))
+    # the row with the least draw is always in, also of a language of a few rows that repeat
+    rate = {r["lang"]: max((sample << 20) // r["n"], r["least"]) + 1 for r in counts}
+    rate = F.element_at(F.create_map(*(F.lit(x) for k, v in rate.items() for x in (k, v))), F.col("lang"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    drawn = own.where(F.col("draw") < rate).withColumn("nth", F.row_number().over(order))
+    apart = (n >= FEWEST) & (F.pmod(F.xxhash64("doc_id", "text", F.lit("apart")), F.lit(APART)) == 0)
+    return drawn.where(F.col("nth") <= 2 * sample).select("doc_id", "text", "lang", apart.alias("apart"))
+
+
+def pieces(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, apart, piece): at most ``most`` pieces of each language's texts, drawn by a hash from anywhere in them."""
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{EXAMPLE}}}"), F.lit(0))
+    own = rows.select("doc_id", "lang", "apart", F.posexplode(cut).alias("place", "piece")).where(F.col("piece").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang", "apart").orderBy(F.xxhash64("doc_id", "place", "piece"), "doc_id", "place", "piece")
+    return own.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("lang", "apart", "piece")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Train on about ``sample`` rows of each language, drawn by a hash of the row."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
-    own = own.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), draw.alias("draw"))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """Train on about ``sample`` rows of each language."""
+    rows = sampled(docs, sample)
+    if rows is None:
+        return None
+    rows = cut(rows)
+    found = sorted((r["apart"], r["lang"], r["piece"]) for r in pieces(rows, EXAMPLES).collect())
+    learnt, apart = ([r[1:] for r in found if r[0] is x] for x in (False, True))
+    if not learnt:
         return None
-    rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, (sample << 20) // n + 1))))
-    rows = own.where(F.col("draw") < F.element_at(rate, F.col("lang"))).select("doc_id", _spread("text").alias("text"), "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    model = train([t for _, t in learnt], [y for y, _ in learnt], ([t for _, t in apart], [y for y, _ in apart]))
+    whole = rows.where("apart").select("doc_id", "text", "lang")
+    right = predict(whole, model, label="lang").where("lang_pred = label").select("score").collect()
+    if right:
+        model.least = float(np.quantile([r["score"] for r in right], LOST))
+    return model
+
 
+def predict(docs: DataFrame, model: Model | None, keep: bool = False, label: str | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) of every row, and the column ``label`` if one is asked for.
 
-def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected) of every row; with ``keep`` the rows of ``docs`` that aren't rejected."""
+    With ``keep`` the rows of ``docs`` that aren't rejected.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -195,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFra
         return pred, score, rejected
 
     if keep:
-        at = docs.columns.index("text")
+        at = [c.lower() for c in docs.columns].index("text")
 
         def kept(batches):
             for batch in batches:
@@ -208,12 +226,14 @@ def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFra
         for batch in batches:
             pred, score, rejected = decide(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
-                ["doc_id", "held_out", "lang_pred", "score", "rejected"],
+                [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected), *batch.columns[3:]],
+                ["doc_id", "held_out", "lang_pred", "score", "rejected", *(["label"] if label else [])],
             )
 
     own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    if label:
+        own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"), F.col(label).cast("string").alias("label"))
+    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean" + (", label string" if label else ""))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scanloom.llm import html, langid, licenses, secrets, warc
 
@@ -282,14 +283,27 @@ def test_language_of_hard_rows(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_examples_of_a_long_text_are_spread_over_it(spark):
-    ex, most = langid.EXAMPLE, langid.WINDOWS
-    long = "".join(f"{i:0{ex}d}" for i in range(3 * most)) + "end"
-    docs = frame(spark, [(1, long, "en", None, None), (2, "short", "en", None, None), (3, "x" * ex * most, "en", None, None)])
-    got = {r["doc_id"]: r["text"] for r in docs.select("doc_id", langid._spread("text").alias("text")).collect()}
-    parts = [int(got[1][i : i + ex]) for i in range(0, len(got[1]), ex)]
-    assert parts == [i * (3 * most + 1) // most for i in range(most)]
-    assert got[2] == "short" and got[3] == "x" * ex * most
+def test_pieces_come_from_anywhere_in_a_text(spark):
+    long = " ".join(f"w{i:05d}x" for i in range(40000))
+    docs = spark.createDataFrame([(1, long, "en", None, None), (2, "short", "en", None, None), (3, long, "de", None, None), *((3, long, "de", None, None),) * 5], DOCS)
+    rows = langid.sampled(docs, 1)
+    assert 0 < rows.where("lang = 'de'").count() <= 2  # repeated rows don't pass the bound
+    got = langid.pieces(langid.sampled(docs), 500).collect()
+    places = [int(r["piece"].split("w")[-1][:5] or 0) for r in got if r["lang"] == "en" and r["piece"].count("w") > 2 and len(r["piece"].split("w")[-1]) >= 5]
+    assert len([r for r in got if r["lang"] == "en"]) == 500
+    assert min(places) < 4000 and max(places) > 36000
+
+
+def test_languages_left_out_are_rejected_and_few_others(spark):
+    """Each language of the tables left out in turn: most of its texts are rejected, and no more of the others than stated."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    langs = [r[0] for r in docs.where("lang is not null").select("lang").distinct().collect()]
+    for left in sorted(langs):
+        model = langid.fit(docs.where(F.col("lang") != left))
+        got = langid.predict(docs.where("length(text) > 200"), model, label="lang").collect()
+        foreign, known = [r for r in got if r["label"] == left], [r for r in got if r["label"] in model.langs and r["held_out"]]
+        assert np.mean([r["rejected"] for r in foreign]) > 0.9, left
+        assert np.mean([r["rejected"] for r in known]) < 0.02, left
 
 
 def test_a_prediction_does_not_depend_on_its_batch():
