@@ -11,8 +11,9 @@ Records with equal payloads of at least ``least`` bytes: the largest page_id is
 the response, the others are revisits of it. Defined results: null html is an
 empty payload; a null page_id sorts below all others (and is a response if its
 payload has no other id); rows that repeat a page are as often written, those
-with the largest id all as responses; a null url gives no target; an empty table
-gives no archive and no rows; other columns of the input are not read.
+with the largest id all as responses; very long pages are a frame of their own
+length; a null url gives no target; an empty table gives no archive and no rows;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 ID = "urn:page:"
 
-#: Pages that a dictionary is trained on at most, and its size.
-SAMPLE, DICTIONARY = 400, 32 << 10
+#: Pages that a dictionary is trained on at most, the bytes that such a page has at most, and the dictionary's size.
+SAMPLE, PAGE_BYTES, DICTIONARY = 400, 64 << 10, 32 << 10
 ARCHIVE_BYTES = 8 << 20
 
 
@@ -54,23 +55,26 @@ def base32_sha1(text: Column) -> Column:
 def decided(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is set for revisits.
 
-    Which page is the response is found on ids and digests alone; the html is
-    shuffled once, by page, so that copies of one page don't meet in a task.
+    Which page is the response is found on ids and digests alone, which are written; the
+    html is shuffled once, by page, so that copies of one page don't meet in a task.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
-    own = own.withColumns({"digest": base32_sha1(F.col("html")), "id": F.coalesce("page_id", F.lit(-1))})
-    narrow = own.select("id", "page_id", "digest", F.octet_length("html").alias("n"))
-    last = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
+    key = {"none": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0)), "key": F.xxhash64("html")}
+    own = own.withColumns(key)
+    narrow = cut(own.select(*key, base32_sha1(F.col("html")).alias("digest"), F.octet_length("html").alias("n")))
+    known = F.when(~F.col("none"), F.col("id"))
+    last = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.max(known).alias("last"), F.count("*").alias("copies"))
     last = last.where("copies > 1 and last is not null").select("digest", "last")
-    revisits = narrow.join(last, "digest").where("page_id is null or page_id <> last").select("id", "digest", F.col("last").alias("refers_to"))
-    # most pages have no copies, and so the side that is joined is small
-    return own.join(revisits.distinct(), ["id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    refers = F.when(F.col("none") | (F.col("id") != F.col("last")), F.col("last"))
+    marks = narrow.select(*key, "digest").distinct().join(last, "digest", "left").select(*key, "digest", refers.alias("refers_to"))
+    return own.join(marks, list(key)).select("page_id", "url", "html", "digest", "refers_to")
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
-    """A dictionary from at most ``sample`` pages; empty if they are too few to train on."""
-    rows = [r[0].encode() for r in pages.where("html is not null and html <> ''").select("html").limit(sample).collect()]
+    """A dictionary from at most ``sample`` pages of at most PAGE_BYTES; empty if they are too few to train on."""
+    short = pages.where(F.octet_length("html").between(1, PAGE_BYTES))
+    rows = [r[0].encode() for r in short.select("html").limit(sample).collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:

@@ -426,6 +426,12 @@ def test_archives_come_back(spark):
     assert warc.write_and_read(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_a_null_id_is_not_the_id_minus_one(spark):
+    pages = spark.createDataFrame([(-1, "u", "same"), (None, "v", "same"), (-5, "w", "other"), (None, "x", "other"), (None, "x", "alone")], PAGES)
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.write_and_read(pages).collect()}
+    assert got == {(-1, 4, "response", None), (None, 4, "revisit", -1), (-5, 5, "response", None), (None, 5, "revisit", -5)} | {(None, 5, "response", None)}
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "long one"), (4, "d", "long one")], PAGES)
     kinds = {r["page_id"]: r["record_type"] for r in warc.read(warc.archives(warc.decided(pages, least=5), b"")).collect()}
