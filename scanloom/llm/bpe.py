@@ -7,8 +7,10 @@ file with byte-level symbols and a word-end suffix; its path is a parameter and
 it is read on the workers.
 
 Defined results: a null text counts as empty; an empty text has no ids and
-decodes to the empty string; rows are never merged or dropped, so repeated rows
-and null ids give a row each; other columns of the input are not read.
+decodes to the empty string; very long texts are encoded whole; of pairs with the
+lowest rank in a word the first one merges first; rows are never merged or dropped,
+so repeated rows and null ids give a row each; an empty table gives no rows; other
+columns of the input are not read.
 """
 
 from __future__ import annotations

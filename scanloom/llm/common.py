@@ -23,14 +23,29 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where the session has it."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` where the session has it.
+
+    Only where executors are this machine's own threads may it be a folder of this machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='scanloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _written(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scanloom/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove what ``cut`` has written for this application; for when none of its results are read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_written(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     executor is lost, and what is used twice is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scanloom/{uuid.uuid4().hex}"
+    path = f"{_written(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

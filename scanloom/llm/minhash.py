@@ -12,9 +12,10 @@ before it as well, so every text is shuffled once, compressed.
 
 Defined results: a null text counts as empty; texts without a word have the empty
 fingerprint, alike (1) to another such and unlike (0) any other; a text of fewer
-than five words is one shingle; null ids sort last; rows that repeat an id are
-ordered by a hash of their text; a table of one row is its own neighbour; an
-empty table gives no rows; other columns of the input are not read.
+than five words is one shingle; very long texts count whole; null ids sort last; rows
+that repeat an id are ordered by a hash of their text (if that is equal too they are
+the same text, so their order doesn't matter); a table of one row is its own
+neighbour; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ NONE = np.uint64(2**64 - 1)
 #: Random bins that an empty bin tries before it goes through all filled ones.
 TRIES = 16
 #: Rows of a range of ids, about, and the most ranges that are made.
-RANGE_ROWS, RANGES = 3000, 4096
+RANGE_ROWS, RANGES = 3000, 16384
 
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93

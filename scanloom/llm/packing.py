@@ -10,8 +10,10 @@ which ranks go to which sequences; Spark numbers the pieces of each length
 (salted, as one length may hold most rows) and looks their places up.
 
 Defined results: a null or empty text is a document of the end id alone; rows
-are never merged, so repeated rows and null ids are pieces like any other; an
-empty table gives no rows; other columns of the input are not read.
+are never merged, so repeated rows and null ids are pieces like any other; very long
+texts are encoded some millions of characters at a time and cut into many pieces; of
+patterns that fit alike the first enumerated is taken; an empty table gives no rows;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +38,19 @@ SALTS = 1024
 BINS, PARTS = 64, 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = [f.split(" ")[0] for f in PIECES.split(", ")]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocab: str | None = None) -> DataFrame:
-    """The pieces of every document: its ids and ``end_id``, cut only where longer than ``capacity``."""
+    """The pieces of every document: its ids and ``end_id``, cut only where longer than ``capacity``.
+
+    ``salt`` deals the pieces to groups by their place in a task, so that equal rows don't meet;
+    it is only of use once written.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
-        c = codec(vocab)
+        c, done = codec(vocab), 7919 * TaskContext.get().partitionId()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_chunks(texts, 8 << 20):
@@ -70,12 +78,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
                         pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()),
                         pa.array(crc, pa.int64()),
+                        pa.array((done + np.arange(len(doc))) % SALTS),
                     ],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [*NAMES, "salt"],
                 )
+                done += len(doc)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, PIECES)
+    return own.mapInArrow(run, f"{PIECES}, salt long")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -227,25 +237,20 @@ def slots(strategies: list[Strategy]) -> dict[str, np.ndarray]:
 
 
 def pack(piece_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to rows that have a ``length`` of at most ``capacity``.
-
-    ``piece_rows`` is read three times, so pass a table that is written already.
-    """
+    """Add sequence_id and offset to rows of ``pieces``, which should be a written table, as it is read three times."""
     spark = piece_rows.sparkSession
     counts = {r["length"]: r["n"] for r in piece_rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))
-    salted = piece_rows.withColumn("salt", salt)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = (
-        salted.groupBy("length", "salt")
+        piece_rows.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
         .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .drop("n")
     )
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = (
-        salted.withColumn("nth", F.row_number().over(own) - 1)
+        piece_rows.withColumn("nth", F.row_number().over(own) - 1)
         .join(base, ["length", "salt"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     )

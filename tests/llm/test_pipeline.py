@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from scanloom.llm import bpe, secrets
 
-from .helpers import DOCS, words
+from .helpers import DOCS, frame, rows, words
 
 
 def documents():
@@ -44,3 +44,21 @@ def test_stages_one_by_one(spark, tmp_path):
 def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame(documents(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 81
+
+
+def test_stages_of_hard_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and further columns with clashing names; and no row at all."""
+    hard = frame(spark, [*rows(), *((1000 + r[0], *r[1:]) for r in documents())]).selectExpr("*", "4 AS salt", "5 AS node", "6 AS found", "7 AS row", "8 AS lang_pred", "9 AS score")
+    for data in (hard, hard.limit(0)):
+        docs = data
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path)).cache()
+            if name != "best_fit_packing":
+                assert out.dtypes == docs.dtypes
+            docs = out
+        assert docs.where("length is null or sequence_id is null").count() == 0
+        if data is hard:
+            ids = {r["doc_id"] for r in docs.collect()}
+            assert {5, 9} <= ids and not {7, 8} & ids  # copies go, short and long texts stay
+        else:
+            assert docs.count() == 0

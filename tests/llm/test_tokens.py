@@ -105,3 +105,15 @@ def test_nnls_solves_what_it_can():
     x = np.maximum(0, rng.normal(size=30))
     got = packing.nnls(a, a @ x)
     assert (got >= 0).all() and np.allclose(a @ got, a @ x, atol=1e-6)
+
+
+def test_empty_tables_and_equal_rows(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert bpe.digests(none).count() == 0 and packing.pack_documents(none).count() == 0
+    same = spark.createDataFrame([(None, "one two three", None, None, None)] * 5000, DOCS).repartition(3)
+    got = packing.pack_documents(same)
+    assert got.columns == [*packing.NAMES, "sequence_id", "offset"]
+    places = [(r["sequence_id"], r["offset"]) for r in got.collect()]
+    assert len(set(places)) == 5000
+    salts = packing.pieces(same).groupBy("salt").count().agg({"count": "max"}).first()[0]
+    assert salts < 50  # equal rows don't meet in one group
