@@ -7,10 +7,10 @@ checked on the shingles themselves. Texts of few shingles, whose bits are often
 are also joined by the shingles that their smallest ones must share, which loses none.
 Groups are the components of the links that stand.
 
-Few links are looked at: a spanning forest of the proposals first. In each group
-that the check takes apart, every node's closest ones in other parts come next, and
-what is still apart is looked at whole inside the buckets' tasks, in slices of bounded
-size, where no pair is emitted that doesn't join two parts.
+Few links are looked at: a spanning forest of the proposals first. Of the parts that
+this leaves and that a refused link leads out of, every node's closest ones in other
+parts come next, and what is still apart is looked at whole inside the buckets' tasks,
+in slices of bounded size, where no pair is emitted that doesn't join two parts.
 
 Defined results: null and empty texts and those without a word are alike and unlike
 any other; very long texts count whole; of a group the row with the smallest id stays
@@ -243,29 +243,41 @@ def confirmed_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(shingle_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "key")))
     good = cut(confirmed(proposed, sets).union(short))
-    bound = cut(components(proposed.union(short)).select("node", F.col("root").alias("within")))
-
-    def parted(good: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The parts that good links make, and the nodes of groups that aren't one part yet."""
-        parts = cut(components(good))
-        own = bound.join(parts.select("node", F.col("root").alias("part")), "node", "left").select("node", "within", F.coalesce("part", "node").alias("part"))
-        apart = own.groupBy("within").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("within")
-        return parts, cut(own.join(apart, "within"))
+    parts = cut(components(good))
+
+    def left() -> DataFrame:
+        """(node, part) of the parts that a proposed link leads out of."""
+        known = parts.withColumnRenamed("root", "part")
+        a, b = (known.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+        met = proposed.join(a, "a", "left").join(b, "b", "left")
+        ends = met.select("a", "b", F.coalesce("part_a", "a").alias("p"), F.coalesce("part_b", "b").alias("q")).where("p <> q")
+        open_parts = cut(ends.select(F.explode(F.array("p", "q")).alias("part")).distinct())
+        own = nodes.join(known, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+        return cut(own.join(open_parts, "part", "left_semi").select("node", "part"))
+
+    def merged(more: DataFrame, own: DataFrame) -> DataFrame:
+        """The parts after further good links (a, b) between nodes of ``own``: components of the parts that they join."""
+        a, b = (own.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+        met = more.join(a, "a").join(b, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+        roots = cut(components(met).select(F.col("node").alias("part"), F.col("root").alias("top")))
+        every = parts.select("node", F.col("root").alias("part")).union(own.where("node = part"))
+        every = every.join(roots, "part", "left").select("node", F.coalesce("top", "part").alias("root"))
+        return cut(every.where("node <> root").distinct())
 
     for _ in range(NEAREST_ROUNDS):
-        parts, left = parted(good)
-        if left.isEmpty():
+        own = left()
+        if own.isEmpty():
             return parts
-        closest = link(left, BITS, RADIUS, nearest=True)
+        closest = link(own, BITS, RADIUS, nearest=True)
         closest = closest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        good = cut(good.union(confirmed(closest, sets)))
-    parts, left = parted(good)
-    if left.isEmpty():
+        parts = merged(cut(confirmed(closest, sets)), own)
+    own = left()
+    if own.isEmpty():
         return parts
-    left = cut(bucketed(left, BITS))
-    mixed = left.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    rest = left.join(mixed, "bucket").join(sets, "node")
-    return components(good.union(_in_buckets(rest, RADIUS)))
+    keyed = cut(bucketed(own, BITS))
+    mixed = cut(keyed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket"))
+    rest = keyed.join(mixed, "bucket", "left_semi").join(sets, "node")
+    return merged(cut(_in_buckets(rest, RADIUS)), own)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ Inside a bucket the fingerprints are sorted by Gray rank, runs of them share mas
 bit patterns in upper nodes, and a search adds up the differences from node to node
 and leaves whole groups when they pass the radius. A bucket gives a spanning forest
 of its links, not all its pairs; components over those edges come from alternating
-large-star and small-star rounds, whose hubs (a bounded number) are broadcast.
+large-star and small-star rounds.
 
 Defined results: null and empty texts, and texts without a word, have the zero
 fingerprint and link like any other; very long texts are hashed in bounded memory
@@ -37,8 +37,6 @@ FAN = 16
 FOLDED = 1 << 18
 #: Rows that a task holds before it looks at the buckets that are whole.
 HELD = 50_000
-#: A node with more edges is a hub, or one with more than this share of all edges, so that there are at most two over the share.
-HUB, HUB_SHARE = 256, 1e-4
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -278,7 +276,7 @@ def byte_pairs(bits: int) -> list[tuple[int, int]]:
 
 
 def bucketed(nodes: DataFrame, bits: int) -> DataFrame:
-    """``nodes`` once for each mask, with the ``bucket`` (long) of its pattern; ``within`` keeps groups apart and is left out."""
+    """``nodes`` once for each mask, with the ``bucket`` (long) of its pattern."""
     words = [_word(k) for k in range(bits // 64)]
     held = nodes.withColumns({f"w{k}": w for k, w in enumerate(words)})
     byte = lambda i: _bits(F.col(f"w{i // 8}"), 8 * (i % 8), 8)
@@ -287,10 +285,7 @@ def bucketed(nodes: DataFrame, bits: int) -> DataFrame:
     else:
         patterns = [F.shiftleft(byte(i), 8).bitwiseOR(byte(j)) for i, j in byte_pairs(bits)]
     keys = F.array(*(F.lit(k << 16).cast("long") + p for k, p in enumerate(patterns)))
-    own = held.select(*nodes.columns, F.explode(keys).alias("bucket"))
-    if "within" in nodes.columns:
-        own = own.withColumn("bucket", F.xxhash64("bucket", "within")).drop("within")
-    return own
+    return held.select(*nodes.columns, F.explode(keys).alias("bucket"))
 
 
 def sliced(keyed: DataFrame, most: int) -> DataFrame:
@@ -328,8 +323,8 @@ def link(nodes: DataFrame, bits: int = 64, radius: int = 3, nearest: bool = Fals
     """Spanning edges (a, b) among distinct nodes (binary column ``node``, its first bits a fingerprint) within ``radius`` bits.
 
     All links are found of 64 bits with a radius of at most 3; else those that agree on
-    one of ``byte_pairs``. With ``nearest``, nodes have a ``part`` and a ``within``, and
-    the edges are each node's closest ones, per bucket, to another part of the same ``within``.
+    one of ``byte_pairs``. With ``nearest``, nodes have a ``part``, and the edges are each
+    node's closest ones, per bucket, to another part.
     """
     if bits == 64 and radius > 3:
         raise ValueError("64 bits are for a radius of 3 at most")
@@ -342,41 +337,34 @@ def link(nodes: DataFrame, bits: int = 64, radius: int = 3, nearest: bool = Fals
 # -- components ----------------------------------------------------------------
 
 
-def _with_least(rows: DataFrame, low: DataFrame, hub: int) -> DataFrame:
-    """``rows`` (u, v) with the ``m`` of their ``u``: those of hubs meet it by broadcast, as they are few and have many rows."""
-    hubs = low.where(F.col("n") > hub).select("u", "m")
-    met = rows.join(F.broadcast(hubs), "u", "left")
-    rest = met.where("m is null").drop("m").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
-    return met.where("m is not null").unionByName(rest)
-
-
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    """The smallest neighbour of each ``u``. It is written, so that the join by ``u`` has plain exchanges, which Spark splits where a hub's rows are many."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
-def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    low = _least(both).select("u", F.least("u", "m").alias("m"), "n")
-    return _with_least(both.where("v > u"), low, hub).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    met = both.where("v > u").join(_least(both), "u")
+    return met.select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, hub: int) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Of edges from the larger to the smaller node."""
+    down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     low = _least(down)
-    moved = _with_least(down, low, hub).where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = down.join(low, "u").where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("u", "m")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node that it reaches."""
-    edges = cut(edges.where("a <> b"))
-    seen, now = None, (edges.count(),)
-    while now != seen:
-        seen = now
-        hub = max(HUB, int(HUB_SHARE * 2 * seen[0]))
-        edges = cut(_small_star(_large_star(edges, hub), hub))
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.crc32(F.concat("a", "b")))).first())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    edges = cut(edges.where("a <> b").select("a", "b"))
+    while True:
+        edges = cut(_small_star(cut(_large_star(edges))))
+        # done if every node has one root, and no root has one itself
+        n, own = edges.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == own and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 # -- the operator ---------------------------------------------------------------

@@ -172,11 +172,10 @@ def test_groups_are_those_of_confirmed_links(spark, monkeypatch):
     expected = _least_of_groups(texts)
     assert 40 <= len(expected) < len(texts)
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == expected
-    # the same with every bucket dealt out in slices, and hubs broadcast
+    # the same with every bucket dealt out in slices
     monkeypatch.setattr(neardup, "ROWS", 6)
     monkeypatch.setattr(neardup, "NEAREST_ROUNDS", 0)
     monkeypatch.setattr(simhash, "SLICE", 8)
-    monkeypatch.setattr(simhash, "HUB", 3)
     monkeypatch.setattr(simhash, "HELD", 10)
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == expected
 
