@@ -250,7 +250,7 @@ def confirmed_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         known = parts.withColumnRenamed("root", "part")
         a, b = (known.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
         met = proposed.join(a, "a", "left").join(b, "b", "left")
-        ends = met.select("a", "b", F.coalesce("part_a", "a").alias("p"), F.coalesce("part_b", "b").alias("q")).where("p <> q")
+        ends = met.select(F.coalesce("part_a", "a").alias("p"), F.coalesce("part_b", "b").alias("q")).where("p <> q").distinct()
         open_parts = cut(ends.select(F.explode(F.array("p", "q")).alias("part")).distinct())
         own = nodes.join(known, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
         return cut(own.join(open_parts, "part", "left_semi").select("node", "part"))
