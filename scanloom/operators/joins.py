@@ -5,13 +5,14 @@ Sides whose size nothing bounds are left to Catalyst and AQE; none is broadcast
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.sources.shared import shared_dir
+
 
 def left_overlay(base: DataFrame, extra: DataFrame, key: str, suffix: str, fill: Sequence[str] = ()) -> DataFrame:
     """Left join; shared columns of ``extra`` get a suffix, those in ``fill`` fill the base's nulls and then go."""
@@ -46,7 +47,7 @@ def settled(df: DataFrame) -> DataFrame:
     """Checkpointed to the shared folder, so that partition numbers stay as they are."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scanloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

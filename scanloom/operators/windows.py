@@ -35,9 +35,9 @@ def hash_split(df: DataFrame, key: str, seed: int, share: float, held: str = "va
 
 def locked_split(df: DataFrame, legacy: DataFrame, key: str, seed: int, share: float) -> DataFrame:
     """Ids that an earlier split held out become the test set; the others are split by hash."""
-    both = df.join(legacy, key, "left")
-    test = both.where("legacy = 'val'").select(*df.columns, F.lit("test").alias("split"))
-    pool = both.where("legacy is null or legacy <> 'val'").select(*df.columns)
+    locked = legacy.where("legacy = 'val'").select(key).distinct()
+    test = df.join(locked, key, "left_semi").select(*df.columns, F.lit("test").alias("split"))
+    pool = df.join(locked, key, "left_anti").select(*df.columns)
     return test.unionByName(hash_split(pool, key, seed, share).select(*df.columns, "split"))
 
 

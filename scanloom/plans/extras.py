@@ -8,11 +8,21 @@ from scanloom.operators import distances
 from .registry import register, table
 
 
-@register("f26_pad_crop", "SELECT o_orderkey, array_to_string([0, 0, 1, 2, 3], ',') AS padded, array_to_string([2, 3], ',') AS cropped, array_to_string([0, 1, 2, 3, 0], ',') AS centred FROM orders")
+_Q = "SELECT l_orderkey, list(CAST(l_quantity AS INTEGER) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS q FROM lineitem GROUP BY 1"
+
+
+@register(
+    "f26_pad_crop",
+    f"""SELECT l_orderkey, array_to_string([0, 0] || q, ',') AS padded, array_to_string(q[2:3], ',') AS cropped,
+  array_to_string(CASE WHEN len(q) <= 5 THEN list_resize([]::INTEGER[], (5 - len(q)) // 2, 0) || q || list_resize([]::INTEGER[], 5 - len(q) - (5 - len(q)) // 2, 0)
+  ELSE q[len(q) // 2 - 1:len(q) // 2 + 3] END, ',') AS centred FROM ({_Q})""",
+)
 def pad_crop(spark, d):
-    c = F.array(*(F.lit(k) for k in (1, 2, 3)))
+    own = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    q = table(spark, d, "lineitem").groupBy("l_orderkey").agg(own.alias("r")).select("l_orderkey", F.col("r.l_quantity").cast("array<double>").alias("q"))
     text = lambda x: F.concat_ws(",", x.cast("array<int>").cast("array<string>"))
-    return table(spark, d, "orders").select("o_orderkey", text(a.pad_array(c, 2, 0)).alias("padded"), text(a.crop_array(c, 1, 2)).alias("cropped"), text(a.centre_array(c.cast("array<double>"), 5)).alias("centred"))
+    c = F.col("q")
+    return q.select("l_orderkey", text(a.pad_array(c, 2, 0)).alias("padded"), text(a.crop_array(c, 1, 2)).alias("cropped"), text(a.centre_array(c, 5)).alias("centred"))
 
 
 @register("f29_value_places", "SELECT l_orderkey, array_to_string(list(CAST(p - 1 AS VARCHAR) ORDER BY p) FILTER (WHERE l_returnflag = 'A'), ',') AS places FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS p FROM lineitem) GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'A') > 0")
@@ -38,10 +48,11 @@ def collate(spark, d):
     return back.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("place").alias("places"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@register("o10_sorted_map", "SELECT r_regionkey, 'a,b,z' AS keys FROM region")
+@register("o10_sorted_map", "SELECT p_partkey, array_to_string(list_sort([p_type || ':1', p_brand || ':' || p_size, 'N' || p_partkey || ':3']), ',') AS entries FROM part")
 def sorted_map(spark, d):
-    m = a.sorted_map(F.create_map(F.lit("z"), F.lit(1), F.lit("a"), F.lit(2), F.lit("b"), F.lit(3)))
-    return table(spark, d, "region").select("r_regionkey", F.concat_ws(",", F.transform(m, lambda e: e["key"])).alias("keys"))
+    p = table(spark, d, "part")
+    m = a.sorted_map(F.create_map("p_type", F.lit(1), "p_brand", F.col("p_size").cast("int"), F.concat(F.lit("N"), F.col("p_partkey").cast("string")), F.lit(3)))
+    return p.select("p_partkey", F.concat_ws(",", F.transform(m, lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))).alias("entries"))
 
 
 @register("s31_latest_version", "SELECT 'v' || max(p_size) || '.' || max_by(p_partkey % 13, p_size * 1000 + p_partkey % 13) AS latest FROM part")

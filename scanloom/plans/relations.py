@@ -115,12 +115,15 @@ def leakage(spark, d):
     return j.containing(c, "c_name", table(spark, d, "nation").select(F.concat(F.substring("n_name", 8, 9), F.lit("0")).alias("n")), "n", keep=True).select("c_custkey")
 
 
-@register(
-    "j13_suffix_match",
-    "SELECT lpad(CAST(p_partkey AS VARCHAR), 5, '0') || '-000' AS id, CASE WHEN p_partkey % 3 = 0 THEN 'pred-' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') || '-000.nii.gz' END AS file FROM part WHERE p_partkey < 100000",
-)
+_CASE_ID = "lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') || '-' || lpad(CAST(p_partkey // 100000 AS VARCHAR), 3, '0')"
+
+
+@register("j13_suffix_match", f"SELECT {_CASE_ID} AS id, CASE WHEN p_partkey % 3 = 0 THEN 'pred-' || {_CASE_ID} || '.nii.gz' END AS file FROM part")
 def suffix(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 100000").select("p_partkey", F.concat(F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("-000")).alias("id"))
+    """Five digits of the key and a visit number of the others, so that every part has an id."""
+    k = F.col("p_partkey")
+    five, visit = F.lpad((k % 100000).cast("string"), 5, "0"), F.lpad(F.floor(k / 100000).cast("string"), 3, "0")
+    p = table(spark, d, "part").select("p_partkey", F.concat(five, F.lit("-"), visit).alias("id"))
     files = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("pred-"), "id", F.lit(".nii.gz")).alias("file"))
     return j.by_suffix(p.select("id"), "id", files, "file", ".nii.gz")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scanloom.functions import scalars as s
+from scanloom.operators import instances as i
 from scanloom.operators import sets
 from scanloom.operators import windows as w
 
@@ -137,18 +138,25 @@ def sorted_ids(spark, d):
     return table(spark, d, "part").where(s.has_value("p_name")).select("p_name").distinct().orderBy("p_name")
 
 
-@register("o7_keep_largest", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
+_RUNS = """SELECT l_suppkey, x, count(*) OVER (PARTITION BY l_suppkey, g) AS n, g FROM (
+  SELECT l_suppkey, x, x - row_number() OVER (PARTITION BY l_suppkey ORDER BY x) AS g FROM (SELECT DISTINCT l_suppkey, CAST(floor(l_extendedprice / 100) AS BIGINT) AS x FROM lineitem))"""
+
+
+def price_components(spark, d):
+    """Prices as voxels of one axis: a supplier's components are its runs of neighbouring prices."""
+    x = F.floor(F.col("l_extendedprice") / 100)
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case"), F.lit(1).alias("label"), x.alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"))
+    return i.components(t.distinct())
+
+
+@register("o7_keep_largest", f"SELECT l_suppkey, x FROM ({_RUNS}) QUALIFY g = first_value(g) OVER (PARTITION BY l_suppkey ORDER BY n DESC, g)")
 def keep_largest(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct(F.col("l_quantity"), -F.col("l_linenumber"))).alias("l_linenumber"))
-    return g
+    return i.largest(price_components(spark, d), ["case", "label"]).select(F.col("case").alias("l_suppkey"), "x")
 
 
-@register("o8_drop_small", "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey) >= 5")
+@register("o8_drop_small", f"SELECT l_suppkey, x FROM ({_RUNS}) WHERE n >= 2")
 def drop_small(spark, d):
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("l_orderkey"))
-    return table(spark, d, "lineitem").withColumn("n", n).where("n >= 5").select("l_orderkey", "l_linenumber")
+    return i.without_small(price_components(spark, d), ["case", "label"], 2).select(F.col("case").alias("l_suppkey"), "x")
 
 
 @register("f1_case_names", "SELECT o_orderkey, 'BraTS-MET' AS cohort, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS subject, '001' AS visit FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 2 <> 0")

@@ -3,13 +3,11 @@
 Each run has a folder of its own below the shared one, for the checkpoint and the result.
 """
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from scanloom.sources.shared import fresh_folder
 from scanloom.streaming import streams
 
 from .registry import register, table
@@ -20,8 +18,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='scanloom-')}"
-    return f"{base}/scanloom/stream-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "stream")
 
 
 def _logged(stream: DataFrame, mode: str) -> DataFrame:

@@ -8,6 +8,7 @@ from scanloom.operators import voxels as v
 from scanloom.operators import windows as w
 
 from .registry import register, table
+from .series import _SCORE
 
 _V = "SELECT user_id AS \"case\", event_id AS x, CAST(event_id % 7 AS BIGINT) AS y, CAST(event_id % 5 AS BIGINT) AS z, value FROM events"
 
@@ -91,23 +92,42 @@ def gradient(spark, d):
     return v.gradient(t, "x").select("x", F.round("value", 5).alias("value"))
 
 
-@register("v_signal_smooth", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE FALSE")
+_S = "SELECT user_id, list(coalesce(value, 0) ORDER BY event_id) AS s FROM events GROUP BY 1"
+
+
+def signals(spark, d):
+    """Each user's values in the order of the events."""
+    own = F.array_sort(F.collect_list(F.struct("event_id", F.coalesce("value", F.lit(0.0)).alias("v"))))
+    return table(spark, d, "events").groupBy("user_id").agg(own.alias("r")).select("user_id", F.col("r.v").alias("s"))
+
+
+def _spread(df, signal):
+    return df.select("user_id", F.posexplode(signal).alias("place", "v")).select("user_id", "place", F.round("v", 4).alias("v"))
+
+
+def _spread_sql(signal: str) -> str:
+    return f"SELECT user_id, CAST(unnest(range(0, len(t))) AS INTEGER) AS place, round(unnest(t), 4) AS v FROM (SELECT user_id, {signal} AS t FROM ({_S}))"
+
+
+_AT = "s[greatest(least(i + {k}, len(s)), 1)]"
+
+
+@register(
+    "v_signal_smooth",
+    _spread_sql(f"list_transform(range(1, len(s) + 1), lambda i: (-3 * {_AT.format(k=-2)} + 12 * {_AT.format(k=-1)} + 17 * s[i] + 12 * {_AT.format(k=1)} - 3 * {_AT.format(k=2)}) / 35.0)"),
+)
 def signal_smooth(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("s"))
-    bad = li.where(F.size(v.signal_smooth(F.col("s"), v.savitzky_golay(5, 2))) != F.size("s"))
-    return bad.select("l_orderkey", F.lit(0).alias("l_linenumber"), F.lit(0).alias("l_partkey"))
+    return _spread(signals(spark, d), v.signal_smooth(F.col("s"), v.savitzky_golay(5, 2)))
 
 
-@register("v_cut_mix", "SELECT event_id, array_to_string([1, 2, 30, 40, 5], ',') AS mixed FROM events")
+@register("v_cut_mix", _spread_sql("s[1:2] || list_reverse(s)[3:4] || s[5:]") + " WHERE len(t) >= 4")
 def cut_mix(spark, d):
-    a, b = F.array(*(F.lit(k) for k in (1, 2, 3, 4, 5))), F.array(*(F.lit(k) for k in (10, 20, 30, 40, 50)))
-    return table(spark, d, "events").select("event_id", F.concat_ws(",", v.cut_mix(a, b, 2, 4).cast("array<string>")).alias("mixed"))
+    return _spread(signals(spark, d).where("size(s) >= 4"), v.cut_mix(F.col("s"), F.reverse("s"), 2, 4))
 
 
-@register("v_signal_shift", "SELECT event_id, array_to_string([4, 5, 1, 2, 3], ',') AS moved FROM events")
+@register("v_signal_shift", _spread_sql("s[len(s) - 2 % len(s) + 1:] || s[1:len(s) - 2 % len(s)]"))
 def signal_shift(spark, d):
-    a = F.array(*(F.lit(k) for k in (1, 2, 3, 4, 5)))
-    return table(spark, d, "events").select("event_id", F.concat_ws(",", v.signal_shift(a, 2).cast("array<string>")).alias("moved"))
+    return _spread(signals(spark, d), v.signal_shift(F.col("s"), 2))
 
 
 @register("v_noise")
@@ -155,7 +175,7 @@ def surface(spark, d):
 @register("o9_suppressed_boxes")
 def suppressed(spark, d):
     b = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("g"), F.monotonically_increasing_id().alias("box_id"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 20).alias("x1"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1")
+        F.col("l_orderkey").alias("g"), F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("box_id"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 20).alias("x1"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1")
     )
     return i.suppressed(b, "g", 0.5)
 
@@ -171,7 +191,12 @@ def top_patches(spark, d):
     return i.top_patches(voxels(spark, d), "case", 500, 2).select("case", "px", "rank", F.round("total", 4).alias("total"))
 
 
-@register("w4_locked_split")
+@register(
+    "w4_locked_split",
+    f"""SELECT o_orderkey, 'test' AS split FROM orders WHERE o_orderkey % 10 = 0 UNION ALL
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY sc, o_orderkey) <= round_even(count(*) OVER () * 0.2, 0) THEN 'val' ELSE 'train' END
+FROM (SELECT o_orderkey, {_SCORE} AS sc FROM orders WHERE o_orderkey % 10 <> 0)""",
+)
 def locked_split(spark, d):
     o = table(spark, d, "orders")
     legacy = o.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("val").alias("legacy"))

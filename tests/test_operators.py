@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 from itertools import product
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scanloom.operators import instances, joins, lesions, metrics, sets, voxels, windows
+from scanloom.operators import audit, instances, joins, lesions, metrics, sets, voxels, windows
 from scanloom.functions import scalars
 
 
@@ -174,3 +175,81 @@ def test_scalars(spark):
     ).first()
     assert (got["cohort"], got["subject"], got["visit"]) == ("BraTS-MET", "00012", "001")
     assert got["nan_has"] is False and got["r"] is None and got["z"] is None and got["s"] == [0.5, 0.5] and got["d"] == 2
+
+
+def test_suppression_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(k), float(rng.integers(0, 8)) / 8, float(x), float(x + w), 0.0, 1.0) for k, (g, x, w) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(0, 60, 200), rng.integers(3, 15, 200), strict=True))]
+    df = spark.createDataFrame(rows, "g long, box_id long, score double, x0 double, x1 double, y0 double, y1 double").repartition(5)
+    want = set()
+    for g in range(4):
+        left = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        while left:
+            best = left.pop(0)
+            want.add(best[:2])
+            inter = lambda r, b=best: max(0.0, min(r[4], b[4]) - max(r[3], b[3]))
+            left = [r for r in left if inter(r) / (r[4] - r[3] + best[4] - best[3] - inter(r)) <= 0.5]
+    assert {(r["g"], r["box_id"]) for r in instances.suppressed(df, "g", 0.5).collect()} == want
+
+
+def test_weighted_sample_is_that_of_python(spark):
+    rows = [(k, float(1 + k % 9)) for k in range(300)] + [(900, 0.0)]
+    score = lambda k: int(hashlib.sha256(f"7::{k}".encode()).hexdigest()[:16], 16) / 2**64
+    want = sorted((-math.log(max(score(k), 1e-18)) / w, k) for k, w in rows if w > 0)[:40]
+    got = windows.weighted_sample(spark.createDataFrame(rows, "k long, w double"), "k", "w", 40, 7).collect()
+    assert [r["k"] for r in got] == [k for _, k in want]
+
+
+def test_locked_split_keeps_what_was_held_out(spark):
+    """Ten cases of which an earlier split held out two, a quarter of the rest for validation: 6, 2 and 2."""
+    ids = [f"case_{k:06d}" for k in range(1, 11)]
+    df = spark.createDataFrame([(x,) for x in ids], "id string")
+    legacy = spark.createDataFrame([(x, "train") for x in ids[:8]] + [(x, "val") for x in ids[8:]] + [(ids[9], "val")], "id string, legacy string")
+    got = {r["id"]: r["split"] for r in windows.locked_split(df, legacy, "id", 5, 0.25).collect()}
+    assert set(got) == set(ids) and len(got) == 10
+    assert {x for x, s in got.items() if s == "test"} == set(ids[8:])
+    assert sorted(got.values()) == ["test"] * 2 + ["train"] * 6 + ["val"] * 2
+
+
+def _case(**change):
+    good = {n: True for n in ("source_is_allowed", "nifti_readable", "has_t1n", "has_t1c", "has_t2w", "has_t2f", "has_seg", "shape_consistent", "spacing_consistent", "affine_consistent", "label_is_integer", "label_values_valid", "source_is_fake_t2w_case", "source_shape_match", "roi_bbox_available", "source_final_qc_pass")}
+    good |= {n: False for n in ("validation_leakage", "has_nan_or_inf", "empty_mask", "allow_empty_mask", "image_is_constant")}
+    good |= {"source_completion_mode": "", "label_kind": "generation", "output_suffix_scheme": "native", "artifact_block_score": "", "tiny_lesion_ratio": "", "nonroi_change_ratio": "", "label_modality_alignment_score": ""}
+    return good | change
+
+
+def test_audit_cascades(spark):
+    """Each rule alone, the thresholds' edges, and rules together."""
+    cases = [
+        (_case(), "A", "", ""),
+        (_case(source_is_allowed=None, has_seg=False), "F", "source_not_allowed;missing_required_file", ""),
+        (_case(validation_leakage=True), "F", "validation_leakage", ""),
+        (_case(validation_leakage=True, label_kind="completion"), "C", "", "completion_source_not_training_allowed"),
+        (_case(source_completion_mode="y", source_is_fake_t2w_case=False), "C", "", "completion_source_not_marked_fake_t2w"),
+        (_case(empty_mask=True, allow_empty_mask=True), "A", "", ""),
+        (_case(empty_mask=True), "F", "empty_mask", ""),
+        (_case(artifact_block_score="0.85", tiny_lesion_ratio="0.5", nonroi_change_ratio="0.4", label_modality_alignment_score="1.0"), "A", "", ""),
+        (_case(artifact_block_score="0.851", tiny_lesion_ratio="0.51"), "D", "", "block_artifact_suspected;tiny_ratio_high"),
+        (_case(nonroi_change_ratio="0.41"), "D", "", "nonroi_change_high"),
+        (_case(label_modality_alignment_score="0.99"), "D", "", "alignment_low"),
+        (_case(roi_bbox_available=False), "C", "", "roi_missing"),
+        (_case(roi_bbox_available=None), "A", "", ""),
+        (_case(output_suffix_scheme="mixed", source_shape_match=False), "F", "mixed_suffix_scheme", "source_shape_mismatch"),
+        (_case(output_suffix_scheme="legacy_met", source_final_qc_pass=False), "C", "", "legacy_suffix_normalized;source_final_qc_failed"),
+    ]
+    names = list(cases[0][0])
+    schema = ", ".join(f"{n} {'boolean' if isinstance(cases[0][0][n], bool) else 'string'}" for n in names)
+    df = spark.createDataFrame([(k, *(c[0][n] for n in names)) for k, c in enumerate(cases)], f"k int, {schema}")
+    got = {r["k"]: r for r in audit.decided(df).collect()}
+    for k, (_, grade, rejects, reviews) in enumerate(cases):
+        assert (got[k]["quality_grade"], got[k]["hard_reject_reason"], got[k]["manual_review_reason"]) == (grade, rejects, reviews), k
+        assert got[k]["accepted_for_training"] == (grade == "A") and got[k]["needs_regeneration"] == (grade in "DF")
+        assert got[k]["qc_reject_reason"] == (rejects or reviews)
+
+
+def test_first_key_goes_own_key_first(spark):
+    docs = ['{"a": {"x": 1}, "x": 2}', '{"x": null, "a": {"x": 1}}', '[{"x": null}, {"x": {"y": 1}}]', "not json", None, "[" * 100000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "k int, t string")
+    got = {r["k"]: r["f"] for r in df.select("k", audit.first_key(df["t"], "x").alias("f")).collect()}
+    assert got == {0: "2", 1: None, 2: '{"y":1}', 3: None, 4: None, 5: None}
+
