@@ -108,14 +108,11 @@ def regions(label: Column | str) -> dict[str, Column]:
 
 # -- strings ---------------------------------------------------------------------
 
-CASE_NAME = r"^(BraTS-MET)-(\d{5})-(\d{3})$"
-
-
-def case_parts(name: Column | str) -> dict[str, Column]:
-    """Cohort, subject and visit of a case name; null where it isn't one."""
-    c = col(name)
-    ok = F.coalesce(c.rlike(CASE_NAME), F.lit(False))
-    return {k: F.when(ok, F.regexp_extract(c, CASE_NAME, i)) for i, k in ((1, "cohort"), (2, "subject"), (3, "visit"))}
+def case_parts(name: Column | str, cohort: str = "[A-Za-z]+-[A-Za-z]+") -> dict[str, Column]:
+    """Cohort (a pattern), subject and visit of a case name; null where it isn't one."""
+    c, pattern = col(name), rf"^({cohort})-(\d{{5}})-(\d{{3}})$"
+    ok = F.coalesce(c.rlike(pattern), F.lit(False))
+    return {k: F.when(ok, F.regexp_extract(c, pattern, i)) for i, k in ((1, "cohort"), (2, "subject"), (3, "visit"))}
 
 
 def case_number(c: Column | str) -> Column:

@@ -159,10 +159,10 @@ def drop_small(spark, d):
     return i.without_small(price_components(spark, d), ["case", "label"], 2).select(F.col("case").alias("l_suppkey"), "x")
 
 
-@register("f1_case_names", "SELECT o_orderkey, 'BraTS-MET' AS cohort, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS subject, '001' AS visit FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 2 <> 0")
+@register("f1_case_names", "SELECT o_orderkey, 'SYN-MET' AS cohort, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS subject, '001' AS visit FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 2 <> 0")
 def case_names(spark, d):
     k = F.col("o_orderkey")
-    name = F.concat(F.when(k % 2 == 0, "BraTS-MET-").otherwise("other-"), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("-001"))
+    name = F.concat(F.when(k % 2 == 0, "SYN-MET-").otherwise("other-"), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("-001"))
     return table(spark, d, "orders").select("o_orderkey", *(c.alias(n) for n, c in s.case_parts(name).items()))
 
 

@@ -164,7 +164,7 @@ def test_numbers_are_gapless(spark):
 
 
 def test_scalars(spark):
-    row = spark.createDataFrame([("BraTS-MET-00012-001", "2.5", float("nan"))], "n string, t string, f double")
+    row = spark.createDataFrame([("SYN-MET-00012-001", "2.5", float("nan"))], "n string, t string, f double")
     got = row.select(
         *(c.alias(k) for k, c in scalars.case_parts("n").items()),
         scalars.has_value("f").alias("nan_has"),
@@ -173,7 +173,7 @@ def test_scalars(spark):
         scalars.softmax(F.array(F.lit(0.0), F.lit(0.0))).alias("s"),
         scalars.decode_regions({1: F.lit(0.9), 2: F.lit(0.6), 4: F.lit(0.1)}).alias("d"),
     ).first()
-    assert (got["cohort"], got["subject"], got["visit"]) == ("BraTS-MET", "00012", "001")
+    assert (got["cohort"], got["subject"], got["visit"]) == ("SYN-MET", "00012", "001")
     assert got["nan_has"] is False and got["r"] is None and got["z"] is None and got["s"] == [0.5, 0.5] and got["d"] == 2
 
 
