@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, html, langid, licenses, minhash, mtree, packing, secrets, simhash, warc
+from . import bpe, counts, html, langid, licenses, minhash, mtree, packing, secrets, simhash, spelling, treaps, warc
 from .common import table
 
 
@@ -52,13 +52,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_topk, op3_secrets, op4_html, op5_fingerprints, op6_langid, op7_licenses, op8_bpe, op9_warc, op10_simhash)
+    own = (op1_pack, op2_topk, op3_secrets, op4_html, op5_fingerprints, op6_langid, op7_licenses, op8_bpe, op9_warc, op10_simhash, op11_spelling, op12_counts, op13_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_topk": mtree.ORACLE, "op3_secrets": secrets.oracle(), "op9_warc": warc.ORACLE}
+    found = {"op2_topk": mtree.ORACLE, "op3_secrets": secrets.oracle(), "op9_warc": warc.ORACLE, "op11_spelling": spelling.ORACLE, "op13_search": treaps.ORACLE}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
