@@ -1,4 +1,4 @@
-"""Instances in labelled volumes: components, matching, surfaces, suppression.
+"""Instances in labelled volumes: components, matching, boundaries, patches.
 
 Voxels are long rows (case, x, y, z, label). What is sequential or geometric runs
 per case in an Arrow-grouped function; a case is one scan, whose size is bounded.
@@ -141,23 +141,6 @@ def match(pairs: DataFrame, least: float, strategy: str = "global", case: str =
     return own.groupBy(case).applyInPandas(lambda pdf: pdf.loc[choose(pdf)], schema)
 
 
-def suppressed(boxes: DataFrame, group: str, bar: float, dims: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Boxes that stay after non-maximum suppression by falling score within each group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True], kind="stable", ignore_index=True)
-        lo, hi = pdf[[f"{d}0" for d in dims]].to_numpy(float), pdf[[f"{d}1" for d in dims]].to_numpy(float)
-        size, alive, kept = np.prod(hi - lo, axis=1), np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if alive[i]:
-                kept.append(i)
-                inter = np.prod(np.maximum(0, np.minimum(hi, hi[i]) - np.maximum(lo, lo[i])), axis=1)
-                alive &= inter / np.maximum(size + size[i] - inter, 1e-12) <= bar
-        return pdf.iloc[kept]
-
-    return boxes.groupBy(group).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in boxes.dtypes))
-
-
 def boundary(voxels: DataFrame, group: Sequence[str]) -> DataFrame:
     """Voxels with a face that no voxel of their group shares."""
     axes = ["x", "y", "z"]
@@ -171,33 +154,6 @@ def boundary(voxels: DataFrame, group: Sequence[str]) -> DataFrame:
     return voxels.join(deep, same, "left_anti")
 
 
-def surface_distances(a: np.ndarray, b: np.ndarray, spacing: Sequence[float] = (1, 1, 1)) -> np.ndarray:
-    """Distance of each point of ``a`` to the nearest of ``b``, in blocks of bounded memory."""
-    a, b = a * np.asarray(spacing, float), b * np.asarray(spacing, float)
-    step = max(1, (1 << 22) // max(1, len(b)))
-    out = [np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * x @ b.T).min(axis=1)) for x in (a[i : i + step] for i in range(0, len(a), step))]
-    return np.concatenate(out) if out else np.zeros(0)
-
-
-def surface_metrics(pred: DataFrame, truth: DataFrame, case: str = "case", spacing: Sequence[float] = (1, 1, 1), tolerance: float = 1.0, empty: str = "nan") -> DataFrame:
-    """(case, hd, hd95, asd, nsd) between boundaries given as voxels; ``empty`` 'score' takes two empty sides as equal."""
-    schema = f"{case} {dict(pred.dtypes)[case]}, hd double, hd95 double, asd double, nsd double"
-
-    def run(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        x, y = (d[["x", "y", "z"]].to_numpy(float) for d in (p, t))
-        if not len(x) or not len(y):
-            both = not len(x) and not len(y) and empty == "score"
-            row = (key[0], 0.0 if both else float("inf"), 0.0 if both else float("inf"), 0.0 if both else float("inf"), 0.0)
-        else:
-            ab, ba = surface_distances(x, y, spacing), surface_distances(y, x, spacing)
-            close = (ab <= tolerance).sum() + (ba <= tolerance).sum()
-            row = (key[0], max(ab.max(), ba.max()), max(np.percentile(ab, 95), np.percentile(ba, 95)), (ab.mean() + ba.mean()) / 2, close / (len(ab) + len(ba)))
-        return pd.DataFrame([row], columns=[case, "hd", "hd95", "asd", "nsd"])
-
-    truth = truth.select(*(F.col(c).alias(c) for c in truth.columns))  # the two sides may be one table
-    return pred.groupBy(case).cogroup(truth.groupBy(case)).applyInPandas(run, schema)
-
-
 def patches(shape: Sequence[int], size: Sequence[int], step: Sequence[int]) -> list[tuple[int, ...]]:
     """Starts of patches that cover a volume, the last ones moved back inside."""
     axes = []

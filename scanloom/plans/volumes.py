@@ -166,20 +166,6 @@ def maximal_match(spark, d):
     return i.match(i.overlaps(_parts(spark, d, 0.01), _parts(spark, d, 0.03)), 1e-6, "maximal", by="dice")
 
 
-@register("a45_surface_distances")
-def surface(spark, d):
-    a, b = (i.boundary(_parts(spark, d, bar), ["case"]) for bar in (0.01, 0.03))
-    return i.surface_metrics(a, b)
-
-
-@register("o9_suppressed_boxes")
-def suppressed(spark, d):
-    b = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("g"), F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("box_id"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 20).alias("x1"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1")
-    )
-    return i.suppressed(b, "g", 0.5)
-
-
 @register("a41_froc")
 def froc(spark, d):
     e = table(spark, d, "events").select(F.col("value").alias("score"), (F.col("user_id") % 3 == 0).alias("is_hit"))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scanloom.operators import audit, instances, joins, lesions, metrics, sets, voxels, windows
+from scanloom.operators import audit, fields, instances, joins, lesions, metrics, sets, suppression, voxels, windows
 from scanloom.functions import scalars
 
 
@@ -58,11 +58,11 @@ def test_boundary_and_distances(spark):
     b = spark.createDataFrame([(c, x + 1, y, z, v) for c, x, y, z, v in cube("a", 0, 5)], VOX)
     edge = instances.boundary(a, ["case"])
     assert edge.count() == 125 - 27
-    r = instances.surface_metrics(edge, instances.boundary(b, ["case"])).first()
+    r = fields.surface_metrics(edge, instances.boundary(b, ["case"])).first()
     assert r["hd"] == 1.0 and r["nsd"] == 1.0 and 0 < r["asd"] < 1
-    r = instances.surface_metrics(edge, edge).first()
+    r = fields.surface_metrics(edge, edge).first()
     assert r["hd"] == 0.0 and r["nsd"] == 1.0
-    r = instances.surface_metrics(edge, edge.limit(0)).first()
+    r = fields.surface_metrics(edge, edge.limit(0)).first()
     assert math.isinf(r["hd"]) and r["nsd"] == 0.0
 
 
@@ -189,7 +189,7 @@ def test_suppression_is_that_of_brute_force(spark):
             want.add(best[:2])
             inter = lambda r, b=best: max(0.0, min(r[4], b[4]) - max(r[3], b[3]))
             left = [r for r in left if inter(r) / (r[4] - r[3] + best[4] - best[3] - inter(r)) <= 0.5]
-    assert {(r["g"], r["box_id"]) for r in instances.suppressed(df, "g", 0.5).collect()} == want
+    assert {(r["g"], r["box_id"]) for r in suppression.suppressed(df, "g", 0.5).collect()} == want
 
 
 def test_weighted_sample_is_that_of_python(spark):
