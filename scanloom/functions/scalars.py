@@ -231,3 +231,47 @@ def decode_regions(probabilities: Mapping[int, Column], bar: float = 0.5) -> Col
 def rescaled(x: Column, low: Column, high: Column) -> Column:
     """Clipped to [low, high] and scaled to [0, 1]; 0 if the range is empty."""
     return F.when(high > low, (F.least(F.greatest(x, low), high) - low) / (high - low)).otherwise(F.lit(0.0))
+
+
+def short_number(c: Column | str, digits: int = 6) -> Column:
+    """A number in at most ``digits`` significant digits, without trailing zeros; very small and large ones with an exponent of two digits or more."""
+    v = col(c).cast("double")
+    text = F.format_string(f"%.{digits - 1}e", F.abs(v))
+    ones, power = F.regexp_replace(F.substring_index(text, "e", 1), r"\.", ""), F.substring_index(text, "e", -1).cast("int")
+    plain = F.when(power >= 0, F.concat(F.substring(ones, F.lit(1), power + 1), F.lit("."), F.substring(ones, power + 2, F.lit(digits)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), ones))
+    long = F.concat(F.substring(ones, 1, 1), F.lit("."), F.substring(ones, 2, digits))
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")
+    exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.when(F.abs(power) > 99, F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(exponent)
+    body = F.when((power < -4) | (power >= digits), F.concat(trimmed(long), exponent)).otherwise(trimmed(plain))
+    sign = F.when(v < 0, "-").otherwise("")
+    return F.when(v.isNull(), None).when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf"))).when(v == 0, "0").otherwise(F.concat(sign, body))
+
+
+def joined_numbers(c: Column, separator: str = ";", digits: int = 6) -> Column:
+    """An array of numbers as text; nulls in it are left out."""
+    return F.array_join(F.transform(c, lambda x: short_number(x, digits)), separator)
+
+
+#: Powers of ten by prefix, metres by imperial unit.
+PREFIXES = {"peta": 15, "tera": 12, "giga": 9, "mega": 6, "kilo": 3, "hecto": 2, "deca": 1, "": 0, "deci": -1, "centi": -2, "milli": -3, "micro": -6, "nano": -9, "pico": -12, "femto": -15}
+IMPERIAL = {"inch": 0.0254, "foot": 0.3048, "yard": 0.9144, "mile": 1609.344}
+QUANTITIES = ("meter", "byte", "bit")
+
+
+def unit_factor(source: str, target: str) -> float:
+    """What a number in the one unit is multiplied by to be in the other; an error where they don't measure the same."""
+
+    def measured(unit: str) -> tuple[str, float]:
+        unit = unit.lower()
+        if unit in IMPERIAL:
+            return "meter", IMPERIAL[unit]
+        for base in QUANTITIES:
+            if unit.endswith(base) and unit[: -len(base)] in PREFIXES:
+                return base, 10.0 ** PREFIXES[unit[: -len(base)]]
+        raise ValueError(f"unknown unit {unit}")
+
+    (a, x), (b, y) = measured(source), measured(target)
+    if a != b:
+        raise ValueError(f"{source} is a {a}, {target} a {b}")
+    return x / y

@@ -64,16 +64,20 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "__row")
     return local.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__nth")).drop("__part", "__nth", "__start")
 
 
-def running_totals(df: DataFrame, order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
-    """Adds ``total_*`` of columns up to each row of a total order; partitions are summed apart and then offset."""
-    parts = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def running_totals(df: DataFrame, order: Sequence[Column | str], columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``total_*`` of columns up to each row of a total order, within each group of ``by``.
+
+    Ranges of (by, order) are summed apart and then offset, so neither the whole nor a large group is in one task.
+    """
+    parts = settled(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({f"total_{c}": F.sum(c).over(own) for c in columns})
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    sums = parts.groupBy("__part").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
-    starts = sums.select("__part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns))
-    out = local.join(starts, "__part").withColumns({f"total_{c}": F.col(f"total_{c}") + F.col(f"__{c}") for c in columns})
-    return out.drop("__part", *(f"__{c}" for c in columns))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = parts.groupBy("__part", *by).agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    starts = sums.select(F.col("__part").alias("__p"), *(F.col(b).alias(f"__by{i}") for i, b in enumerate(by)), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (f"__{c}" for c in columns)))
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)], F.col("__part") == F.col("__p"))
+    out = local.join(starts, same).withColumns({f"total_{c}": F.col(f"total_{c}") + F.col(f"__{c}") for c in columns})
+    return out.drop("__part", "__p", *(f"__by{i}" for i in range(len(by))), *(f"__{c}" for c in columns))
 
 
 def chunk_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int, order: Sequence[str]) -> DataFrame:
@@ -145,6 +149,30 @@ def containing(rows: DataFrame, text: str, needles: DataFrame, needle: str, keep
     return rows.join(hits, text, "left_semi" if keep else "left_anti")
 
 
+def paired_by_name(refs: DataFrame, preds: DataFrame, path: str = "path") -> DataFrame:
+    """(name, ref, pred): paths of two listings with the same file name; the first path of a name on each side."""
+    name = F.element_at(F.split(path, "/"), -1)
+    sides = [d.groupBy(name.alias("name")).agg(F.min(path).alias(c)) for d, c in ((refs, "ref"), (preds, "pred"))]
+    return sides[0].join(sides[1], "name")
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, group: str, cell: float, dims: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Pairs of a point (columns ``dims``) and a box (``{d}0``, ``{d}1``) of one group that holds it, edges included, and the distance to the box's centre.
+
+    Boxes are dealt to the grid cells that they touch on all axes, points to the one that they are in.
+    """
+    spread = boxes.select(F.col(group), *(F.col(c).alias(f"box_{c}") for c in boxes.columns if c != group))
+    own = points.select(F.col(group), *(F.col(c).alias(f"point_{c}") for c in points.columns if c != group))
+    for d in dims:
+        low, high = F.floor(F.col(f"box_{d}0") / cell), F.floor(F.col(f"box_{d}1") / cell)
+        spread = spread.withColumn(f"__{d}", F.explode(F.when(low <= high, F.sequence(low, high))))
+        own = own.withColumn(f"__{d}", F.floor(F.col(f"point_{d}") / cell))
+    keys = [f"__{d}" for d in dims]
+    inside = reduce(lambda x, y: x & y, [F.col(f"point_{d}").between(F.col(f"box_{d}0"), F.col(f"box_{d}1")) for d in dims])
+    away = reduce(lambda x, y: x + y, [F.pow(F.col(f"point_{d}") - (F.col(f"box_{d}0") + F.col(f"box_{d}1")) / 2, 2) for d in dims])
+    return own.join(spread, [group, *keys]).where(inside).withColumn("distance", F.sqrt(away)).drop(*keys)
+
+
 def by_suffix(refs: DataFrame, ref: str, preds: DataFrame, pred: str, ending: str) -> DataFrame:
     """Each reference id with the first prediction file called '...id' + ending, or null."""
     own = preds.select(pred, F.regexp_extract(pred, r"(\d{5}-\d{3})" + ending.replace(".", r"\.") + "$", 1).alias("__id"))

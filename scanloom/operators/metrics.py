@@ -135,6 +135,35 @@ def smoothed_dice(df: DataFrame, group: Sequence[str], truth: str, guess: str, e
     return df.groupBy(*group).agg(((2 * F.sum(t * p) + eps) / (F.sum(t) + F.sum(p) + eps)).alias("dice"))
 
 
+def generalized_dice(df: DataFrame, case: str, label: str, truth: str, guess: str, weights: str = "square") -> DataFrame:
+    """(case, dice) over all classes of each case, weighted by the inverse of a class's volume (simple), of its square (square), or alike (uniform).
+
+    A class that the truth doesn't have gets the case's largest weight. Without any weighted volume the score is 1 if nothing was guessed, else 0.
+    """
+    t, p = F.col(truth).cast("double"), F.col(guess).cast("double")
+    c = df.groupBy(case, label).agg(F.sum(t * p).alias("i"), F.sum(t).alias("t"), F.sum(p).alias("p"))
+    w = {"simple": F.when(F.col("t") > 0, 1 / F.col("t")), "square": F.when(F.col("t") > 0, 1 / (F.col("t") * F.col("t"))), "uniform": F.lit(1.0)}[weights]
+    c = c.withColumn("w", w)
+    i, n = (F.sum(F.col(x) * F.col("w")) for x in ("i", "__n"))
+    # Classes without a weight of their own are summed apart, and weighted by the largest one afterwards.
+    c = c.withColumn("__n", F.col("t") + F.col("p"))
+    free = F.col("w").isNull()
+    g = c.groupBy(case).agg(F.coalesce(i, F.lit(0.0)).alias("i"), F.coalesce(n, F.lit(0.0)).alias("n"), F.sum(F.when(free, F.col("i")).otherwise(0.0)).alias("fi"), F.sum(F.when(free, F.col("__n")).otherwise(0.0)).alias("fn"), F.coalesce(F.max("w"), F.lit(0.0)).alias("top"), F.sum("p").alias("p"))
+    low = F.col("n") + F.col("top") * F.col("fn")
+    score = F.when(low != 0, 2 * (F.col("i") + F.col("top") * F.col("fi")) / low).when(F.col("p") == 0, 1.0).otherwise(0.0)
+    return g.select(case, score.alias("dice"))
+
+
+def region_means(df: DataFrame, region: str, value: str) -> DataFrame:
+    """Mean of each region without NaN and null; null where nothing is left."""
+    return df.groupBy(region).agg(F.avg(_number(value)).alias("mean"))
+
+
+def best_of(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Each group's largest value, NaN aside: the best of its configurations."""
+    return df.groupBy(*group).agg(F.max(_number(value)).alias(value))
+
+
 def foreground_mean(df: DataFrame, label: str, value: str, skip: Sequence[int] = (0, -1, 99)) -> DataFrame:
     """Plain mean over the other classes: NaN spreads."""
     return df.where(~F.col(label).isin(*skip)).agg(F.avg(value).alias("foreground_mean"))
@@ -146,15 +175,34 @@ def foreground_mean(df: DataFrame, label: str, value: str, skip: Sequence[int] =
 def roc_auc(df: DataFrame, group: Sequence[str], truth: Column, score: str) -> DataFrame:
     """Area under the ROC curve; tied scores share their credit; null with one class only.
 
-    Scores are counted per value first, so a window runs over distinct scores.
+    Scores are counted per value first, and ranges of a group's scores are summed apart.
     """
     by = df.groupBy(*group, score).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    below = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    part = by.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    part = running_totals(by, [score], ["neg"], group).withColumn("less", F.col("total_neg") - F.col("neg"))
     total = part.groupBy(*group).agg(F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return total.select(*group, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+def averaged_auc(df: DataFrame, label: str, truth: Column, score: str, average: str = "macro") -> DataFrame:
+    """One ``auc`` of several classes: the classes' mean (macro), by their positives (weighted), or of all scores together (micro).
+
+    Null if a class has no area; ``none`` gives the classes' own.
+    """
+    if average not in ("none", "macro", "weighted", "micro"):
+        raise ValueError(f"unknown average {average}")
+    own = df.select(F.col(label).alias("label"), truth.alias("truth"), F.col(score).alias("score"))
+    if average == "micro":
+        return roc_auc(own.withColumn("label", F.lit(0)), ["label"], F.col("truth"), "score").select("auc")
+    areas = roc_auc(own, ["label"], F.col("truth"), "score")
+    if average == "none":
+        return areas.withColumnRenamed("label", label)
+    weight = F.lit(1.0)
+    if average == "weighted":
+        positives = own.groupBy(F.col("label").alias("__l")).agg(F.count_if("truth").alias("__n"))
+        areas, weight = areas.join(positives, F.col("label").eqNullSafe(F.col("__l"))), F.col("__n")
+    return areas.agg(F.when(F.count_if(F.col("auc").isNull()) == 0, F.sum(F.col("auc") * weight) / F.sum(weight)).alias("auc"))
+
+
 def trapezoid(df: DataFrame, group: Sequence[str], x: str, y: str, normalised: bool = True) -> DataFrame:
     """Area under a curve by the trapezoid rule, over the range of x if normalised."""
     w = Window.partitionBy(*group).orderBy(x)

@@ -36,7 +36,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """The query modules register themselves when they are imported."""
-    from . import aggregates, audits, extras, files, filters, grids, relations, series, streams, volumes  # noqa: F401
+    from . import aggregates, audits, extras, files, filters, grids, relations, samples, series, streams, volumes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from scanloom.functions.scalars import dirname, stem
 from scanloom.operators.joins import fold_join
+from scanloom.operators.metrics import describe
 from scanloom.operators.sets import require_columns
 
 
@@ -159,6 +160,18 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_report(raw: DataFrame, folder: str, metric: str) -> None:
+    """A metric's report from (case, class, value): ``{metric}_raw`` with a row per case and class, ``{metric}_summary``
+    with a row per class and one, 'mean', of the cases' means over their classes, and ``{metric}_overall`` with the mean of these.
+    """
+    means = raw.groupBy("case").agg(F.avg(F.nanvl("value", F.lit(None))).alias("value")).withColumn("class", F.lit("mean"))
+    rows = raw.select("case", "class", "value").unionByName(means)
+    write_csv(rows, f"{folder}/{metric}_raw", ["case", "class"])
+    summary = describe(rows, ["class"], "value", (90,)).select("class", "mean", "median", "max", "min", F.col("p90"), "std", "notnans")
+    summary.write.option("header", "true").csv(f"{folder}/{metric}_summary")
+    write_csv(means.agg(F.avg("value").alias(metric)), f"{folder}/{metric}_overall")
+
+
 def markdown(df: DataFrame, limit: int) -> str:
     """A small table as Markdown; at most ``limit`` rows come to the driver."""
     rows = df.limit(limit).collect()

@@ -39,18 +39,22 @@ def _quaternion(b: float, c: float, d: float, offset: tuple, pixdim: tuple) -> n
     return out
 
 
-def read_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
-    """(voxels, affine, spacing) of a NIfTI-1 file, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    end = next((e for e in "<>" if len(data) >= 352 and struct.unpack_from(f"{e}i", data)[0] == 348), None)
+#: Fixed value: where the voxels of a NIfTI-1 file begin at the earliest.
+HEADER_BYTES = 352
+
+
+def _byte_order(data: bytes) -> str:
+    end = next((e for e in "<>" if len(data) >= 348 and struct.unpack_from(f"{e}i", data)[0] == 348), None)
     if end is None or data[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
+    return end
+
+
+def nifti_header(data: bytes) -> tuple[tuple[int, ...], tuple[float, ...], str, np.ndarray]:
+    """(shape, spacing, type of the values, affine) by the first bytes of a NIfTI-1 file."""
+    end = _byte_order(data)
     dim, pixdim = struct.unpack_from(f"{end}8h", data, 40), struct.unpack_from(f"{end}8f", data, 76)
-    code, start = struct.unpack_from(f"{end}h", data, 70)[0], int(struct.unpack_from(f"{end}f", data, 108)[0])
-    slope, inter = struct.unpack_from(f"{end}2f", data, 112)
-    shape = tuple(max(1, n) for n in dim[1 : dim[0] + 1])
-    values = np.frombuffer(data, f"{end}{NIFTI_TYPES[code]}", int(np.prod(shape)), start).reshape(shape, order="F")
+    code, scaling = struct.unpack_from(f"{end}h", data, 70)[0], struct.unpack_from(f"{end}2f", data, 112)
     qform, sform = struct.unpack_from(f"{end}2h", data, 252)
     if sform > 0:
         affine = np.vstack([np.array(struct.unpack_from(f"{end}12f", data, 280)).reshape(3, 4), [0, 0, 0, 1]])
@@ -59,9 +63,23 @@ def read_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
         affine = _quaternion(*q[:3], q[3:], pixdim)
     else:
         affine = np.diag([*pixdim[1:4], 1.0])
+    stored = np.dtype(NIFTI_TYPES[code])
+    scaled = scaling[0] and scaling != (1, 0)
+    return tuple(max(1, n) for n in dim[1 : dim[0] + 1]), tuple(pixdim[1 : 1 + min(3, dim[0])]), str(np.result_type(stored, np.float64) if scaled else stored), affine
+
+
+def read_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
+    """(voxels, affine, spacing) of a NIfTI-1 file, compressed or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    end = _byte_order(data)
+    shape, spacing, _, affine = nifti_header(data)
+    code, start = struct.unpack_from(f"{end}h", data, 70)[0], int(struct.unpack_from(f"{end}f", data, 108)[0])
+    slope, inter = struct.unpack_from(f"{end}2f", data, 112)
+    values = np.frombuffer(data, f"{end}{NIFTI_TYPES[code]}", int(np.prod(shape)), start).reshape(shape, order="F")
     if slope and (slope, inter) != (1, 0):
         values = values * slope + inter
-    return values, affine, tuple(pixdim[1 : 1 + min(3, dim[0])])
+    return values, affine, spacing
 
 
 def write_nifti(values: np.ndarray, affine: np.ndarray) -> bytes:
@@ -142,6 +160,7 @@ def write_volumes(rows: DataFrame, folder: str) -> None:
     def run(part):
         import os
 
+        os.makedirs(folder, exist_ok=True)
         for r in part:
             spare = os.path.join(folder, f".{r['name']}.part")
             with open(spare, "wb") as f:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from scanloom.operators.joins import numbered
+
 
 def csv_chunks(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """CSV files as a stream of bounded chunks."""
@@ -39,6 +41,33 @@ def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, late: str)
     return timed.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
+def closed_windows(stream: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
+    """Counts of windows that the watermark has passed; for append mode. A row whose window is closed when it comes is left out."""
+    return windowed_counts(stream, ts, key, width, late)
+
+
+def closed_sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:
+    """(start, end, key, n) of sessions, runs of rows of a key less than ``gap`` apart, once the watermark has passed them; for append mode."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return timed.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+
+
+def replayed(chunks: DataFrame, number: str, folder: str, query: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> int:
+    """Feed the rows of chunk after chunk to a stream, each as a restart from the checkpoint; returns the rows (or partial sums) dropped as late.
+
+    The chunks' files stay, so a restart after a failure goes on where the last one ended.
+    """
+    spark, dropped = chunks.sparkSession, 0
+    numbers = [r[0] for r in chunks.select(number).distinct().orderBy(number).collect()]
+    schema = chunks.drop(number).schema
+    for n in numbers:
+        chunks.where(F.col(number) == n).drop(number).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        ran = run_available(query(source), sink, f"{folder}/checkpoint")
+        dropped += sum(o.numRowsDroppedByWatermark for p in ran.recentProgress for o in p.stateOperators)
+    return dropped
+
+
 def append_log(folder: str) -> Callable[[DataFrame, int], None]:
     """A sink that appends each batch once: a repeated batch replaces its own part."""
 
@@ -48,9 +77,19 @@ def append_log(folder: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def sharded(df: DataFrame, row: str, worker: int, workers: int) -> DataFrame:
-    """The rows that a worker gets in round-robin order."""
-    return df.where(F.pmod(F.col(row), F.lit(workers)) == worker)
+def sharded(df: DataFrame, order: str, worker: int, workers: int) -> DataFrame:
+    """The rows that a worker gets when rows are dealt out in turn, in the order of a column."""
+    return numbered(df, [order]).where(F.pmod("__row", F.lit(workers)) == worker).drop("__row")
+
+
+def epoch_places(df: DataFrame, key: str, seed: int, epoch: int, size: int) -> DataFrame:
+    """Adds ``place``: the row's place in an epoch through a shuffle buffer of ``size`` rows.
+
+    Rows come in the order of the key; each is held back by fewer than ``size`` rows, which a hash draws.
+    """
+    held = F.pmod(F.xxhash64(F.lit(seed + epoch), F.col(key)), F.lit(size))
+    order = numbered(df, [key], "__in").withColumn("__due", F.col("__in") + held)
+    return numbered(order, ["__due", "__in"], "place").drop("__in", "__due")
 
 
 def shuffled(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:

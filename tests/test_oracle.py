@@ -7,7 +7,7 @@ import pytest
 
 from scanloom.plans import registry
 
-from . import test_grids, test_operators
+from . import test_grids, test_operators, test_samples
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -46,6 +46,7 @@ BRUTE = {
     "a41_froc": "test_roc_and_froc",
     "v_components": "test_components_are_those_of_a_flood_fill",
     "v_noise": "test_places_as_in_numpy",
+    "v_random_twins": "test_random_rows_and_twins",
     "v_probability_peaks": "test_peaks_of_the_query_are_those_of_brute_force",
     "w23_weighted_sample": "test_weighted_sample_is_that_of_python",
 }
@@ -54,7 +55,7 @@ BRUTE = {
 def test_every_query_has_sql_or_a_named_test():
     assert set(registry.queries()) == set(registry.oracle_sql()) | set(BRUTE)
     assert not set(registry.oracle_sql()) & set(BRUTE)
-    assert all(callable(getattr(test_operators, name, None) or getattr(test_grids, name)) for name in BRUTE.values())
+    assert all(any(callable(getattr(m, name, None)) for m in (test_grids, test_operators, test_samples)) for name in BRUTE.values())
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
