@@ -8,15 +8,19 @@ whose score is at least a share of that of the heaviest path is content: its
 blocks are the text. Blocks of weaker paths (headings, short paragraphs, list
 items, cells) come along only if they stand in the same container as blocks of
 content paths; containers are elements of general use with a class or an id.
-An ``article`` or ``main`` around the heaviest path bounds the text. Menus, page
-footers, asides, dialogs, form controls, hidden parts and what isn't text by its
-tag or role take no part, and containers with the lines that readers' comments
-start or end with (who says, how long ago, reply) don't either.
+An ``article`` or ``main`` around the heaviest path bounds the text: there weaker
+paths are kept too, whatever their containers, but for lists of five links or more
+that no heading heads. Menus, page footers, asides, dialogs, form controls, hidden
+parts and what isn't text by its tag or role take no part, nor do containers with a
+line of their own as readers' comments start or end with (who says, how long ago,
+reply). An ``article`` that is named like one of these counts as such if another
+article or main part has text. A first or second heading right before the text is its title.
 
 Defined results: null or empty html, and pages without text, give the empty
 string; text that isn't markup counts as one block; unclosed, crossed and cut-off
 tags are read as browsers do in the plain cases; of paths that weigh the same the
-one that comes first counts as the heaviest; very long and very deep pages take
+one that comes first counts as the heaviest; the text of a button inside a line falls
+away without splitting it; very long and very deep pages take
 time and memory in proportion; repeated rows and null ids keep a row each; an
 empty table gives no rows; other columns of the input aren't read.
 """
@@ -50,7 +54,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea iframe xmp noembed noframes noscript template svg math canvas".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul caption button".split()
+    " header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: An element that starts closes an open one of these, unless one of the second set stands between.
 CLOSES = {
@@ -83,22 +87,30 @@ BESIDE = frozenset("has with without no".split())
 #: Elements of general use: with a class or an id they are containers of their own.
 CONTAINERS = frozenset("div ul ol center address article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLES = frozenset("h1 h2".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Short lines by which readers' comments can be told.
-BYLINE = re.compile(r"\b(?:reply|says|wrote|commented)\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b", re.IGNORECASE)
-BYLINE_MOST = 60
+#: Whole lines by which readers' comments can be told: who says, how long ago it was said (perhaps by whom), reply.
+AGO = r"(?:\d+|an?|one) (?:second|minute|hour|day|week|month|year)s? ago"
+BYLINE = re.compile(rf"(?:[^\s.,;:!?\"“”]+ ){{1,4}}(?:says|said|wrote|writes|commented|replied) ?:?|(?:[^\s.,;:!?\"“”]+ ){{1,4}}(?:says|said|wrote|writes|commented|replied)?,? ?{AGO} ?:?|(?:[^.!?:|·•]{{1,40}}[|·•,–-] ?)?{AGO}|reply(?: to [^.!?]{{1,40}})?", re.IGNORECASE)
+#: Links from which on a list without a heading is a menu.
+MENU = 5
 
 
 class Element:
     """An open tag. ``path`` numbers its root-to-leaf path, ``box`` is its container, ``number`` counts in page order."""
 
-    __slots__ = ("box", "hard", "hidden", "marks", "named", "number", "parent", "path", "place", "tag", "top", "main")
+    __slots__ = ("box", "hard", "hidden", "list", "main", "marks", "mute", "named", "number", "parent", "path", "place", "story", "tag", "top")
 
     def __init__(self, tag: str, parent: Element | None, number: int):
         self.tag, self.parent, self.number = tag, parent, number
         self.hard = self.hidden = self.named = self.main = False
+        self.mute = parent is not None and parent.mute and tag not in BLOCK
         self.marks = ""  # what marks this element itself: nothing, "soft" or "hard"
         self.top: Element | None = parent.top if parent else None
+        self.list: Element | None = self if tag in ("ul", "ol", "menu") else parent.list if parent else None
+        self.story: Element | None = parent.story if parent else None  # the article by its tag
+        if tag == "article" and self.story is None:
+            self.story = self
         self.path, self.box, self.place = 0, parent.box if parent else self, parent.place if parent else self
 
 
@@ -142,7 +154,7 @@ def _element(tag: str, attributes: str, parent: Element, number: int, void: froz
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             main = main or role in ("main", "article") or any(w in MAIN_NAMES for words in names for w in words)
             hard = hard or hidden or role in ASIDE_ROLES
-            soft = soft or (tag not in ("article", "main") and not own_header and any(map(_marked, names)))
+            soft = soft or (tag != "main" and not own_header and any(map(_marked, names)))
             if found.get("class", "").strip():
                 label = f"{tag}.{found['class'].split()[0].lower()}"
             elif found.get("id", "").strip():
@@ -178,7 +190,7 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> tuple[list[Block],
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not stack[-1].mute:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
             if links:
@@ -258,7 +270,9 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> tuple[list[Block],
         if tag in VOID:
             continue
         e = _element(tag, m[3] or m[6] or "", stack[-1], len(every), void, paths)
-        if tag not in BLOCK and (e.hard, e.named) != (stack[-1].hard, stack[-1].named):
+        if tag not in BLOCK and e.hard and not stack[-1].hard:
+            e.mute = True  # what it holds falls out of its line
+        elif tag not in BLOCK and (e.hard, e.named) != (stack[-1].hard, stack[-1].named):
             flush()  # a hidden or marked inline element doesn't run into its block
             e.tag, e.place = "div", e
             e.path = paths.setdefault((e.parent.path, f"{tag}!"), len(paths) + 1)
@@ -338,6 +352,11 @@ def void_marks(every: list[Block]) -> frozenset[int]:
                 upwards(e.parent, soft=False)
             e = e.parent
     shown = [b for b in every if not b.element.hidden]
+    if not any(b.element.top is not None and b.element.top.tag in ("article", "main") and not (b.element.hard or b.element.named) for b in shown):
+        for b in shown:  # no other article: a name on the one that there is says nothing
+            story = b.element.story
+            if story is not None and story.marks == "soft" and not b.element.hard:
+                void.add(story.number)
     if void or all(not (b.element.hard or b.element.named) for b in shown):
         return frozenset(void)
     passing, weight = content_paths(shown, named=False)
@@ -361,11 +380,11 @@ def _common(elements: list[Element]) -> Element:
 
 
 def _comments(found: list[Block], own: set[int]) -> set[int]:
-    """Paths of containers at least half of which hold a line as readers' comments have; ``own`` are never."""
+    """Paths of containers at least half of which hold a line of its own as readers' comments have; ``own`` are never."""
     holders: dict[int, set[int]] = defaultdict(set)
     signed: dict[int, set[int]] = defaultdict(set)
     for b in found:
-        line = len(b.text) <= BYLINE_MOST and BYLINE.search(b.text) is not None
+        line = BYLINE.fullmatch(b.text) is not None
         box, depth = b.element.box, 0
         while depth < 3 and box is not None and box.path not in own:  # a comment's parts may be containers too
             holders[box.path].add(box.number)
@@ -375,6 +394,21 @@ def _comments(found: list[Block], own: set[int]) -> set[int]:
     return {p for p, n in signed.items() if 2 * len(n) >= len(holders[p])}
 
 
+def _link_lists(found: list[Block]) -> set[int]:
+    """Numbers of the blocks of lists that hold nothing but links, ``MENU`` or more, without a heading right before."""
+    lists: dict[int, list[int]] = defaultdict(list)
+    for k, b in enumerate(found):
+        if b.element.list is not None:
+            lists[b.element.list.number].append(k)
+    out: set[int] = set()
+    for own in lists.values():
+        free, size = sum(found[k].free for k in own), sum(len(found[k].text) for k in own)
+        headed = own[0] > 0 and found[own[0] - 1].element.tag in HEADINGS
+        if len(own) >= MENU and free < FREE * size and not headed:
+            out.update(own)
+    return out
+
+
 def main_text(page: str | None) -> str:
     every, elements = blocks(page or "")
     if void := void_marks(every):
@@ -434,17 +468,26 @@ def main_text(page: str | None) -> str:
         return value
 
     boxes = {b.element.box.path for b in strong if not commented(b.element.box)}
-    kept = []
+    lists = _link_lists(found)
+    kept, first = [], None
     for k, b in enumerate(found):
         e = b.element
         if e.number not in inside or e.named or commented(e.box):
             continue
-        if b.path in passing:
-            kept.append(b)
+        bounded = e.top is not None and e.top.tag in ("article", "main")
+        if bounded:
+            keep = k not in lists
+        elif b.path in passing:
+            keep = True
         elif e.tag in HEADINGS and k + 1 < len(found) and (found[k + 1].path in passing or found[k + 1].element.box.path in boxes):
-            kept.append(b)  # a heading goes with what it heads
-        elif e.box.path in boxes and (e.tag in HEADINGS or b.path not in menus):
+            keep = True  # a heading goes with what it heads
+        else:
+            keep = e.box.path in boxes and (e.tag in HEADINGS or b.path not in menus)
+        if keep:
+            first = k if first is None else first
             kept.append(b)
+    if first and found[first].element.tag not in TITLES and found[first - 1].element.tag in TITLES and not found[first - 1].element.named:
+        kept.insert(0, found[first - 1])
     return "\n".join(b.text for b in kept)
 
 

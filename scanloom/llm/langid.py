@@ -19,18 +19,18 @@ gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, offsets, small_batches, text_chunks
 
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 GRAMS = (2, 3, 4)
 BUCKET_BITS, DIM = 16, 16
 #: Rows of one language that the sample has (about, and twice as many at most; a hash of

@@ -455,3 +455,57 @@ def test_files_hold_one_frame_per_record(spark, tmp_path):
     for change in (lambda r: r.replace(b"WARC/1.1", b"WARC/9.9"), lambda r: r.replace(b"WARC-Date", b"X-Date"), lambda r: r + b"x", lambda r: r[:-4]):
         with pytest.raises(warc.BadArchive):
             warc.parse(change(warc.record(1, "u", b"abc", "D", None, "d")))
+
+
+# -- html: pages that no generator made -------------------------------------------
+
+SENTENCE = "The river rose in the night, and by the morning it had reached the bridge; nobody had seen that before."
+BODY = "".join(f"<p>{SENTENCE} Part {i}.</p>" for i in range(6))
+LINES = [f"{SENTENCE} Part {i}." for i in range(6)]
+AROUND = ("<header><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav></header>", "<aside><p>Other, things, here.</p></aside><footer><p>All rights, reserved.</p></footer>")
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        (BODY + '<div class="key-facts"><p>Born 1950</p><p>Died 1999</p></div>', [*LINES, "Born 1950", "Died 1999"]),
+        (BODY + '<div class="note"><p>Note well.</p></div>', [*LINES, "Note well."]),
+        ('<div class="intro"><p>Lead paragraph.</p></div><div class="body">' + BODY + '</div><div class="outro"><p>The end.</p></div>', ["Lead paragraph.", *LINES, "The end."]),
+        ('<div class="qa"><p>Ann says yes.</p><p>' + SENTENCE + "</p></div>" + BODY + '<div class="qa"><p>Bo says no.</p><p>' + SENTENCE + "</p></div>", ["Ann says yes.", SENTENCE, *LINES, "Bo says no.", SENTENCE]),
+        (BODY + '<div class="quote"><p>"It works," says Ann.</p></div>', [*LINES, '"It works," says Ann.']),
+        ('<div class="timeline"><p>Founded 30 years ago.</p><p>Sold 3 years ago.</p></div>' + BODY, ["Founded 30 years ago.", "Sold 3 years ago.", *LINES]),
+        (BODY + "<ul><li><a href=s>First source</a></li><li><a href=t>Second source</a></li></ul>", [*LINES, "First source", "Second source"]),
+        (BODY + "<h2>Sources</h2><ul>" + "".join(f"<li><a href=s{i}>Source {i}</a></li>" for i in range(7)) + "</ul>", [*LINES, "Sources", *(f"Source {i}" for i in range(7))]),
+        (BODY + "<ul>" + "".join(f"<li><a href=s{i}>Topic {i}</a></li>" for i in range(7)) + "</ul>", LINES),
+        ("<p>Press the <button>OK</button> key</p>" + BODY, ["Press the key", *LINES]),
+        (BODY + '<section><h3>Box</h3><table><tr><td>a</td><td>b</td></tr></table><pre>x  = 1</pre></section>', [*LINES, "Box", "a", "b", "x = 1"]),
+        (BODY + '<figure><img src=x><figcaption>The bridge.</figcaption></figure><blockquote class="pull">Nobody knew.</blockquote>', [*LINES, "The bridge.", "Nobody knew."]),
+        (BODY + '<div class="z"><p>Ann Lee says:</p><p>I think so, too.</p></div><div class="z"><p>Bo wrote:</p><p>No.</p></div>', LINES),
+        (BODY + '<div class="z"><p>Ann · 3 days ago</p><p>I think so, too.</p><p>Reply</p></div>', LINES),
+        (BODY + '<ol class="commentlist"><li class="comment"><cite>Ann</cite> <span class="says">says:</span><p>So do I, and so on.</p></li></ol>', LINES),
+        (BODY + '<div class="newsletter"><p>Sign up, now.</p><form><input></form></div>', LINES),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_nothing_of_an_article_falls_away(tag, inner, want):
+    page = f"<html><body>{AROUND[0]}<{tag}><h1>High water</h1>{inner}</{tag}>{AROUND[1]}</body></html>"
+    assert html.main_text(page).split("\n") == ["High water", *want]
+
+
+def test_an_article_of_a_reader_is_no_article():
+    long = "".join(f"<p>{SENTENCE} And I, too, say so; {i} times.</p>" for i in range(20))
+    for name in ("comment", "comment-body", "reply"):
+        page = f'<article class="post"><h1>High water</h1>{BODY}</article><section><article class="{name}">{long}</article></section>'
+        assert html.main_text(page).split("\n") == ["High water", *LINES]
+    # the only article is the article, whatever its name
+    assert html.main_text(f'<div><p>Some, other, words.</p></div><article class="notice">{BODY}</article>').split("\n") == LINES
+
+
+def test_a_title_before_the_text():
+    page = f'<div class="wrap"><h1>High water</h1><div class="story">{BODY}</div></div><div class="x"><a href=a>More</a></div>'
+    assert html.main_text(page).split("\n") == ["High water", *LINES]
+
+
+def test_signs_that_are_no_letters_have_no_language():
+    assert not any(langid.LETTER.search(t) for t in ("½ ² ① Ⅷ", "12 _ ٣ —", "", " "))
+    assert all(langid.LETTER.search(t) for t in ("ª", "½ a", "ß", "中", "あ"))
