@@ -213,27 +213,36 @@ def _in_buckets(keyed: DataFrame, radius: int | None) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_joined(radius), "a binary, b binary").distinct()
 
 
-def short_links(nodes: DataFrame) -> DataFrame:
-    """Near edges (a, b) of the ``nodes`` (node, few) that connect all that near links do.
+def short_keys(few: DataFrame) -> DataFrame:
+    """(bucket, node) of the shingles by which near sets of ``few`` (node, few) must meet.
 
-    Of two near sets in one order, the first n - ceil(0.8 n) + 1 members have one in common.
+    Of two near sets in one order, the first n - ceil(0.8 n) + 1 members have one in
+    common. The order is that of document frequency, the rarest first, so that a phrase
+    of many texts is a key only of texts that have little else; a shingle of one text
+    takes a place but is no key, since it meets nothing.
     """
     part, whole = NEAR
 
     def run(batches):
         for batch in batches:
-            nodes, sets, rows, keys = batch.column(0), batch.column(1), [], []
-            for k, raw in enumerate(sets.to_pylist()):
-                own = np.frombuffer(raw, "<i8")
-                first = own[: len(own) + (-part * len(own)) // whole + 1]
-                rows += [k] * len(first)
-                keys.append(first)
-            take = pa.array(rows, pa.int64())
-            bucket = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([bucket, nodes.take(take), nodes.take(take), sets.take(take)], ["bucket", "node", "part", "shingles"])
+            sets = batch.column(1)
+            n = pa.array([len(x) // 8 for x in sets.to_pylist()], pa.int32())
+            flat = np.frombuffer(b"".join(sets.to_pylist()), "<i8")
+            take = pa.array(np.repeat(np.arange(len(sets)), n.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), n.take(take), pa.array(flat)], ["node", "n", "shingle"])
+
+    rows = few.mapInArrow(run, "node binary, n int, shingle long")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = rows.join(shared, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1 - (F.col("n") - F.size("s"))
+    return own.select("node", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)))).alias("s")).select(F.col("s.shingle").alias("bucket"), "node")
 
+
+def short_links(nodes: DataFrame) -> DataFrame:
+    """Near edges (a, b) of the ``nodes`` (node, few) that connect all that near links do."""
     few = nodes.where("few is not null").select("node", "few")
-    return _in_buckets(few.mapInArrow(run, "bucket long, node binary, part binary, shingles binary"), None)
+    keyed = short_keys(few).join(few, "node").select("bucket", "node", F.col("node").alias("part"), F.col("few").alias("shingles"))
+    return _in_buckets(cut(keyed), None)
 
 
 def confirmed_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:

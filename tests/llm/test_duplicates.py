@@ -250,3 +250,62 @@ def test_fingerprints_of_hard_rows(spark):
     one = minhash.neighbours(frame(spark, [(5, "a b c d e f", None, None, None)])).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b c a b c").hexdigest()
     assert {(r["doc_id"], r["fingerprint"]) for r in minhash.fingerprint(frame(spark)).collect()} == {(r["doc_id"], r["fingerprint"]) for r in got}
+
+
+def short_texts(n: int, seed: int) -> list[str]:
+    """Texts of 20 words of their own and a footer that all share, some of them with a near copy."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        own = [f"w{k}x{i}" for i in range(20)]
+        out.append(" ".join([*own, "read", "more", "on", "our", "site", "today"]))
+        if k % 10 == 0:
+            own[0] = f"other{rng.random()}"
+            out.append(" ".join([*own, "read", "more", "on", "our", "site", "today"]))
+    return out
+
+
+def test_a_phrase_of_all_short_texts_is_no_key(spark):
+    sizes = []
+    for n in (300, 600):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(short_texts(n, 1))], "doc_id long, text string")
+        few = neardup.wide_fingerprints(docs).select("node", "few")
+        keys = neardup.short_keys(few).groupBy("bucket").count()
+        assert keys.agg({"count": "max"}).first()[0] <= 2
+        sizes.append(keys.count())
+        links = neardup.short_links(few).collect()
+        assert len(links) == n // 10
+    assert sizes[1] <= 2.2 * sizes[0]
+
+
+def test_short_links_connect_what_brute_force_does(spark):
+    rng = random.Random(7)
+    phrases = [[rng.choice("abcdefgh") for _ in range(rng.randint(5, 14))] for _ in range(12)]
+    texts = {" ".join(sum(rng.sample(phrases, rng.randint(1, 3)), [])) for _ in range(260)}
+    texts |= {t + " z" for t in list(texts)[:80]}
+    docs = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string")
+    flat, off = neardup.distinct_shingles(sorted(texts))
+    sets = [frozenset(flat[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
+    few = neardup.wide_fingerprints(docs).select("node", "few").dropDuplicates(["node"])
+    own = {r["node"]: frozenset(np.frombuffer(r["few"], "<u8").tolist()) for r in few.where("few is not null").collect()}
+
+    def joined(pairs, nodes):
+        root = {s: s for s in nodes}
+
+        def top(s):
+            while root[s] is not s:
+                s = root[s]
+            return s
+
+        for a, b in pairs:
+            root[top(a)] = top(b)
+        groups = {}
+        for s in nodes:
+            groups.setdefault(top(s), set()).add(s)
+        return {frozenset(g) for g in groups.values()}
+
+    short = [s for s in set(sets) if 0 < len(s) <= neardup.FEW]
+    near = [(a, b) for i, a in enumerate(short) for b in short[:i] if 5 * len(a & b) >= 4 * len(a | b)]
+    got = [(own[r["a"]], own[r["b"]]) for r in neardup.short_links(few).collect()]
+    assert all(5 * len(a & b) >= 4 * len(a | b) for a, b in got) and len(near) > 50
+    assert joined(got, short) == joined(near, short)
