@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.sources.shared import shared_dir
+from scanloom.sources.shared import shared_dir, written
 
 
 def left_overlay(base: DataFrame, extra: DataFrame, key: str, suffix: str, fill: Sequence[str] = ()) -> DataFrame:
@@ -64,6 +64,12 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "__row")
     return local.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__nth")).drop("__part", "__nth", "__start")
 
 
+def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "__row") -> DataFrame:
+    """Rows counted from 0 in the order of their group, without bringing a large group to one task."""
+    own = running_totals(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"], by)
+    return own.withColumn(name, F.col("total___one") - 1).drop("__one", "total___one")
+
+
 def running_totals(df: DataFrame, order: Sequence[Column | str], columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds ``total_*`` of columns up to each row of a total order, within each group of ``by``.
 
@@ -130,22 +136,23 @@ def drop_unreplaced(rows: DataFrame, flagged: DataFrame, replaced: DataFrame, ke
 
 
 def containing(rows: DataFrame, text: str, needles: DataFrame, needle: str, keep: bool = False) -> DataFrame:
-    """Rows whose text holds none (or, with ``keep``, any) of the needles.
+    """Rows whose text holds none (or, with ``keep``, any) of the needles. Null and empty needles hold nowhere.
 
-    The needles' lengths are few, so each text is cut into windows of those
-    lengths and joined by equality; no pairs of all rows are formed.
+    Each distinct text's windows of the shortest needle's length meet the needles' first
+    characters by equality, without the text; only what meets is looked at whole. No pairs
+    of all rows are formed.
     """
-    lengths = [r["n"] for r in needles.select(F.length(needle).alias("n")).where("n > 0").distinct().collect()]
-    if not lengths:
+    asked = needles.select(F.col(needle).alias("__needle")).where("length(__needle) > 0").distinct()
+    shortest = asked.agg(F.min(F.length("__needle"))).first()[0]
+    if shortest is None:
         return rows.limit(0) if keep else rows
-    c = F.col(text)
-
-    def windows(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-        return F.when(F.length(c) >= n, made).otherwise(F.array().cast("array<string>"))
-
-    pieces = rows.select(text, F.explode(F.array_distinct(F.concat(*(windows(n) for n in lengths)))).alias("__piece")).distinct()
-    hits = pieces.join(needles.select(F.col(needle).alias("__piece")).distinct(), "__piece", "left_semi").select(text).distinct()
+    texts = written(rows.select(F.col(text).alias("__text")).distinct().withColumn("__id", F.monotonically_increasing_id()))
+    c = F.col("__text")
+    windows = F.transform(F.sequence(F.lit(1), F.length(c) - (shortest - 1)), lambda i: F.substring(c, i, F.lit(shortest)))
+    windows = F.when(F.length(c) >= shortest, F.array_distinct(windows))
+    starts = texts.select("__id", F.explode(windows).alias("__start"))
+    met = starts.join(asked.withColumn("__start", F.substring("__needle", 1, shortest)), "__start").select("__id", "__needle")
+    hits = met.join(texts, "__id").where(F.contains("__text", "__needle")).select(F.col("__text").alias(text)).distinct()
     return rows.join(hits, text, "left_semi" if keep else "left_anti")
 
 
@@ -190,21 +197,38 @@ def two_way(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def box_overlap(a: DataFrame, b: DataFrame, group: str, cell: float, dims: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Pairs of boxes (columns ``{d}0``, ``{d}1``) of one group that overlap, with intersection, IoU and GIoU.
 
-    Boxes are dealt to grid cells of the first axis, so pairs meet only where they can overlap;
-    a pair is reported by the cell in which the overlap starts.
+    Boxes are dealt to grid cells of all axes. A box longer than ``cell`` is in a grid whose
+    cells are doubled until it touches two of them an axis at most, and a shorter one is in
+    the coarser grids too that the other side has; so a wide box is few rows. A pair is
+    reported by the cell of the coarser grid in which the overlap starts.
     """
 
-    def celled(d: DataFrame, side: str) -> DataFrame:
+    def levelled(d: DataFrame, side: str) -> DataFrame:
         own = d.select(group, *(F.col(c).alias(f"{side}_{c}") for c in d.columns if c != group))
-        lo, hi = F.col(f"{side}_{dims[0]}0"), F.col(f"{side}_{dims[0]}1")
-        return own.withColumn("__cell", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
+        longest = F.greatest(F.lit(0.0), *(F.col(f"{side}_{x}1") - F.col(f"{side}_{x}0") for x in dims))
+        return own.withColumn(f"__l{side}", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest / cell, F.lit(1.0))))).cast("int"))
+
+    left, right = levelled(a, "a"), levelled(b, "b")
+    # A level is a power of two of extents, so there are few.
+    levels = sorted({r[0] for d, c in ((left, "__la"), (right, "__lb")) for r in d.select(c).distinct().collect() if r[0] is not None})
+
+    def celled(d: DataFrame, side: str) -> DataFrame:
+        d = d.withColumn("__level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col(f"__l{side}"))))
+        for x in dims:
+            size = cell * F.pow(F.lit(2.0), F.col("__level").cast("double"))
+            low, high = F.floor(F.col(f"{side}_{x}0") / size), F.floor(F.col(f"{side}_{x}1") / size)
+            d = d.withColumn(f"__c{x}", F.explode(F.when(low <= high, F.sequence(low, high))))
+        return d
 
     def edge(d: str, f, k: int) -> Column:
         return f(F.col(f"a_{d}{k}"), F.col(f"b_{d}{k}"))
 
-    pairs = celled(a, "a").join(celled(b, "b"), [group, "__cell"])
-    start = edge(dims[0], F.greatest, 0)
-    pairs = pairs.where(F.floor(start / cell) == F.col("__cell")).drop("__cell")
+    if not levels:
+        levels = [0]
+    pairs = celled(left, "a").join(celled(right, "b"), [group, "__level", *(f"__c{x}" for x in dims)])
+    size = cell * F.pow(F.lit(2.0), F.col("__level").cast("double"))
+    first = reduce(lambda x, y: x & y, [F.floor(edge(d, F.greatest, 0) / size) == F.col(f"__c{d}") for d in dims])
+    pairs = pairs.where((F.col("__level") == F.greatest("__la", "__lb")) & first).drop("__level", "__la", "__lb", *(f"__c{x}" for x in dims))
     inter = reduce(lambda x, y: x * y, [F.greatest(F.lit(0.0), edge(d, F.least, 1) - edge(d, F.greatest, 0)) for d in dims])
     hull = reduce(lambda x, y: x * y, [edge(d, F.greatest, 1) - edge(d, F.least, 0) for d in dims])
 

@@ -30,27 +30,14 @@ def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return reduce(Column.__and__, [a[n].eqNullSafe(b[f"o_{n}"]) for n in names], F.lit(True))
 
 
-def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """(group, share, value): interpolated between the two nearest ranks, for every share of every group."""
-    names = [f"__g{i}" for i in range(len(group))]
-    others = [f"o_{n}" for n in names]
-    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
-    v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-LARGEST)), F.lit(LARGEST)))
-    rows = df.select(*(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), v.alias("__v")).withColumn("__all", F.lit(0))
-    keys = [*names, "__all"]
-    groups = written(rows.groupBy(*keys).agg(F.count("__v").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")))
-    rows = rows.where("__v IS NOT NULL")
-    # The two ranks that a share falls between, counted from 0.
-    wanted = groups.where("n > 0").select(*keys, "n", "low", "high", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share"))
-    at = F.col("share") * (F.col("n") - 1)
-    ranks = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
-    open_ = written(wanted.select(*keys, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"), "low", "high").distinct())
+def _selected(rows: DataFrame, keys: Sequence[str], open_: DataFrame) -> DataFrame:
+    """(keys, rank, found, before) for ``open_`` (keys, rank, before, low, high): the value of each wanted rank, and how many are below it."""
     done = []
     while True:
-        done.append(open_.where("low = high").select(*keys, "rank", F.col("low").alias("found")))
+        done.append(open_.where("low = high").select(*keys, "rank", F.col("low").alias("found"), "before"))
         open_ = open_.where("low < high")
         if open_.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, done)
         spans = open_.select(*(F.col(k).alias(f"o_{k}") for k in keys), "before", "low", "high").distinct()
         inside = rows.join(spans, _same(rows, spans, keys) & F.col("__v").between(F.col("low"), F.col("high")))
         share = (F.col("__v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
@@ -61,7 +48,33 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[
         counts = counts.withColumn("new_before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumnRenamed("before", "o_before")
         hit = _same(open_, counts, keys) & (F.col("before") == F.col("o_before")) & (F.col("rank") >= F.col("new_before")) & (F.col("rank") < F.col("new_before") + F.col("n"))
         open_ = written(open_.join(counts, hit).select(*keys, "rank", F.col("new_before").alias("before"), F.col("new_low").alias("low"), F.col("new_high").alias("high")))
-    found = reduce(DataFrame.unionByName, done)
+
+
+def nth(df: DataFrame, value: str, rank: int) -> tuple[float, int]:
+    """The value of a rank, counted from 0 in rising order of the finite values of a column, and how many are below it."""
+    rows = df.select(F.col(value).cast("double").alias("__v"), F.lit(0).alias("__all")).where("__v IS NOT NULL")
+    ends = rows.agg(F.min("__v"), F.max("__v"), F.count("*")).first()
+    if not 0 <= rank < ends[2]:
+        raise ValueError(f"there is no rank {rank} among {ends[2]} values")
+    wanted = df.sparkSession.createDataFrame([(0, rank, 0, ends[0], ends[1])], "__all int, rank long, before long, low double, high double")
+    row = _selected(rows, ["__all"], wanted).first()
+    return row["found"], row["before"]
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(group, share, value): interpolated between the two nearest ranks, for every share of every group."""
+    names = [f"__g{i}" for i in range(len(group))]
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-LARGEST)), F.lit(LARGEST)))
+    rows = df.select(*(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), v.alias("__v")).withColumn("__all", F.lit(0))
+    keys = [*names, "__all"]
+    groups = written(rows.groupBy(*keys).agg(F.count("__v").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")))
+    # The two ranks that a share falls between, counted from 0.
+    wanted = groups.where("n > 0").select(*keys, "n", "low", "high", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share"))
+    at = F.col("share") * (F.col("n") - 1)
+    ranks = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    open_ = written(wanted.select(*keys, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"), "low", "high").distinct())
+    found = _selected(rows.where("__v IS NOT NULL"), keys, open_).drop("before")
     found = found.withColumn("found", F.when(F.col("found") == LARGEST, float("inf")).when(F.col("found") == -LARGEST, float("-inf")).otherwise(F.col("found")))
     asked = groups.select(*keys, "n", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share"))
     at = F.col("share") * (F.col("n") - 1)

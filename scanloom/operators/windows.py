@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.scalars import hash_score, padded
 
-from .joins import numbered
+from .joins import numbered, numbered_within
+from .ranks import nth
 
 
 def surrogate_ids(df: DataFrame, order: Sequence[Column | str], prefix: str, name: str, width: int = 6, first: int = 1) -> DataFrame:
@@ -23,14 +24,20 @@ def surrogate_ids(df: DataFrame, order: Sequence[Column | str], prefix: str, nam
 def hash_split(df: DataFrame, key: str, seed: int, share: float, held: str = "val", other: str = "train") -> DataFrame:
     """The round(n * share) ids of the smallest (score, id) are held out.
 
-    Python's half-even rounding; the cut is found by numbering the narrow scores,
-    so the split doesn't depend on partitions.
+    Python's half-even rounding. The cut's score is found by rank selection, and of equal
+    scores at the cut the smallest ids; so the split doesn't depend on partitions, and no
+    row is sorted.
     """
     scored = df.withColumn("score", hash_score(key, seed))
     n = scored.count()
-    take = scored.sparkSession.range(1).select(F.bround(F.lit(n * share)).alias("k")).first()["k"]
-    ranks = numbered(scored.select(key, "score"), ["score", key], "__rank").select(key, (F.col("__rank") < take).alias("__held"))
-    return scored.join(ranks, key).withColumn("split", F.when(F.col("__held"), held).otherwise(other)).drop("__held")
+    take = int(scored.sparkSession.range(1).select(F.bround(F.lit(n * share)).alias("k")).first()["k"]) if n else 0
+    if take <= 0 or take >= n:
+        return scored.withColumn("split", F.lit(held if take else other))
+    cut, below = nth(scored, "score", take - 1)
+    last = numbered(scored.where(F.col("score") == cut).select(key), [key], "__rank").where(F.col("__rank") < take - below).select(F.col(key).alias("__key"))
+    marked = scored.join(last.distinct().withColumn("__last", F.lit(True)), (F.col("score") == cut) & (F.col(key) == F.col("__key")), "left")
+    is_held = (F.col("score") < cut) | F.coalesce("__last", F.lit(False))
+    return marked.withColumn("split", F.when(is_held, held).otherwise(other)).drop("__key", "__last")
 
 
 def locked_split(df: DataFrame, legacy: DataFrame, key: str, seed: int, share: float) -> DataFrame:
@@ -60,13 +67,14 @@ def ratio_parts(df: DataFrame, order: Sequence[str], ratios: Sequence[float]) ->
 
 
 def stratified_parts(df: DataFrame, by: str, order: Sequence[str], ratios: Sequence[float]) -> DataFrame:
-    """As above within each class."""
-    own = Window.partitionBy(by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(by))
+    """As above within each class; ranges of a class are numbered apart."""
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    rows = numbered_within(df, [by], order, "__nth")
+    rows = rows.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
     total, c = sum(ratios), F.lit(len(ratios) - 1)
     for i in range(len(ratios) - 2, -1, -1):
-        c = F.when(F.col("__nth") <= F.floor(n * (sum(ratios[: i + 1]) / total) + 0.5), i).otherwise(c)
-    return df.withColumn("__nth", F.row_number().over(own)).withColumn("part", c).drop("__nth")
+        c = F.when(F.col("__nth") < F.floor(F.col("__n") * (sum(ratios[: i + 1]) / total) + 0.5), i).otherwise(c)
+    return rows.withColumn("part", c).drop("__nth", "__by", "__n")
 
 
 def prefer(df: DataFrame, key: str, good: Column, order: Sequence[Column | str]) -> DataFrame:
@@ -76,9 +84,8 @@ def prefer(df: DataFrame, key: str, good: Column, order: Sequence[Column | str])
 
 
 def mean_rank(df: DataFrame, item: str, dataset: str, value: str) -> DataFrame:
-    """Each item's ordinal rank by falling value in each dataset (from 0), averaged."""
-    w = Window.partitionBy(dataset).orderBy(F.desc(value), item)
-    return df.withColumn("rank", F.row_number().over(w) - 1).groupBy(item).agg(F.avg("rank").alias("mean_rank"))
+    """Each item's ordinal rank by falling value in each dataset (from 0), averaged; ranges of a dataset are numbered apart."""
+    return numbered_within(df, [dataset], [F.desc(value), item], "rank").groupBy(item).agg(F.avg("rank").alias("mean_rank"))
 
 
 def best_key(df: DataFrame, key: str, score: str, order: str) -> DataFrame:

@@ -43,11 +43,11 @@ def json_lines(spark, d):
 
 @register("s10_split_documents", "SELECT CAST(0 AS INTEGER) AS fold, CASE WHEN p_partkey % 10 = 0 THEN 'val' ELSE 'train' END AS split, CAST(p_partkey AS VARCHAR) AS id FROM part")
 def split_documents(spark, d):
-    """One document for each brand, since a document has to fit a row."""
+    """A document for each brand and 5,000 numbers of parts, since a document has to fit a row."""
     path = fresh_folder(spark, "split")
     p = table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string"))
     ids = lambda ok: F.collect_list(F.when(ok, F.col("id")))
-    docs = p.groupBy("p_brand").agg(ids(F.col("p_partkey") % 10 != 0).alias("train"), ids(F.col("p_partkey") % 10 == 0).alias("val"))
+    docs = p.groupBy("p_brand", F.floor(F.col("p_partkey") / 5000)).agg(ids(F.col("p_partkey") % 10 != 0).alias("train"), ids(F.col("p_partkey") % 10 == 0).alias("val"))
     docs.select(F.to_json(F.struct("train", "val")).alias("value")).write.text(path)
     return tables.split_documents(spark.read.text(path))
 
@@ -59,7 +59,7 @@ def datalist(spark, d):
     record = F.struct(F.concat(k, F.lit(".nii")).alias("image"), F.concat(k, F.lit("-seg.nii")).alias("label"), F.when(F.col("p_partkey") % 6 != 5, F.col("p_partkey") % 5).alias("fold"))
     docs = table(spark, d, "part").withColumn("fold5", F.col("p_partkey") % 5).withColumn("r", record)
     docs = docs.withColumn("r", F.when(F.col("fold5") == 2, F.col("r").withField("fold", F.lit(2).cast("long"))).otherwise(F.col("r")))
-    docs.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list("r").alias("training"))).alias("value")).select("value").write.text(path)
+    docs.groupBy("p_brand", F.floor(F.col("p_partkey") / 5000)).agg(F.to_json(F.struct(F.collect_list("r").alias("training"))).alias("value")).select("value").write.text(path)
     train, val = tables.fold_parts(tables.datalist(spark.read.text(path), "training", "/data"), 2)
     own = ["image", "label"]
     return train.select(*own, F.lit("train").alias("split")).union(val.select(*own, F.lit("val").alias("split")))

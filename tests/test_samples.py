@@ -240,3 +240,44 @@ def test_report_files(spark, tmp_path):
     summary = {r["class"]: r for r in back("summary")}
     assert set(summary) == {"x", "y", "mean"} and float(summary["mean"]["mean"]) == 3.5 and summary["x"]["notnans"] == "1"
     assert float(back("overall")[0]["dice"]) == 3.5 and len(back("raw")) == 6
+
+
+def test_boxes_of_all_sizes_overlap(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), k, x, x + w, y, y + h) for k in range(150) for x, y in [(rng.uniform(-50, 50), rng.uniform(-50, 50))] for w, h in [(10 ** rng.uniform(-2, 4), 10 ** rng.uniform(-2, 2))]]
+    df = spark.createDataFrame([*rows, ("a", 999, None, 1.0, 0.0, 1.0)], "g string, i long, x0 double, x1 double, y0 double, y1 double")
+    got = {(r["a_i"], r["b_i"]): r["inter"] for r in joins.box_overlap(df, df, "g", 4.0, ("x", "y")).collect()}
+    want = {}
+    for p in rows:
+        for q in rows:
+            inter = max(0.0, min(p[3], q[3]) - max(p[2], q[2])) * max(0.0, min(p[5], q[5]) - max(p[4], q[4]))
+            if p[0] == q[0] and inter > 0:
+                want[p[1], q[1]] = inter
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    assert joins.box_overlap(df.limit(0), df, "g", 4.0, ("x", "y")).collect() == []
+
+
+def test_texts_that_hold_a_needle(spark):
+    texts = ["abc", "xabcx", "ab", None, "", "zz", "bcd", "ünder", "aaaa", "abc"]
+    needles = ["abc", "ün", "aaaaa", "", None, "zz", "q"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    asked = spark.createDataFrame([(n,) for n in needles], "n string")
+    holds = {k for k, t in enumerate(texts) if t and any(n and n in t for n in needles)}
+    assert {r["k"] for r in joins.containing(rows, "t", asked, "n", keep=True).collect()} == holds
+    assert {r["k"] for r in joins.containing(rows, "t", asked, "n").collect()} == set(range(len(texts))) - holds
+    assert joins.containing(rows, "t", asked.limit(0), "n").count() == len(texts)
+
+
+def test_rank_of_a_value(spark):
+    from scanloom.operators import ranks, windows
+
+    values = [random.Random(8).choice([0.5, 1.5, 1e-9, -3.0]) for _ in range(200)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
+    for rank in (0, 17, 100, 199):
+        value = sorted(values)[rank]
+        assert ranks.nth(df, "v", rank) == (value, sum(v < value for v in values))
+    with pytest.raises(ValueError):
+        ranks.nth(df, "v", 200)
+    for share, n in ((0.0, 0), (0.25, 50), (1.0, 200)):
+        assert windows.hash_split(df, "k", 3, share).where("split = 'val'").count() == n
+    assert windows.hash_split(df.limit(0), "k", 3, 0.5).collect() == []
