@@ -69,12 +69,23 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "This work has been dedicated to the public domain.",
     ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GPL, version 2 or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
+    ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -85,6 +96,8 @@ TEMPLATES = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
         "Licensed under the MIT license. See LICENSE in the project root for license information.",
         "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "MIT License Copyright (c) 2020 Example Inc.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -95,13 +108,49 @@ TEMPLATES = {
         "Copyright (c) 2020 Example Inc. All rights reserved.",
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages",
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "SPDX-License-Identifier: Zlib",
+    ],
     UNKNOWN: [
         "Licensed under the terms of the license that comes with this work.",
         "See the license file for the terms of use.",
         "Use is subject to the license agreement.",
         "Distributed under a custom licence.",
+        "Permission to copy, modify and distribute this material for any purpose is hereby granted, provided that this notice is kept.",
+        "You may use, copy and share this work free of charge under the terms below.",
     ],
 }
+#: Plain prose with the words of notices, which is none.
+PROSE = [
+    "The Apache tribe and the MIT professor met under the license of the state.",
+    "The driver had lost his license and asked the officer for permission to go on.",
+    "Children under six may enter the museum free of charge on Sundays.",
+    "She had a fishing license, and the lake was open to the public.",
+    "The restaurant applied for a licence to sell wine and was granted one in May.",
+    "He wrote about copyright in the eighteenth century and the rights of authors.",
+    "The software was sold for a fee, and the source of the error was never found.",
+    "Without warning, the general opened the public meeting and read the terms of peace.",
+    "A driving licence is valid for ten years and must be renewed in person.",
+    "The creative director and the commons committee shared the work of the festival.",
+    "In the public domain of politics, no right is reserved for the few.",
+    "The library opens at nine, and every reader may copy a page for private use.",
+    "The license plate of the car was covered with mud when the police stopped it.",
+    "They were granted permission to build on the condition that the trees be kept.",
+    "The distribution of the prizes followed the conditions that the author had set.",
+    "Poetic license lets a writer modify the facts for any purpose he likes.",
+    "The GNU is a large antelope, and its public appearance in general draws a crowd.",
+    "Mozilla was the name of the mascot that the company used in its early years.",
+    "An eclipse was seen over the public square, and the program went on in the dark.",
+    "All rights of way across the field were reserved for walkers by the old law.",
+]
 
 BUCKET_BITS, GRAMS = 16, 3
 #: Windows of the corpus that stand for the class without a licence, at most, characters of one, and varied notices of a template.
@@ -111,8 +160,10 @@ SIZES = (5, 10, 20, 40)
 EPOCHS, BATCH, RATE = 6, 256, 6.0
 #: Share of a template's word pairs that confirms a claim, and that an unknown licence has at least (or it names one).
 CONFIRM, UNSURE = 0.6, 0.4
-#: Share of held-out windows without a licence that may be claimed.
-FALSE_CLAIMS = 0.001
+#: Share of held-out windows without a licence that may be claimed, and of prose about licences, of which every so many sentences are held out.
+FALSE_CLAIMS, FALSE_PROSE, HELD_PROSE = 0.001, 0.1, 4
+#: Bounds of the score that a claim must reach: the one for a corpus of which nothing is held out, and the one that whole notices always pass.
+LOWEST, HIGHEST = 0.05, 0.95
 #: Words of a block that is scored at once.
 BLOCK = 1 << 15
 
@@ -305,19 +356,24 @@ def train(lines: list[str], seed: int = 11) -> Model:
     lines = [lines[k] for k in clean]
     filler = [w for x in lines[:2000] for w in x.split()]
     lines = [x if rng.random() < 0.3 else " ".join(x.split()[: SIZES[rng.integers(len(SIZES))]]) for x in lines]
+    # Prose with the words of notices: a part of the sentences sets the bar and is not trained on.
+    prose = [(k, varied(rng, t, filler)) for k, t in enumerate(PROSE) for _ in range(VARIANTS)]
     families = sorted(TEMPLATES)
     rows, y, notice = [], [], []
     for k, f in enumerate(families):
         for i, t in enumerate(TEMPLATES[f]):
             own = [t] + [varied(rng, t, filler) for _ in range(VARIANTS)]
             rows, y, notice = rows + own, y + [k] * len(own), notice + [i] * len(own)
-    rows += lines
-    y, notice = np.array(y + [len(families)] * len(lines)), np.array(notice + [-1] * len(lines))
+    rows += lines + [t for _, t in prose]
+    y, notice = np.array(y + [len(families)] * (len(lines) + len(prose))), np.array(notice + [-1] * (len(lines) + len(prose)))
     word, start, end = _windows(rows)
     none = y == len(families)
+    hard = np.zeros(len(y), bool)
+    hard[len(y) - len(prose) :] = True
+    kept_prose = np.r_[np.zeros(len(y) - len(prose), bool), [k % HELD_PROSE == 0 for k, _ in prose]]
     # Held out: a fifth of the windows without a licence, for both models; one notice of
     # each family that has several, for the one that sets the temperature.
-    test = none & (rng.random(len(y)) < 0.2)
+    test = (none & ~hard & (rng.random(len(y)) < 0.2)) | kept_prose
     several = np.isin(y, [k for k, f in enumerate(families) if len(TEMPLATES[f]) > 2])
     apart = several & (notice == 1)
     mine = ~test & ~apart
@@ -332,8 +388,12 @@ def train(lines: list[str], seed: int = 11) -> Model:
 
     heat = float(min(np.geomspace(0.2, 10, 40), key=loss))
     model = Model(families, *_fit(len(families), word, start[~test], end[~test], y[~test], rng), heat)
-    claimed = 1 - model.softmax(model.logits(word, start[test], end[test]))[:, -1] if test.any() else np.zeros(1)
-    model.least = float(np.clip(np.quantile(claimed, 1 - FALSE_CLAIMS), 0.5, 0.95))
+    bars = [LOWEST]
+    for some, share in ((test & ~hard, FALSE_CLAIMS), (kept_prose, FALSE_PROSE)):
+        if some.any():
+            claimed = 1 - model.softmax(model.logits(word, start[some], end[some]))[:, -1]
+            bars.append(float(np.quantile(claimed, 1 - share)))
+    model.least = min(max(bars), HIGHEST)
     return model
 
 

@@ -509,3 +509,34 @@ def test_a_title_before_the_text():
 def test_signs_that_are_no_letters_have_no_language():
     assert not any(langid.LETTER.search(t) for t in ("½ ² ① Ⅷ", "12 _ ٣ —", "", " "))
     assert all(langid.LETTER.search(t) for t in ("ª", "½ a", "ß", "中", "あ"))
+
+
+def test_file_heads_grants_and_prose_about_licences(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licenses.fit(rows)
+    heads = {
+        "The MIT License (MIT)": {"mit"},
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": {"isc"},
+        "This is free and unencumbered software released into the public domain.": {"unlicense"},
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which is available at": {"epl"},
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable": {"zlib"},
+        "You may copy, modify and distribute this document free of charge under the terms of the Example Documentation License.": {"unknown"},
+        "Licensed under the EUPL, see the license terms.": {"unknown"},
+        "Licensed under the Apache License, Version 2.0.": {"apache"},
+        "SPDX-License-Identifier: MIT": {"mit"},
+        "# Copyright (c) 2011 Jane Doe\n# All rights reserved.": {"reserved"},
+    }
+    got = {text: {f[4] for f in licenses.findings(model, [text])[0]} for text in heads}
+    assert got == heads
+    prose = [
+        "The Apache tribe and the MIT professor met under the license of the state.",
+        "My brother got his license last week and may drive free of charge on the old bridge.",
+        "The committee gave permission for the work, and the public paid no fee.",
+        "Copyright was a new idea, and the general public had little use for it.",
+        "The bar lost its licence after the third complaint about the noise.",
+        "Visitors may use the software at the desk without asking for permission.",
+        "In the terms of the treaty the island was reserved for the birds.",
+        "He granted them the right to fish, provided that they shared the catch.",
+    ]
+    alarms = [t for t in prose if licenses.findings(model, [t])[0]]
+    assert len(alarms) <= 1, alarms
