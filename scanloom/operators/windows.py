@@ -93,6 +93,11 @@ def best_key(df: DataFrame, key: str, score: str, order: str) -> DataFrame:
     return df.agg(F.max_by(key, F.struct(F.col(score), -F.col(order))).alias(key))
 
 
+def latest(df: DataFrame, group: Sequence[str], name: str, prefix: str) -> DataFrame:
+    """(group, latest): the last of the names with the prefix, in the order of text."""
+    return df.where(F.col(name).startswith(prefix)).groupBy(*group).agg(F.max(name).alias("latest"))
+
+
 def jitter(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Mean absolute difference of neighbours in each series."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -275,3 +275,50 @@ def missing_files(spark, d):
     there = tables.listing(spark, f"{folder}/cases", "*.nii").select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
     asked = p.select(F.concat(F.lit(f"{folder}/cases/"), k, F.lit("/image.nii")).alias("image"))
     return tables.missing_files(asked, ["image"], there).select(F.regexp_extract("path", r"(\d+)/image", 1).cast("long").alias("p_partkey"))
+
+
+@register("s7_json_objects", "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 = 0")
+def json_objects(spark, d):
+    """A file per part with one indented object; a third are objects, the others lists or broken."""
+    folder = connectors.mounted(fresh_folder(spark, "objects"))
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    document = F.to_json(F.struct("p_partkey", "p_name", "p_size"), {"pretty": "true"})
+    content = F.when(k % 3 == 0, document).when(k % 3 == 1, F.concat(F.lit("{"), document)).otherwise("[3, 4]")
+    volumes.write_volumes(p.select(F.concat(k.cast("string"), F.lit(".json")).alias("name"), F.encode(content, "UTF-8").alias("content")), folder)
+    return tables.json_object(spark, folder, "p_partkey long, p_name string, p_size int").where("p_partkey IS NOT NULL")
+
+
+@register("s25_json_sink", "SELECT event_id, event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events")
+def json_sink(spark, d):
+    path = fresh_folder(spark, "json")
+    e = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    tables.write_json(e, path)
+    return tables.json_lines(spark, path, "event_id long, event_type string, value double")
+
+
+@register("s16_parent_folders", "SELECT 'case=' || n_nationkey AS folder FROM nation WHERE n_nationkey % 3 <> 0")
+def parent_folders(spark, d):
+    """Folders that hold a volume; those with notes alone don't count."""
+    root = fresh_folder(spark, "folders")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("case"), "n_name")
+    n.where("case % 3 <> 0").select("case", "n_name").write.partitionBy("case").mode("append").text(root)
+    n.where("case % 3 = 0").write.partitionBy("case").mode("append").json(root)
+    files = tables.listing(spark, root)
+    return tables.parent_folders(files, [".txt"]).select(F.element_at(F.split("folder", "/"), -1).alias("folder"))
+
+
+@register("s13_s14_configurations", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 8 ELSE 4 END AS batch_size, CASE WHEN s_suppkey % 3 = 0 THEN 'cuda' ELSE 'cpu' END AS device, 7 AS seed FROM supplier")
+def configurations(spark, d):
+    """A registry of defaults overlaid by each run's own settings, where those are given."""
+    registry_text = "base:\n  batch_size: 4\n  device: cpu\n  seed: 7\n"
+    base = tables.yaml_records(spark, registry_text, "batch_size long, device string, seed long")
+    k = F.col("s_suppkey")
+    runs = table(spark, d, "supplier").select("s_suppkey", F.lit("base").alias("name"), F.when(k % 2 == 0, F.lit(8)).cast("long").alias("batch_size"), F.when(k % 3 == 0, "cuda").alias("device"), F.lit(None).cast("long").alias("seed"))
+    return tables.overlaid(base, runs, "name").select("s_suppkey", "batch_size", "device", "seed")
+
+
+@register("w13_latest_runs", "SELECT user_id, max('logs_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_type) AS latest FROM events WHERE event_type <> 'view' GROUP BY 1")
+def latest_runs(spark, d):
+    """Each user's last run by the name of its folder."""
+    e = table(spark, d, "events").select("user_id", F.concat(F.when(F.col("event_type") == "view", "other_").otherwise("logs_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.col("event_type")).alias("run"))
+    return w.latest(e, ["user_id"], "run", "logs_")

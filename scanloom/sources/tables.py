@@ -101,9 +101,20 @@ def yaml_records(spark: SparkSession, text: str, schema: str) -> DataFrame:
     import yaml
 
     doc = yaml.safe_load(text) or {}
-    if not isinstance(doc, dict):
+    if not isinstance(doc, dict) or not all(isinstance(v, dict) for v in doc.values()):
         raise ValueError("expected a mapping of names to records")
-    return spark.createDataFrame([{"name": k, **v} for k, v in doc.items()], f"name string, {schema}")
+    known = T.StructType.fromDDL(schema).names
+    if odd := sorted({f for v in doc.values() for f in v} - set(known)):
+        raise ValueError(f"fields that the schema doesn't have: {', '.join(odd)}")
+    return spark.createDataFrame([(k, *(v.get(f) for f in known)) for k, v in doc.items()], f"name string, {schema}")
+
+
+def overlaid(base: DataFrame, settings: DataFrame, key: str) -> DataFrame:
+    """Settings with their nulls filled from the record of ``base`` that they name; a setting that isn't null wins."""
+    shared = [c for c in base.columns if c != key and c in settings.columns]
+    own = base.groupBy(key).agg(*(F.first(c).alias(f"__{c}") for c in shared))
+    out = settings.join(own, key, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in shared})
+    return out.drop(*(f"__{c}" for c in shared))
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

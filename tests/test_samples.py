@@ -281,3 +281,14 @@ def test_rank_of_a_value(spark):
     for share, n in ((0.0, 0), (0.25, 50), (1.0, 200)):
         assert windows.hash_split(df, "k", 3, share).where("split = 'val'").count() == n
     assert windows.hash_split(df.limit(0), "k", 3, 0.5).collect() == []
+
+
+def test_registries_and_overlays(spark):
+    base = tables.yaml_records(spark, "a:\n  x: 1\n  y: u\nb:\n  y: v\n", "x long, y string")
+    assert sorted(map(tuple, base.collect())) == [("a", 1, "u"), ("b", None, "v")]
+    runs = spark.createDataFrame([(1, "a", None, "w"), (2, "a", 5, None), (3, "c", None, "z"), (4, None, None, None)], "run long, name string, x long, y string")
+    assert sorted((r["run"], r["x"], r["y"]) for r in tables.overlaid(base, runs, "name").collect()) == [(1, 1, "w"), (2, 5, "u"), (3, None, "z"), (4, None, None)]
+    for text in ("- a\n- b\n", "a: 3\n", "a:\n  z: 1\n"):
+        with pytest.raises(ValueError):
+            tables.yaml_records(spark, text, "x long, y string")
+    assert tables.yaml_records(spark, "", "x long").collect() == []
