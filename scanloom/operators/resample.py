@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.scalars import hash_score
+
 from .voxels import AXES, V
 
 #: World axes by their letters: the axis and its direction.
@@ -95,6 +97,31 @@ def spacing_plans(headers: DataFrame, spacing: Sequence[float]) -> DataFrame:
     return own.mapInPandas(run, PLAN.format(case=dict(headers.dtypes)["case"]))
 
 
+def random_plans(cases: DataFrame, shape: Sequence[int], size: Sequence[int], seed: int, prob: float = 1.0, rotate: float = 0.0, zoom: tuple[float, float] = (1.0, 1.0), translate: Sequence[float] = (0.0, 0.0, 0.0), axes: tuple[int, int] = (0, 1)) -> DataFrame:
+    """A plan for each case with a rotation, a zoom and a translation of its own, drawn by hash scores, on the share ``prob`` of the cases.
+
+    The target's centre falls on the source's; angles are up to ``rotate`` either way in the
+    plane of ``axes``, zooms between two factors, translations up to ``translate`` voxels either way.
+    """
+
+    def draw(k: int) -> Column:
+        return hash_score(F.concat_ws("::", F.col("case").cast("string"), F.lit(str(k))), seed)
+
+    on = draw(0) < prob
+    angle = F.when(on, (2 * draw(1) - 1) * rotate).otherwise(0.0)
+    scale = F.when(on, 1 / (zoom[0] + (zoom[1] - zoom[0]) * draw(2))).otherwise(1.0)
+    moved = [F.when(on, (2 * draw(3 + i) - 1) * float(t)).otherwise(0.0) for i, t in enumerate(translate)]
+    a, b = axes
+    turn = {(a, a): F.cos("__a"), (b, b): F.cos("__a"), (a, b): -F.sin("__a"), (b, a): F.sin("__a")}
+    own = cases.select("case").distinct().select("case", angle.alias("__a"), scale.alias("__s"), *(m.alias(f"__m{i}") for i, m in enumerate(moved)))
+    flat = []
+    for i in range(3):
+        row = [turn.get((i, k), F.lit(1.0 if i == k else 0.0)) * F.col("__s") for k in range(3)]
+        middle = sum((r * ((n - 1) / 2) for r, n in zip(row, size, strict=True)), F.lit(0.0))
+        flat += [*row, F.lit((shape[i] - 1) / 2) - middle + F.col(f"__m{i}")]
+    return own.select("case", *(F.array(*(F.lit(int(n)) for n in v)).alias(k) for k, v in (("shape", shape), ("size", size))), F.array(*flat).alias("matrix"))
+
+
 # -- resampling ------------------------------------------------------------------
 
 
@@ -140,6 +167,21 @@ def resized(df: DataFrame, shape: Sequence[int], size: Sequence[int], mode: str
     return resampled(df, one_plan(df, shape, size, zoom_matrix(shape, size, align_corners)), mode)
 
 
+def smooth_field(cases: DataFrame, coarse: Sequence[int], shape: Sequence[int], seed: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(case, x, y, z, value): numbers drawn on a coarse grid for each case and interpolated between its voxels."""
+    grid = cases.select("case").distinct()
+    for a, n in zip(AXES, coarse, strict=True):
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    drawn = hash_score(F.concat_ws("::", *(F.col(c).cast("string") for c in ("case", *AXES))), seed)
+    return resized(grid.withColumn(V, low + (high - low) * drawn), coarse, shape, align_corners=True)
+
+
+def field_adjusted(df: DataFrame, field: DataFrame) -> DataFrame:
+    """Values times the field's, where it has one."""
+    f = field.select("case", *AXES, F.col(V).alias("__f"))
+    return df.join(f, ["case", *AXES], "left").withColumn(V, F.col(V) * F.coalesce("__f", F.lit(1.0))).drop("__f")
+
+
 # -- orientation -----------------------------------------------------------------
 
 

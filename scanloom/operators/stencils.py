@@ -155,6 +155,18 @@ def ms_ssim(df: DataFrame, shape: Sequence[int], a: str, b: str, axes: Sequence[
     return parts.groupBy("case").agg(product.alias("ms_ssim"))
 
 
+def sobel_gradients(df: DataFrame, shape: Sequence[int], axes: Sequence[str] = AXES) -> DataFrame:
+    """(case, place, a ``g_`` column per axis): half the difference of both neighbours along the axis, smoothed along the others; end voxels are repeated."""
+    own = df.select("case", *axes, *(F.col(V).cast("double").alias(f"g_{a}") for a in axes))
+    for a, n in zip(axes, shape, strict=True):
+        rows = _extended(own, a, n, 1, "repeat")
+        line = Window.partitionBy("case", *(b for b in axes if b != a)).orderBy(a)
+        near = {b: (F.lag(f"g_{b}", 1, 0.0).over(line), F.col(f"g_{b}"), F.lead(f"g_{b}", 1, 0.0).over(line)) for b in axes}
+        sums = [((after - before) / 2 if a == b else (before + 2 * here + after) / 4).alias(f"g_{b}") for b, (before, here, after) in near.items()]
+        own = rows.select("case", *axes, *sums).where((F.col(a) >= 0) & (F.col(a) < n))
+    return own
+
+
 def neighbour_sums(df: DataFrame) -> DataFrame:
     """Sums over the cube of 27 voxels around every voxel of sparse rows; absent ones are 0. Neighbours meet by their places."""
     d = df.select("case", *AXES, V)

@@ -130,6 +130,44 @@ def histogram_normalise(df: DataFrame, bins: int = 256, low: float = 0.0, high:
     return changed(d.join(share, ["case", "__k"]), low + F.col("__c") / F.col("__n") * (high - low)).drop("__a", "__b", "__n", "__k", "__c")
 
 
+def otsu_thresholds(df: DataFrame, bins: int = 256) -> DataFrame:
+    """(case, threshold): the middle of the bin at which a case's histogram falls into two classes of the largest variance between them.
+
+    The first one on ties; null for a case of one value. Windows run over bins, of which a case has ``bins``.
+    """
+    d = with_stats(df.where(F.col(V).isNotNull() & ~F.isnan(V)), {"__a": F.min(V), "__b": F.max(V)}).where("__b > __a")
+    width = (F.col("__b") - F.col("__a")) / bins
+    at = F.least(F.floor((F.col(V) - F.col("__a")) / width), F.lit(bins - 1))
+    h = d.groupBy("case", at.alias("k")).agg(F.count("*").alias("n"), F.first("__a").alias("a"), F.first(width).alias("w"))
+    h = h.withColumn("c", F.col("a") + (F.col("k") + 0.5) * F.col("w"))
+    so_far = Window.partitionBy("case").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rest = Window.partitionBy("case").orderBy("k").rowsBetween(1, Window.unboundedFollowing)
+    n0, n1 = F.sum("n").over(so_far), F.sum("n").over(rest)
+    m0, m1 = F.sum(F.col("n") * F.col("c")).over(so_far) / n0, F.sum(F.col("n") * F.col("c")).over(rest) / n1
+    split = h.withColumn("between", n0.cast("double") * n1 * F.pow(m0 - m1, 2)).where("between IS NOT NULL")
+    best = split.groupBy("case").agg(F.max_by("c", F.struct("between", -F.col("k"))).alias("threshold"))
+    return df.select("case").distinct().join(best, "case", "left")
+
+
+def foreground_mask(df: DataFrame, bins: int = 256, darker: bool = True) -> DataFrame:
+    """1 where a voxel is on the dark (or bright) side of its case's threshold, else 0."""
+    t = F.col("threshold")
+    return changed(df.join(otsu_thresholds(df, bins), "case"), F.when(F.col(V) < t if darker else F.col(V) > t, 1.0).otherwise(0.0)).drop("threshold")
+
+
+def remapped(df: DataFrame, points: Sequence[tuple[float, float]]) -> DataFrame:
+    """Values by a line through control points (from, to) in rising order, level beyond the first and last."""
+    v, out = F.col(V), F.lit(float(points[-1][1]))
+    for (x0, y0), (x1, y1) in list(zip(points[:-1], points[1:], strict=True))[::-1]:
+        out = F.when(v < x1, y0 + (v - x0) / (x1 - x0) * (y1 - y0)).otherwise(out)
+    return changed(df, F.when(v <= points[0][0], float(points[0][1])).otherwise(out))
+
+
+def with_coordinates(df: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """Adds ``c_`` columns: each place from -0.5 to 0.5 along its axis."""
+    return df.withColumns({f"c_{a}": F.col(a) / max(n - 1, 1) - 0.5 for a, n in zip(AXES, shape, strict=True)})
+
+
 def bias_field(df: DataFrame, shape: Sequence[int], coefficients: Sequence[float]) -> DataFrame:
     """Times exp of a linear field over each axis scaled to [-1, 1]."""
     field = sum((c * (2 * F.col(a) / max(n - 1, 1) - 1) for c, a, n in zip(coefficients, AXES, shape, strict=True)), F.lit(0.0))
@@ -385,6 +423,38 @@ def signal_median(c: Column, radius: int) -> Column:
     return F.when(n == 0, c).otherwise(F.transform(F.sequence(F.lit(1), n), at))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of an array that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def signal_wave(c: Column, magnitude: float, frequency: float, square: bool = False, start: float = 0.0, share: float = 1.0) -> Column:
+    """A sine (or square pulse) of some periods over the array's length added to it, over a ``share`` of the places from ``start`` on."""
+
+    def added(own: Column) -> Column:
+        n = F.size(own)
+
+        def at(x: Column, i: Column) -> Column:
+            wave = F.sin(2 * np.pi * frequency * i / n)
+            wave = F.when(wave > 0, 1.0).when(wave < 0, -1.0).otherwise(0.0) if square else wave
+            first = F.floor(start * n)
+            return x + F.when((i >= first) & (i < first + F.ceil(share * n)), wave * magnitude).otherwise(0.0)
+
+        return F.transform(own, at)
+
+    return _once(c, added)
+
+
+def signal_drop(c: Column, start: float, share: float) -> Column:
+    """0 over a ``share`` of the places from ``start`` on, both as parts of the length."""
+
+    def dropped(own: Column) -> Column:
+        first = F.floor(start * F.size(own))
+        return F.transform(own, lambda x, i: F.when((i >= first) & (i < first + F.ceil(share * F.size(own))), 0.0).otherwise(x))
+
+    return _once(c, dropped)
+
+
 def mix(a: Column, b: Column, share: float) -> Column:
     return F.zip_with(a, b, lambda x, y: share * x + (1 - share) * y)
 

@@ -318,3 +318,91 @@ def instance_maps(spark, d):
 )
 def extreme_points(spark, d):
     return fields.extreme_points(labels(spark, d, 0.01))
+
+
+# -- drawn transforms ------------------------------------------------------------
+
+
+def _draw(key: str, k: object, seed: int) -> str:
+    return f"(('0x' || substr(sha256('{seed}::' || {key} || '::' || {k}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+
+
+
+@register(
+    "v_random_affine",
+    f"""WITH s AS ({_E}), d AS (SELECT vec_id AS "case", CASE WHEN {_draw("vec_id", 0, 21)} < 0.7 THEN (2 * {_draw("vec_id", 1, 21)} - 1) * 0.6 ELSE 0 END AS a, CASE WHEN {_draw("vec_id", 0, 21)} < 0.7 THEN 1 / (0.8 + 0.4 * {_draw("vec_id", 2, 21)}) ELSE 1 END AS k,
+  CASE WHEN {_draw("vec_id", 0, 21)} < 0.7 THEN (2 * {_draw("vec_id", 3, 21)} - 1) * 0.5 ELSE 0 END AS m FROM embeddings),
+t AS (SELECT "case", tx, ty, tz, round(least(greatest(k * cos(a) * tx - k * sin(a) * ty + 1.5 - 1.5 * (k * cos(a) - k * sin(a)) + m, 0), 3), 9) AS px,
+  round(least(greatest(k * sin(a) * tx + k * cos(a) * ty + 1.5 - 1.5 * (k * sin(a) + k * cos(a)), 0), 3), 9) AS py, round(least(greatest(k * tz + 1.5 - 1.5 * k, 0), 3), 9) AS pz FROM d, range(4) a1(tx), range(4) b1(ty), range(4) c1(tz)),
+c AS (SELECT "case", tx, ty, tz, floor(px)::BIGINT + i AS x, floor(py)::BIGINT + j AS y, floor(pz)::BIGINT + l AS z,
+  (1 - abs(px - floor(px) - i)) * (1 - abs(py - floor(py) - j)) * (1 - abs(pz - floor(pz) - l)) AS w FROM t, range(2) a2(i), range(2) b2(j), range(2) c2(l))
+SELECT "case", tx AS x, ty AS y, tz AS z, round(sum(w * value), 5) + 0 AS value FROM c JOIN s USING ("case", x, y, z) WHERE w > 0 GROUP BY ALL""",
+)
+def random_affine(spark, d):
+    e = volumes(spark, d)
+    plan = resample.random_plans(table(spark, d, "embeddings").select(F.col("vec_id").alias("case")), SHAPE, SHAPE, 21, 0.7, 0.6, (0.8, 1.2), (0.5, 0.0, 0.0))
+    return _rounded(resample.resampled(e, plan))
+
+
+@register(
+    "v_smooth_field",
+    f"""WITH s AS ({_E}), g AS (SELECT vec_id AS "case", x, y, z, 0.5 + {_draw("vec_id", "x || '::' || y || '::' || z", 4)} AS f FROM embeddings, range(2) a(x), range(2) b(y), range(2) c(z)),
+f AS (SELECT s."case", s.x, s.y, s.z, sum((CASE WHEN g.x = 1 THEN s.x / 3 ELSE 1 - s.x / 3 END) * (CASE WHEN g.y = 1 THEN s.y / 3 ELSE 1 - s.y / 3 END) * (CASE WHEN g.z = 1 THEN s.z / 3 ELSE 1 - s.z / 3 END) * f) AS f FROM s JOIN g ON g."case" = s."case" GROUP BY ALL)
+SELECT "case", x, y, z, round(value * f, 5) + 0 AS value FROM s JOIN f USING ("case", x, y, z)""",
+)
+def smooth_field(spark, d):
+    e = volumes(spark, d)
+    return _rounded(resample.field_adjusted(e, resample.smooth_field(e, (2, 2, 2), SHAPE, 4, 0.5, 1.5)))
+
+
+def _sobel_sql(axis):
+    """Sums along one axis after the other, over places held inside the volume."""
+    source = f"SELECT * FROM ({_E})"
+    for a in "xyz":
+        weights = [(-1, -0.5), (1, 0.5)] if a == axis else [(-1, 0.25), (0, 0.5), (1, 0.25)]
+        values = ", ".join(f"({k}, {w}::DOUBLE)" for k, w in weights)
+        own = ", ".join(f"greatest(least({b} + k, 3), 0) AS s{b}" if a == b else f"{b} AS s{b}" for b in "xyz")
+        source = f"""SELECT g."case", g.x, g.y, g.z, sum(g.w * s.value) AS value FROM (SELECT *, {own} FROM ({source}), (SELECT * FROM (VALUES {values}) t(k, w))) g
+  JOIN ({source}) s ON s."case" = g."case" AND s.x = g.sx AND s.y = g.sy AND s.z = g.sz GROUP BY ALL"""
+    return source
+
+
+@register(
+    "v_sobel_gradients",
+    "SELECT * FROM " + " JOIN ".join(f'(SELECT "case", x, y, z, round(value, 5) + 0 AS g_{a} FROM ({_sobel_sql(a)}))' + ("" if a == "x" else ' USING ("case", x, y, z)') for a in "xyz"),
+)
+def sobel(spark, d):
+    g = stencils.sobel_gradients(volumes(spark, d), SHAPE)
+    return g.select("case", "x", "y", "z", *(F.round(f"g_{a}", 5).alias(f"g_{a}") for a in v.AXES))
+
+
+@register(
+    "v_foreground_mask",
+    f"""WITH s AS ({_E}), m AS (SELECT "case", min(value) AS a, (max(value) - min(value)) / 16 AS w FROM s GROUP BY 1), h AS (SELECT "case", least(floor((value - a) / w), 15) AS k, count(*) AS n, any_value(a) AS a, any_value(w) AS w FROM s JOIN m USING ("case") GROUP BY 1, 2),
+c AS (SELECT *, a + (k + 0.5) * w AS c FROM h), b AS (SELECT "case", k, c, sum(n) OVER o AS n0, sum(n * c) OVER o AS s0, sum(n) OVER r AS n1, sum(n * c) OVER r AS s1 FROM c WINDOW o AS (PARTITION BY "case" ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (PARTITION BY "case" ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT "case", c AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY n0 * n1 * pow(s0 / n0 - s1 / n1, 2) DESC, k) AS r FROM b WHERE n1 IS NOT NULL) WHERE r = 1)
+SELECT "case", x, y, z, CASE WHEN value < threshold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM s JOIN t USING ("case")""",
+)
+def foreground_mask(spark, d):
+    return _rounded(v.foreground_mask(volumes(spark, d), 16))
+
+
+@register("v_remapped", f'SELECT "case", x, y, z, round(CASE WHEN value <= -0.2 THEN -1 WHEN value < 0 THEN -1 + (value + 0.2) / 0.2 WHEN value < 0.1 THEN value / 0.1 * 3 ELSE 3 END, 5) + 0 AS value, round(x / 3 - 0.5, 5) + 0 AS c_x FROM ({_E})')
+def remapped(spark, d):
+    e = v.with_coordinates(v.remapped(volumes(spark, d), [(-0.2, -1.0), (0.0, 0.0), (0.1, 3.0)]), SHAPE)
+    return e.select("case", "x", "y", "z", F.round("value", 5).alias("value"), F.round("c_x", 5).alias("c_x"))
+
+
+_ARRAY = "SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS s FROM embeddings"
+
+
+@register(
+    "f24_signal_waves",
+    f"""SELECT vec_id, i AS place, round(CASE WHEN i >= 20 AND i < 27 THEN 0 ELSE s[i + 1] + 0.3 * sin(2 * pi() * 3 * i / 64) + CASE WHEN i >= 16 AND i < 32 THEN 0.2 * CASE WHEN sin(2 * pi() * 5 * i / 64) > 0 THEN 1 WHEN sin(2 * pi() * 5 * i / 64) < 0 THEN -1 ELSE 0 END ELSE 0 END END, 4) + 0 AS v
+FROM ({_ARRAY}), range(64) t(i)""",
+)
+def signal_waves(spark, d):
+    """A sine, a square pulse over a quarter, and a stretch dropped."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
+    s = v.signal_drop(v.signal_wave(v.signal_wave(F.col("s"), 0.3, 3.0), 0.2, 5.0, True, 0.25, 0.25), 0.3125, 0.1)
+    return e.select("vec_id", F.posexplode(s).alias("place", "v")).select("vec_id", F.col("place").cast("long"), F.round("v", 4).alias("v"))

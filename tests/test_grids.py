@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.operators import fields, ranks, resample, stencils, suppression
+from scanloom.operators import fields, ranks, resample, stencils, suppression, voxels
 from scanloom.plans import grids
 
 VOX = "case string, x long, y long, z long, value double"
@@ -384,3 +384,67 @@ def test_peaks_of_the_query_are_those_of_brute_force(spark, sf_dir):
     top = li.assign(x=li.l_partkey % 40, y=li.l_quantity.astype(int)).groupby(["l_suppkey", "x", "y"]).l_discount.max()
     got = [tuple(r) for r in grids.peaks(spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == peaks_by_hand([(*map(int, k), float(v)) for k, v in top.items()], 0.05, 5)
+
+
+# -- drawn transforms and masks --------------------------------------------------
+
+
+def test_random_plans_are_affine_about_the_centre(spark):
+    cases = spark.createDataFrame([(f"c{k}",) for k in range(60)], "case string")
+    plan = resample.random_plans(cases, (9, 7, 5), (5, 7, 9), 3, 0.5, 0.4, (0.5, 2.0), (1.0, 0.0, 0.0))
+    same = 0
+    for r in plan.collect():
+        m = np.array(r["matrix"]).reshape(3, 4)
+        scale = np.cbrt(np.linalg.det(m[:, :3]))
+        turn = m[:, :3] / scale
+        assert np.allclose(turn @ turn.T, np.eye(3)) and 0.5 <= 1 / scale <= 2 and abs(np.arctan2(turn[1, 0], turn[0, 0])) <= 0.4
+        centre = m @ [2, 3, 4, 1] - [4, 3, 2]
+        assert abs(centre[0]) <= 1 and np.allclose(centre[1:], 0)
+        same += np.allclose(m[:, :3], np.eye(3)) and abs(centre[0]) < 1e-12
+    assert 15 <= same <= 45
+    again = {r["case"]: r["matrix"] for r in resample.random_plans(cases.repartition(7), (9, 7, 5), (5, 7, 9), 3, 0.5, 0.4, (0.5, 2.0), (1.0, 0.0, 0.0)).collect()}
+    assert again == {r["case"]: r["matrix"] for r in plan.collect()}
+
+
+def test_smooth_fields_lie_between_their_corners(spark):
+    df = frame(spark, rows("a", np.ones((5, 5, 3))))
+    f = array(resample.smooth_field(df, (2, 3, 1), (5, 5, 3), 1, 2.0, 4.0), "a", (5, 5, 3))
+    assert f.min() >= 2 and f.max() <= 4 and np.allclose(f[2], (f[0] + f[4]) / 2) and np.allclose(f[:, 1], (f[:, 0] + f[:, 2]) / 2)
+    assert np.allclose(array(resample.field_adjusted(df, resample.smooth_field(df, (2, 3, 1), (5, 5, 3), 1, 2.0, 4.0)), "a", (5, 5, 3)), f)
+
+
+def test_sobel_gradients(spark):
+    a = np.random.default_rng(13).normal(size=(5, 4, 6))
+    got = stencils.sobel_gradients(frame(spark, rows("a", a)), a.shape)
+    for k, axis in enumerate("xyz"):
+        want = a
+        for j in range(3):
+            want = along(want, [-0.5, 0, 0.5] if j == k else [0.25, 0.5, 0.25], j, "repeat")
+        assert np.allclose(array(got, "a", a.shape, f"g_{axis}"), want)
+
+
+def test_thresholds_between_two_classes(spark):
+    rng = np.random.default_rng(14)
+    low, high = rng.normal(0, 0.3, 200), rng.normal(5, 0.3, 100)
+    data = [("a", k, 0, 0, float(v)) for k, v in enumerate(np.r_[low, high])] + [("flat", k, 0, 0, 1.0) for k in range(4)] + [("a", 900, 0, 0, None), ("a", 901, 0, 0, math.nan)]
+    df = frame(spark, data)
+    t = {r["case"]: r["threshold"] for r in voxels.otsu_thresholds(df).collect()}
+    counts, edges = np.histogram(np.r_[low, high], 256)
+    c = (edges[1:] + edges[:-1]) / 2
+    w0, w1 = np.cumsum(counts)[:-1], np.cumsum(counts[::-1])[::-1][1:]
+    m0, m1 = np.cumsum(counts * c)[:-1] / w0, np.cumsum((counts * c)[::-1])[::-1][1:] / w1
+    best = w0 * w1 * (m0 - m1) ** 2
+    assert t["flat"] is None and best[np.argmin(np.abs(c[:-1] - t["a"]))] > 0.999 * best.max()
+    mask = {r["x"]: r["value"] for r in voxels.foreground_mask(df).where("case = 'a'").collect()}
+    assert [mask[k] for k in range(300)] == [1.0] * 200 + [0.0] * 100
+
+
+def test_lines_through_points_and_waves(spark):
+    df = frame(spark, [("a", k, 0, 0, float(k)) for k in range(-3, 9)])
+    got = {r["x"]: r["value"] for r in voxels.remapped(df, [(0, 1.0), (2, 5.0), (6, 4.0)]).collect()}
+    assert all(math.isclose(got[k], np.interp(k, [0, 2, 6], [1, 5, 4])) for k in got)
+    df = spark.createDataFrame([(1, [0.0] * 8), (2, []), (3, None)], "k long, s array<double>")
+    got = {r["k"]: r["s"] for r in df.select("k", voxels.signal_wave(F.col("s"), 2.0, 1.0, True, 0.5, 0.25).alias("s")).collect()}
+    assert got[1][:4] == [0.0] * 4 and got[1][5:] == [-2.0, 0.0, 0.0] and got[2] == [] and got[3] is None
+    got = df.where("k = 1").select(voxels.signal_drop(voxels.signal_wave(F.col("s"), 1.0, 2.0), 0.25, 0.5).alias("s")).first()["s"]
+    assert np.allclose(got, np.where((np.arange(8) >= 2) & (np.arange(8) < 6), 0, np.sin(2 * np.pi * 2 * np.arange(8) / 8)))
