@@ -9,6 +9,13 @@ first three stages return the columns of ``documents``:
    an exact Jaccard similarity of 0.8 or more);
 3. secret scans replace every span of a secret by a mask, so no document is lost;
 4. best-fit packing gives the pieces of the documents and their places.
+
+Defined results: null and empty texts, and those without a letter, have no language and
+fall away in the first stage; very long texts go through whole; of repeated rows, as of
+any near-duplicates, one stays, that of the smallest doc_id (null after all); rows that
+tie in all columns count as one; a null doc_id is packed under null; an empty table
+gives no rows; further columns, also of clashing names, come along to the third stage
+and are not read. Each stage's rows stay in the shared folder until that is cleared.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.scalars import boolish, first_text
 
+from .joins import one_row
+
 
 
 def flag(name: str) -> Column:
@@ -95,17 +97,17 @@ def source_status(cases: DataFrame, train: DataFrame, val: DataFrame, placed: Da
 
     ``cases`` (source_case_id, label_kind), ``train`` and ``val`` (case_id, final_qc_pass), ``placed``
     (case_id, usable_for_met96, allowed_as_synthetic_source), ``mapping`` (source_case_id, nnunet_case_id),
-    ``held`` (nnunet_case_id) of the fixed validation fold, ``fake`` (case_id). Ids are unique in the lookups.
+    ``held`` (nnunet_case_id) of the fixed validation fold, ``fake`` (case_id). Of an id's rows in a lookup the smallest counts, false before true.
     """
     key = "source_case_id"
     t = train.select(F.col("case_id").alias(key), F.lit(True).alias("in_train"), F.col("final_qc_pass").alias("train_pass"))
     v = val.select(F.col("case_id").alias(key), F.lit(True).alias("in_val"), F.col("final_qc_pass").alias("val_pass"))
     g = placed.select(F.col("case_id").alias(key), "usable_for_met96", "allowed_as_synthetic_source")
-    m = mapping.join(held.select("nnunet_case_id", F.lit(True).alias("in_fold")), "nnunet_case_id", "left").select(key, "nnunet_case_id", "in_fold")
+    m = one_row(mapping.select(key, "nnunet_case_id"), key).join(held.select("nnunet_case_id", F.lit(True).alias("in_fold")).distinct(), "nnunet_case_id", "left").select(key, "nnunet_case_id", "in_fold")
     f = fake.select(F.col("case_id").alias(key), F.lit(True).alias("is_fake"))
     out = cases
     for side in (t, v, g, m, f):
-        out = out.join(side, key, "left")
+        out = out.join(one_row(side, key), key, "left")
     false = F.lit(False)
     in_train, in_val = F.coalesce("in_train", false), F.coalesce("in_val", false)
     ok = F.when(in_train, F.coalesce("train_pass", false)).otherwise(F.coalesce("val_pass", false))

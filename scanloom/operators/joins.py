@@ -24,10 +24,18 @@ def left_overlay(base: DataFrame, extra: DataFrame, key: str, suffix: str, fill:
     return out
 
 
+def one_row(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the smallest in the order of the columns, so that a join to it adds no rows."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("__r")).select(key, "__r.*")
+
+
 def lookups(base: DataFrame, tables: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
-    """Left joins with several tables, each (table, its key, the base's key); a miss gives nulls."""
+    """Left joins with several tables, each (table, its key, the base's key); a miss gives nulls, of a key's rows the smallest counts."""
     for table, own, theirs in tables:
-        base = base.join(table.withColumnRenamed(own, theirs) if own != theirs else table, theirs, "left")
+        base = base.join(one_row(table.withColumnRenamed(own, theirs) if own != theirs else table, theirs), theirs, "left")
     return base
 
 

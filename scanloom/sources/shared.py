@@ -19,9 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scanloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, what: str) -> str:
-    """A path below it that nothing else uses."""
-    return f"{shared_dir(spark)}/scanloom/{what}-{uuid.uuid4().hex}"
+    """A path of this application below it that nothing else uses."""
+    return f"{_own(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all that this application has written there; for when no result that reads it is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

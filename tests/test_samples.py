@@ -292,3 +292,23 @@ def test_registries_and_overlays(spark):
         with pytest.raises(ValueError):
             tables.yaml_records(spark, text, "x long, y string")
     assert tables.yaml_records(spark, "", "x long").collect() == []
+
+
+def test_a_doubled_lookup_adds_no_rows(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, c string")
+    table = spark.createDataFrame([("a", 9, "x"), ("a", 5, "y"), ("b", None, "z"), (None, 1, "n")], "id string, v long, w string")
+    got = sorted(map(tuple, joins.lookups(base, [(table, "id", "c")]).select("k", "v", "w").collect()))
+    assert got == [(1, 5, "y"), (2, None, "z"), (3, None, None)]
+    assert joins.one_row(base.select("c"), "c").count() == 3
+
+
+def test_what_was_written_can_be_forgotten(spark):
+    from scanloom.sources import shared
+
+    folder = shared.fresh_folder(spark, "test")
+    spark.range(3).write.parquet(folder)
+    assert folder.startswith(shared.shared_dir(spark)) and spark.sparkContext.applicationId in folder
+    assert shared.fresh_folder(spark, "test") != folder and os.path.isdir(folder.removeprefix("file://"))
+    shared.forget(spark)
+    shared.forget(spark)  # nothing is there any more
+    assert not os.path.exists(folder.removeprefix("file://"))
