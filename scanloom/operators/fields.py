@@ -132,7 +132,7 @@ def nearest(points: DataFrame, sites: DataFrame, spacing: Sequence[float] = (1,
         if i == 2:  # only lines with a point are asked for
             field = field.join(points.select("case", "x", "y").distinct(), ["case", "x", "y"], "left_semi")
         field = _pass(field, extents, a, float(spacing[i]), kind)
-    return points.join(field, ["case", *AXES], "left").select("case", *AXES, F.coalesce(F.sqrt("d2"), F.lit(float("inf"))).alias("distance"))
+    return points.join(field.hint("merge"), ["case", *AXES], "left").select("case", *AXES, F.coalesce(F.sqrt("d2"), F.lit(float("inf"))).alias("distance"))
 
 
 def distance_transform(df: DataFrame, shape: Sequence[int], spacing: Sequence[float] = (1, 1, 1)) -> DataFrame:
@@ -143,7 +143,7 @@ def distance_transform(df: DataFrame, shape: Sequence[int], spacing: Sequence[fl
     for k, (a, n) in enumerate(zip(AXES, shape, strict=True)):
         grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         grid = grid.repartition("case", a) if k == 0 else grid
-    return nearest(own, grid.join(own, ["case", *AXES], "left_anti"), spacing).withColumnRenamed("distance", V)
+    return nearest(own, grid.join(own.hint("merge"), ["case", *AXES], "left_anti"), spacing).withColumnRenamed("distance", V)
 
 
 def surface_metrics(pred: DataFrame, truth: DataFrame, case: str = "case", spacing: Sequence[float] = (1, 1, 1), tolerance: float = 1.0) -> DataFrame:

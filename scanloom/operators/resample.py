@@ -159,7 +159,8 @@ def resampled(df: DataFrame, plan: DataFrame, mode: str = "linear", padding: str
     weight = F.col("cx.w") * F.col("cy.w") * F.col("cz.w")
     corners = rows.select("case", "tx", "ty", "tz", *(F.col(f"c{a}.at").alias(a) for a in AXES), weight.alias("w"))
     values = df.select("case", *(F.col(a).cast("long").alias(a) for a in AXES), F.col(V).cast("double").alias(V))
-    met = corners.join(values, ["case", *AXES]).groupBy("case", "tx", "ty", "tz").agg(F.sum(F.col("w") * F.coalesce(V, F.lit(0.0))).alias(V))
+    # Rows that are exploded are many more than Spark takes them for; neither side is small enough to broadcast.
+    met = corners.hint("merge").join(values, ["case", *AXES]).groupBy("case", "tx", "ty", "tz").agg(F.sum(F.col("w") * F.coalesce(V, F.lit(0.0))).alias(V))
     return met.select("case", *(F.col(f"t{a}").alias(a) for a in AXES), V)
 
 
@@ -179,7 +180,7 @@ def smooth_field(cases: DataFrame, coarse: Sequence[int], shape: Sequence[int],
 def field_adjusted(df: DataFrame, field: DataFrame) -> DataFrame:
     """Values times the field's, where it has one."""
     f = field.select("case", *AXES, F.col(V).alias("__f"))
-    return df.join(f, ["case", *AXES], "left").withColumn(V, F.col(V) * F.coalesce("__f", F.lit(1.0))).drop("__f")
+    return df.join(f.hint("merge"), ["case", *AXES], "left").withColumn(V, F.col(V) * F.coalesce("__f", F.lit(1.0))).drop("__f")
 
 
 # -- orientation -----------------------------------------------------------------

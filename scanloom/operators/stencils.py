@@ -29,7 +29,7 @@ def dense(df: DataFrame, shape: Sequence[int], columns: Sequence[str] = (V,), ax
         grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         grid = grid.repartition("case", a) if k == 0 else grid
     own = df.groupBy("case", *(F.col(a).cast("long").alias(a) for a in axes)).agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in columns))
-    both = grid.join(own, ["case", *axes], "left")
+    both = grid.join(own.hint("merge"), ["case", *axes], "left")  # as many rows as voxels, whatever their estimate
     return both.select("case", *axes, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
 
 
@@ -179,4 +179,4 @@ def contour(df: DataFrame) -> DataFrame:
     """Rows of ones where a label's voxel has a neighbour, by face, edge or corner, that isn't in it; beyond the box is not. Values are 0 or 1."""
     own = df.where(F.col(V) > 0).select("case", *AXES, F.lit(1.0).alias(V)).distinct()
     sums = neighbour_sums(own).withColumnRenamed(V, "__n")
-    return own.join(sums, ["case", *AXES]).where("__n < 27").drop("__n")
+    return own.join(sums.hint("merge"), ["case", *AXES]).where("__n < 27").drop("__n")

@@ -166,7 +166,14 @@ def maximal_match(spark, d):
     return i.match(i.overlaps(_parts(spark, d, 0.01), _parts(spark, d, 0.03)), 1e-6, "maximal", by="dice")
 
 
-@register("a41_froc")
+@register(
+    "a41_froc",
+    """WITH e AS (SELECT value AS s, count(*) FILTER (WHERE user_id % 3 = 0) AS h, count(*) FILTER (WHERE user_id % 3 <> 0) AS m FROM events GROUP BY 1),
+c AS (SELECT sum(m) OVER (ORDER BY s DESC) / 100 AS fps, sum(h) OVER (ORDER BY s DESC) / 5000 AS sens FROM e), u AS (SELECT fps, max(sens) AS sens FROM c GROUP BY 1),
+r AS (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS rate),
+n AS (SELECT rate, coalesce(max(fps) FILTER (WHERE fps <= rate), 0) AS f0, coalesce(arg_max(sens, fps) FILTER (WHERE fps <= rate), 0) AS s0, min(fps) FILTER (WHERE fps > rate) AS f1, arg_min(sens, fps) FILTER (WHERE fps > rate) AS s1 FROM r, u GROUP BY 1)
+SELECT rate, CASE WHEN f1 IS NULL THEN s0 ELSE s0 + (s1 - s0) * (rate - f0) / (f1 - f0) END AS sensitivity FROM n""",
+)
 def froc(spark, d):
     e = table(spark, d, "events").select(F.col("value").alias("score"), (F.col("user_id") % 3 == 0).alias("is_hit"))
     return metrics.froc(e, 100, 5000)
@@ -194,6 +201,6 @@ def best_of(spark, d):
     return table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.max("p_retailprice").alias("v"))
 
 
-@register("w23_weighted_sample")
+@register("w23_weighted_sample", f"SELECT p_partkey FROM part WHERE p_retailprice > 0 ORDER BY -ln(greatest({_SCORE.replace('20260530', '7').replace('o_orderkey', 'p_partkey')}, 1e-18)) / p_retailprice, p_partkey LIMIT 50")
 def weighted_sample(spark, d):
     return w.weighted_sample(table(spark, d, "part"), "p_partkey", "p_retailprice", 50, 7).select("p_partkey")

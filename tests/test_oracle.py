@@ -43,12 +43,10 @@ BRUTE = {
     "j16_greedy_match": "test_matching_strategies_differ_as_they_should",
     "j17_match_by_prediction": "test_matching_strategies_differ_as_they_should",
     "j18_maximal_match": "test_matching_strategies_differ_as_they_should",
-    "a41_froc": "test_roc_and_froc",
     "v_components": "test_components_are_those_of_a_flood_fill",
     "v_noise": "test_places_as_in_numpy",
     "v_random_twins": "test_random_rows_and_twins",
     "v_probability_peaks": "test_peaks_of_the_query_are_those_of_brute_force",
-    "w23_weighted_sample": "test_weighted_sample_is_that_of_python",
 }
 
 
