@@ -34,6 +34,8 @@ def hash_split(df: DataFrame, key: str, seed: int, share: float, held: str = "va
     if take <= 0 or take >= n:
         return scored.withColumn("split", F.lit(held if take else other))
     cut, below = nth(scored, "score", take - 1)
+    if scored.where(F.col("score") == cut).count() == take - below:  # no tie goes through the cut
+        return scored.withColumn("split", F.when(F.col("score") <= cut, held).otherwise(other))
     last = numbered(scored.where(F.col("score") == cut).select(key), [key], "__rank").where(F.col("__rank") < take - below).select(F.col(key).alias("__key"))
     marked = scored.join(last.distinct().withColumn("__last", F.lit(True)), (F.col("score") == cut) & (F.col(key) == F.col("__key")), "left")
     is_held = (F.col("score") < cut) | F.coalesce("__last", F.lit(False))
