@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,16 +157,22 @@ def padded(prefix: str, width: int, number: Column) -> Column:
     return F.format_string(f"{prefix}%0{width}d", number)
 
 
-def readable_bytes(n: Column | str) -> Column:
-    c, units = col(n).cast("double"), ("B", "KB", "MB", "GB", "TB")
+def formatted(c: Column | str, spec: str) -> Column:
+    """A number by a format specification: its exact binary value rounded, halves to even. format_string rounds its shortest decimal, halves up."""
 
-    def one(k: int) -> Column:  # format_string rounds half up; half to even is meant
-        return F.format_string(f"%.1f {units[k]}", F.bround(c / 1024.0**k, 1))
+    def run(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else format(v, spec) for v in numbers.to_pylist()], pa.string())
 
-    out = one(4)
-    for k in range(3, -1, -1):
-        out = F.when(c < 1024.0 ** (k + 1), one(k)).otherwise(out)
-    return out
+    return F.arrow_udf(run, "string")(col(c).cast("double"))
+
+
+def readable_bytes(n: Column | str, units: Sequence[str] = ("B", "KB", "MB", "GB", "TB")) -> Column:
+    """A size in the first unit of which it has less than 1024, or else in the last."""
+    c = col(n).cast("double")
+    at = F.lit(len(units) - 1)
+    for k in range(len(units) - 2, -1, -1):
+        at = F.when(c < 1024.0 ** (k + 1), k).otherwise(at)
+    return F.concat(formatted(c / F.pow(F.lit(2.0), 10 * at), ".1f"), F.lit(" "), F.get(F.array(*(F.lit(u) for u in units)), at))
 
 
 # -- hashes ----------------------------------------------------------------------

@@ -136,6 +136,17 @@ def test_short_numbers(spark):
     assert row["t"] == "1.5,2"
 
 
+def test_readable_bytes_of_a_binary_value(spark):
+    values = [0, 1023, 1024, 1126, 1280, 1792, 256 * 1024 + 52429, 2**40, 5 * 2**50 + 7, 37 * 172385**2]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    for units in (("B", "KB", "MB", "GB", "TB"), ("B", "KB", "MB", "GB")):
+        want = {None: None}
+        for v in values:
+            k = next((k for k in range(len(units)) if v < 1024 ** (k + 1)), len(units) - 1)
+            want[v] = f"{v / 1024**k:.1f} {units[k]}"
+        assert {r["v"]: r["t"] for r in df.select("v", scalars.readable_bytes("v", units).alias("t")).collect()} == want
+
+
 @settings(max_examples=60)
 @given(st.sampled_from(sorted(scalars.PREFIXES)), st.sampled_from(sorted(scalars.PREFIXES)), st.sampled_from(scalars.QUANTITIES))
 def test_units(a, b, base):
