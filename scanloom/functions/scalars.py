@@ -242,22 +242,16 @@ def rescaled(x: Column, low: Column, high: Column) -> Column:
 
 def short_number(c: Column | str, digits: int = 6) -> Column:
     """A number in at most ``digits`` significant digits, without trailing zeros; very small and large ones with an exponent of two digits or more."""
-    v = col(c).cast("double")
-    text = F.format_string(f"%.{digits - 1}e", F.abs(v))
-    ones, power = F.regexp_replace(F.substring_index(text, "e", 1), r"\.", ""), F.substring_index(text, "e", -1).cast("int")
-    plain = F.when(power >= 0, F.concat(F.substring(ones, F.lit(1), power + 1), F.lit("."), F.substring(ones, power + 2, F.lit(digits)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), ones))
-    long = F.concat(F.substring(ones, 1, 1), F.lit("."), F.substring(ones, 2, digits))
-    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")
-    exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    exponent = F.when(F.abs(power) > 99, F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(exponent)
-    body = F.when((power < -4) | (power >= digits), F.concat(trimmed(long), exponent)).otherwise(trimmed(plain))
-    sign = F.when(v < 0, "-").otherwise("")
-    return F.when(v.isNull(), None).when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf"))).when(v == 0, "0").otherwise(F.concat(sign, body))
+    return formatted(c, f".{digits}g")
 
 
 def joined_numbers(c: Column, separator: str = ";", digits: int = 6) -> Column:
     """An array of numbers as text; nulls in it are left out."""
-    return F.array_join(F.transform(c, lambda x: short_number(x, digits)), separator)
+
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else separator.join(f"{v:.{digits}g}" for v in r if v is not None) for r in rows.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(col(c).cast("array<double>"))
 
 
 #: Powers of ten by prefix, metres by imperial unit.

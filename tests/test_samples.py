@@ -147,6 +147,14 @@ def test_readable_bytes_of_a_binary_value(spark):
         assert {r["v"]: r["t"] for r in df.select("v", scalars.readable_bytes("v", units).alias("t")).collect()} == want
 
 
+def test_short_numbers_that_tie_in_decimal(spark):
+    values = [-0.0, 0.5000005, 1.000005, 1.000015, 2.000025, 123456.5, 123457.5, 1.000005e-7, 1.000035e12]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
+    got = {r["k"]: (r["t"], r["j"]) for r in df.select("k", scalars.short_number("v").alias("t"), scalars.joined_numbers(F.array("v", -F.col("v"))).alias("j")).collect()}
+    assert got == {k: (f"{v:.6g}", f"{v:.6g};{-v:.6g}") for k, v in enumerate(values)}
+    assert spark.createDataFrame([(None,)], "a array<double>").select(scalars.joined_numbers(F.col("a")).alias("t")).first()["t"] is None
+
+
 @settings(max_examples=60)
 @given(st.sampled_from(sorted(scalars.PREFIXES)), st.sampled_from(sorted(scalars.PREFIXES)), st.sampled_from(scalars.QUANTITIES))
 def test_units(a, b, base):
