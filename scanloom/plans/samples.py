@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import scalars as s
 from scanloom.operators import crops, distances, joins, metrics
 from scanloom.operators import windows as w
-from scanloom.sources import connectors, tables, volumes
+from scanloom.sources import connectors, mounts, tables, volumes
 from scanloom.sources.shared import fresh_folder, written
 from scanloom.streaming import streams
 
@@ -265,15 +265,16 @@ def report_files(spark, d):
 def missing_files(spark, d):
     """Records of a data list against a listing of files that were written and linked."""
     folder = connectors.mounted(fresh_folder(spark, "files"))
-    p = table(spark, d, "part").select("p_partkey")
+    p = table(spark, d, "part").select("p_partkey").repartition(mounts.shares(spark), "p_partkey")  # a small table; its files are many
     k = F.col("p_partkey").cast("string")
+    below = F.concat((F.col("p_partkey") % 1000).cast("string"), F.lit("/"), k)
     sources = p.where("p_partkey % 4 <> 1")
-    volumes.write_volumes(sources.select(F.concat(k, F.lit(".nii")).alias("name"), k.cast("binary").alias("content")), folder)
-    rows = sources.select(F.concat(F.lit(f"{folder}/"), k, F.lit(".nii")).alias("source"), F.concat(F.lit(f"{folder}/cases/"), k, F.lit("/image.nii")).alias("target"))
+    volumes.write_volumes(sources.select(F.concat(below, F.lit(".nii")).alias("name"), k.cast("binary").alias("content")), folder)
+    rows = sources.select(F.concat(F.lit(f"{folder}/"), below, F.lit(".nii")).alias("source"), F.concat(F.lit(f"{folder}/cases/"), below, F.lit("/image.nii")).alias("target"))
     none = spark.createDataFrame([], "path string")
     tables.materialise(tables.copy_actions(rows, "source", "target", "hardlink", none), "source", "target").write.format("noop").mode("overwrite").save()
     there = tables.listing(spark, f"{folder}/cases", "*.nii").select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    asked = p.select(F.concat(F.lit(f"{folder}/cases/"), k, F.lit("/image.nii")).alias("image"))
+    asked = p.select(F.concat(F.lit(f"{folder}/cases/"), below, F.lit("/image.nii")).alias("image"))
     return tables.missing_files(asked, ["image"], there).select(F.regexp_extract("path", r"(\d+)/image", 1).cast("long").alias("p_partkey"))
 
 
@@ -281,11 +282,11 @@ def missing_files(spark, d):
 def json_objects(spark, d):
     """A file per part with one indented object; a third are objects, the others lists or broken."""
     folder = connectors.mounted(fresh_folder(spark, "objects"))
-    p, k = table(spark, d, "part"), F.col("p_partkey")
+    p, k = table(spark, d, "part").repartition(mounts.shares(spark), "p_partkey"), F.col("p_partkey")  # a small table; its files are many
     document = F.to_json(F.struct("p_partkey", "p_name", "p_size"), {"pretty": "true"})
     content = F.when(k % 3 == 0, document).when(k % 3 == 1, F.concat(F.lit("{"), document)).otherwise("[3, 4]")
-    volumes.write_volumes(p.select(F.concat(k.cast("string"), F.lit(".json")).alias("name"), F.encode(content, "UTF-8").alias("content")), folder)
-    return tables.json_object(spark, folder, "p_partkey long, p_name string, p_size int").where("p_partkey IS NOT NULL")
+    volumes.write_volumes(p.select(F.concat((k % 1000).cast("string"), F.lit("/"), k.cast("string"), F.lit(".json")).alias("name"), F.encode(content, "UTF-8").alias("content")), folder)
+    return tables.json_object(spark, folder, "p_partkey long, p_name string, p_size int", deep=True).where("p_partkey IS NOT NULL")
 
 
 @register("s25_json_sink", "SELECT event_id, event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+import zlib
 from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,8 @@ from scanloom.operators.joins import fold_join
 from scanloom.operators.metrics import describe
 from scanloom.operators.sets import require_columns
 
+from . import mounts
+
 
 def _readable(make, empty):
     try:
@@ -51,10 +57,23 @@ def csv_joined(spark: SparkSession, paths: Sequence[str], on: Sequence[str] | No
     return out.withColumns({c: F.col(c).cast(t) for c, t in (types or {}).items()})
 
 
-def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole-file JSON objects; invalid files and other values give no row."""
-    read = spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").option("allowNonNumericNumbers", "true").schema(schema)
-    return _readable(lambda: read.json(path), lambda: spark.createDataFrame([], schema))
+def json_object(spark: SparkSession, path: str, schema: str, deep: bool = False) -> DataFrame:
+    """Whole-file JSON objects; invalid files and other values give no row. With ``deep`` those of subfolders too."""
+
+    def text(paths: pa.Array, contents: pa.Array) -> pa.Array:
+        texts: list[str | None] = []
+        for name, data in zip(paths.to_pylist(), contents.to_pylist(), strict=True):
+            try:
+                data = gzip.decompress(data) if name.endswith(".gz") else data
+                texts.append(data.decode(json.detect_encoding(data)))
+            except (OSError, EOFError, UnicodeDecodeError, zlib.error):
+                texts.append(None)
+        return pa.array(texts, pa.string())
+
+    files = _readable(lambda: mounts.contents(spark, path, deep=deep), lambda: spark.createDataFrame([], "path string, content binary"))
+    texts = files.select(F.arrow_udf(text, "string")("path", "content").alias("value")).where(F.trim(F.regexp_replace("value", r"^\s+", "")).startswith("{"))
+    whole = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "allowNonNumericNumbers": "true"}
+    return texts.select(F.from_json("value", f"{schema}, __bad string", whole).alias("r")).where("r IS NOT NULL AND r.__bad IS NULL").select("r.*").drop("__bad")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -119,9 +138,7 @@ def overlaid(base: DataFrame, settings: DataFrame, key: str) -> DataFrame:
 
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, size, modified) of files below a folder, without their contents."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    files = _readable(lambda: read.load(root), lambda: spark.createDataFrame([], "path string, length long, modificationTime timestamp"))
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return mounts.files_below(spark, root, glob)
 
 
 def parent_folders(files: DataFrame, suffixes: Sequence[str]) -> DataFrame:
@@ -153,8 +170,7 @@ def missing_files(records: DataFrame, keys: Sequence[str], files: DataFrame) ->
 
 def checksums(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
     """Listed files (name, md5) whose content differs or is absent."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    got = read.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("found"))
+    got = mounts.contents(spark, root).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("found"))
     return expected.join(got, "name", "left").where(F.col("found").isNull() | (F.col("found") != F.col("md5")))
 
 
@@ -224,4 +240,4 @@ def materialise(actions: DataFrame, source: str, target: str) -> DataFrame:
                 done.append(a)
             yield pdf.assign(action=done)
 
-    return actions.mapInPandas(run, actions.schema)
+    return actions.repartition(mounts.shares(actions.sparkSession), target).mapInPandas(run, actions.schema)

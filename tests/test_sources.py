@@ -105,3 +105,37 @@ def test_streams(spark, tmp_path):
     seen = []
     streams.run_available(streams.windowed_counts(stream, "ts", "g", "1 minute", "10 minutes"), lambda b, n: seen.extend(b.collect()), str(tmp_path / "cp3"), "update")
     assert sum(r["n"] for r in seen) == 12
+
+
+def test_mounted_folders_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    for k in range(60):
+        folder = tmp_path / "in" / f"s{k % 7}" / f"case {k}"
+        folder.mkdir(parents=True)
+        (folder / "image.nii").write_bytes(b"x" * k)
+        (folder / ("_hidden.nii" if k % 2 else ".hidden.nii")).write_bytes(b"y")
+        (folder / "notes.txt").write_text("n")
+    for root in (f"{tmp_path}/in", f"file://{tmp_path}/in", f"file:{tmp_path}/in/"):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nii").load(root)
+        want = read.select("path", "length", "modificationTime").collect()
+        got = tables.listing(spark, root, "*.nii")
+        assert "binaryFile" not in got._jdf.queryExecution().toString()
+        assert len(want) == 59 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert tables.listing(spark, f"{tmp_path}/none").collect() == []
+    assert [r["size"] for r in tables.listing(spark, f"{tmp_path}/in/s1/case 8/image.nii").collect()] == [8]
+
+
+def test_json_objects_of_many_files(spark, tmp_path):
+    whole = {k: (json.dumps({"a": k, "b": [k]}, indent=1) if k % 3 else "[{\"a\": 1}]" if k % 2 else "{broken") for k in range(300)}
+    for k, text in whole.items():
+        (tmp_path / "in" / str(k % 3)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / str(k % 3) / f"{k}.json").write_text(text)
+    (tmp_path / "in" / "top.json").write_bytes(b"\xef\xbb\xbf \n{\"a\": -1, \"b\": null}")
+    (tmp_path / "in" / "zipped.json.gz").write_bytes(gzip.compress(b"{\"a\": -2}"))
+    (tmp_path / "in" / "odd.json").write_bytes(b"{\"a\": \"\xff\"}")
+    (tmp_path / "in" / "kind.json").write_text("{\"a\": \"text\"}")
+    (tmp_path / "in" / "empty.json").write_text("")
+    got = tables.json_object(spark, str(tmp_path / "in"), "a int, b array<int>", deep=True)
+    want = {(k, (k,)) for k in whole if k % 3} | {(-1, None), (-2, None)}
+    assert {(r["a"], r["b"] and tuple(r["b"])) for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {r["a"] for r in tables.json_object(spark, f"file:{tmp_path}/in", "a int, b array<int>").collect()} == {-1, -2}
