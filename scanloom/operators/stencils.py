@@ -167,16 +167,14 @@ def sobel_gradients(df: DataFrame, shape: Sequence[int], axes: Sequence[str] = A
     return own
 
 
-def neighbour_sums(df: DataFrame) -> DataFrame:
-    """Sums over the cube of 27 voxels around every voxel of sparse rows; absent ones are 0. Neighbours meet by their places."""
-    d = df.select("case", *AXES, V)
-    for a in AXES:
-        d = d.withColumn(a, F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1))).groupBy("case", *AXES).agg(F.sum(V).alias(V))
-    return d
-
-
 def contour(df: DataFrame) -> DataFrame:
-    """Rows of ones where a label's voxel has a neighbour, by face, edge or corner, that isn't in it; beyond the box is not. Values are 0 or 1."""
-    own = df.where(F.col(V) > 0).select("case", *AXES, F.lit(1.0).alias(V)).distinct()
-    sums = neighbour_sums(own).withColumnRenamed(V, "__n")
-    return own.join(sums.hint("merge"), ["case", *AXES]).where("__n < 27").drop("__n")
+    """Rows of ones where a label's voxel has a neighbour, by face, edge or corner, that isn't in it; beyond the box is not. Values are 0 or 1.
+
+    The cube around a voxel is full if along one axis after the other both neighbours are there and have passed so far.
+    """
+    own = df.where(F.col(V) > 0).select("case", *AXES, F.lit(1.0).alias(V)).dropna().distinct().withColumn("__in", F.lit(True))
+    for a in AXES:
+        line = Window.partitionBy("case", *(b for b in AXES if b != a)).orderBy(a)
+        near = [(at(a, 1).over(line) == F.col(a) + d) & at("__in", 1).over(line) for at, d in ((F.lag, -1), (F.lead, 1))]
+        own = own.withColumn("__in", F.col("__in") & F.coalesce(near[0], F.lit(False)) & F.coalesce(near[1], F.lit(False)))
+    return own.where(~F.col("__in")).drop("__in")
