@@ -463,3 +463,33 @@ def test_contours_and_boundaries_make_no_rows_of_neighbours(spark):
         assert got == sorted(map(tuple, np.argwhere((a > 0) & (inside == 0)).tolist())) and 0 < len(got) < a.sum()
     twice = instances.boundary(df.union(df), ["case"])  # a voxel that stands twice has the same neighbours
     assert twice.distinct().count() == ((a > 0) & (cross == 0)).sum() and twice.count() == 2 * twice.distinct().count()
+
+
+@pytest.mark.parametrize("listed", [0, 20, 256])
+def test_boxes_of_small_groups_come_together_once(spark, listed, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = []
+    for k in range(240):
+        w, h = rng.uniform(3, 6, 2)
+        x, y = rng.uniform(-8, 8, 2)
+        data.append((0 if k % 3 == 0 else k // 12, k, float(rng.integers(0, 5)), float(x), float(x + w), float(y), float(y + h)))
+    df = spark.createDataFrame(data, BOXES).selectExpr("*", "map('k', box_id) AS m")
+    rounds = []
+    monkeypatch.setattr(suppression, "_in_rounds", lambda *a, f=suppression._in_rounds: rounds.append(a) or f(*a))
+    got = suppression.suppressed(df, "g", 0.3, listed=listed)
+    assert got.columns == df.columns and bool(rounds) == (listed < 80)
+    rows_ = got.collect()
+    assert sorted((r["g"], r["box_id"]) for r in rows_) == sorted(kept_by_hand(data, 0.3)) and all(r["m"] == {"k": r["box_id"]} for r in rows_)
+
+
+@pytest.mark.parametrize("batched", [0, 100, 1 << 14])
+def test_peaks_of_small_cases_come_together_once(spark, batched, monkeypatch):
+    rng = np.random.default_rng(5)
+    places = {(c, *p) for c in range(6) for p in rng.integers(0, 14, (200 if c == 2 else 40, 2)).tolist()}
+    data = [(*p, float(rng.integers(0, 6))) for p in sorted(places)]
+    df = spark.createDataFrame([*data, (None, 0, 0, 9.0)], "case long, x long, y long, value double")
+    rounds = []
+    monkeypatch.setattr(suppression, "_peaks_in_rounds", lambda *a, f=suppression._peaks_in_rounds: rounds.append(a) or f(*a))
+    got = [tuple(r) for r in suppression.probability_peaks(df, 0.5, 2, batched=batched).collect()]
+    assert bool(rounds) == (batched <= 100) and len(got) == len(set(got)) and set(got) == peaks_by_hand(data, 0.5, 2)
+    assert suppression.probability_peaks(df.limit(0), 0.5, 2).collect() == []
