@@ -493,3 +493,18 @@ def test_peaks_of_small_cases_come_together_once(spark, batched, monkeypatch):
     got = [tuple(r) for r in suppression.probability_peaks(df, 0.5, 2, batched=batched).collect()]
     assert bool(rounds) == (batched <= 100) and len(got) == len(set(got)) and set(got) == peaks_by_hand(data, 0.5, 2)
     assert suppression.probability_peaks(df.limit(0), 0.5, 2).collect() == []
+
+
+@pytest.mark.parametrize("mode", ["linear", "nearest"])
+@pytest.mark.parametrize("align", [False, True])
+def test_resizing_sums_before_it_shuffles(spark, mode, align):
+    rng = np.random.default_rng(6)
+    df = frame(spark, rows("a", rng.random((4, 3, 2))) + rows("b", rng.random((4, 3, 2))))
+    df = df.union(df.limit(5)).withColumn("value", F.when(F.col("x") + F.col("y") != 2, F.col("value")))  # repeated, null
+    shape, size = (4, 3, 2), (7, 3, 5)
+    got = resample.resized(df, shape, size, mode, align)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+    want = resample.resampled(df, resample.one_plan(df, shape, size, resample.zoom_matrix(shape, size, align)), mode)
+    a, b = ({tuple(r)[:4]: r["value"] for r in d.collect()} for d in (got, want))
+    assert a.keys() == b.keys() and len(a) == 2 * 7 * 3 * 5 and all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
+    assert resample.resized(df.limit(0), shape, size).collect() == []
